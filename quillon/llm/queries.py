@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm.decontaminate import contamination
 from quillon.llm.ngram_join import ngram_jaccard_join
+from quillon.llm.quality import quality
+from quillon.llm.spool import Spool
 from quillon.llm.substring_dedup import remove_repeats
+from quillon.llm.token_orc import read_tokens, token_digests, write_tokens
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +29,16 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Spool(spark, "token-orc").path("tokens")
+    write_tokens(read(spark, sf_dir, "documents"), path, TOKENIZER)
+    return token_digests(read_tokens(spark, path))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read(spark, sf_dir, "documents")).drop("votes")
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(read(spark, sf_dir, "documents"))
 
@@ -30,6 +46,8 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_decontaminate": op4_decontaminate,
+    "op6_token_orc": op6_token_orc,
+    "op8_quality": op8_quality,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
