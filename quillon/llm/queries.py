@@ -7,6 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.llm import mixing
+from quillon.llm.chat import format_and_read_back
 from quillon.llm.decontaminate import contamination
 from quillon.llm.ngram_join import ngram_jaccard_join
 from quillon.llm.quality import quality
@@ -35,10 +37,20 @@ def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read_tokens(spark, path))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame([(-7, t, r, "</s>[INST] ok [/INST]") for t, r in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    return format_and_read_back(rows.union(planted), Spool(spark, "chat"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents")).drop("votes")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(read(spark, sf_dir, "documents"))
 
@@ -47,8 +59,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op6_token_orc": op6_token_orc,
+    "op7_chat_format": op7_chat_format,
     "op8_quality": op8_quality,
+    "op9_mixing": op9_mixing,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.oracle_sql()}
