@@ -11,6 +11,7 @@ from quillon.llm import mixing
 from quillon.llm.chat import format_and_read_back
 from quillon.llm.decontaminate import contamination
 from quillon.llm.ngram_join import ngram_jaccard_join
+from quillon.llm.pii import find_personal_data
 from quillon.llm.quality import quality
 from quillon.llm.spool import Spool
 from quillon.llm.substring_dedup import remove_repeats
@@ -23,6 +24,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(read(spark, sf_dir, "documents"), texts=False)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents"), texts=False)
 
@@ -56,6 +61,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii": op2_pii,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_decontaminate": op4_decontaminate,
     "op6_token_orc": op6_token_orc,
