@@ -3,8 +3,9 @@
 Every text is the set of its distinct word 5-grams. Two texts link when their sets' Jaccard
 similarity is at least 0.75. Sets are put in one global order: rare n-grams by hash, then frequent
 ones by frequency. If two sets link, they share an n-gram among the first s - ceil(0.75 s) + 1 of
-each, and what remains after their first common one must still reach the overlap needed. Sets
-that pass these bounds somewhere fall into blocks (components of the candidate graph); each block
+each, and what remains after their first common one must still reach the overlap needed. With m more
+n-grams in either prefix they share m + 1 of them, so a set of whose prefix fewer occur elsewhere
+has no link. Sets that pass these bounds fall into blocks (components of the candidate graph); each block
 is stored as a trie of its sets, and each set is run down the trie: the overlap with a node is
 computed once for all sets below it, and a subtree whose remaining lengths cannot reach the
 needed overlap is cut off. Only links between distinct sets are looked for; copies with one set
@@ -32,8 +33,10 @@ PERCENT = 75
 #: Local counts from which an n-gram is reported as frequent; how many of the most frequent get a
 #: place of their own in the order. Both change the work only, never a result.
 LOCAL_DF, FREQUENT = 4, 1 << 18
+#: Prefixes have so many percent of a set's n-grams more than one common n-gram takes.
+MORE = 10
 #: Postings that a map task gathers before it sends them.
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 #: Sets in one trie; a larger block is cut into pieces, each pair of which is one trie join.
 TRIE_SETS = 4096
 #: Up to so many candidate classes (16 bytes each) are broadcast to the scan that makes their sets.
@@ -44,7 +47,12 @@ def _least_overlap(size: np.ndarray | int, percent: int):
     return (size * percent + 99) // 100
 
 
-def _describe(percent: int):
+def _more(size):
+    """Common n-grams that the prefix of a set of this size is made for."""
+    return 1 + size * MORE // 100
+
+
+def _describe():
     """Map texts to one row each (kind 0: id, set size, set fingerprint) and to locally frequent n-grams (kind 1)."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +111,7 @@ def _postings(bins: int, percent: int, frequent):
                     continue
                 seen.add(p)
                 m = len(s)
-                k = m - _least_overlap(m, percent) + 1
+                k = m - _least_overlap(m, percent) + _more(m)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
                     often = common[at] == s
@@ -124,34 +132,45 @@ def _postings(bins: int, percent: int, frequent):
     return run
 
 
+def _shared(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Map bins of postings to those whose n-gram is in the prefixes of several sets."""
+    for _, kinds in blobs.by_bin(source):
+        t, w, s, r = blobs.joined(kinds[0], U, U, np.int32, np.int32)
+        order = np.lexsort((w, t))
+        t, w, s, r = t[order], w[order], s[order], r[order]
+        keep = np.ones(len(t), bool)  # the same set from two map tasks is one
+        keep[1:] = (t[1:] != t[:-1]) | (w[1:] != w[:-1])
+        t, w, s, r = t[keep], w[keep], s[keep], r[keep]
+        new = np.r_[True, t[1:] != t[:-1]]
+        more = ~(new & np.r_[new[1:], True])
+        columns = [pa.array(t[more].view(np.int64)), pa.array(w[more].view(np.int64)), pa.array(s[more]), pa.array(r[more])]
+        yield pa.RecordBatch.from_arrays(columns, ["gram", "fp", "size", "rest"])
+
+
 def _candidates(percent: int):
-    """Map bins of postings to edges that join the sets which may link, a star for each run of them."""
+    """Map postings, all of an n-gram in one partition, to edges that join the sets which may link, a star for each run of them."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, kinds in blobs.by_bin(source):
-            t, w, s, r = blobs.joined(kinds[0], U, U, np.int32, np.int32)
-            order = np.lexsort((w, s, t))
-            t, w, s, r = t[order], w[order], s[order].astype(np.int64), r[order].astype(np.int64)
-            # the same set from two map tasks is one
-            keep = np.ones(len(t), bool)
-            keep[1:] = (t[1:] != t[:-1]) | (w[1:] != w[:-1]) | (s[1:] != s[:-1])
-            t, w, s, r = t[keep], w[keep], s[keep], r[keep]
-            new = np.r_[True, t[1:] != t[:-1]]
-            alone = new & np.r_[new[1:], True]
-            t, w, s, r, new = t[~alone], w[~alone], s[~alone], r[~alone], new[~alone]
-            if not len(t):
-                continue
-            # a partner of size y needs (100 + p) * rest >= p * (s + y)
-            reach = (100 + percent) * r // percent - s
-            group = np.cumsum(new)
-            wide = int(s.max()) * 4 + 4
-            best = np.maximum.accumulate(group * wide + np.maximum(reach, 0)) - group * wide
-            starts = new.copy()
-            starts[1:] |= best[:-1] < s[1:]
-            hub = w[np.flatnonzero(starts)][np.cumsum(starts) - 1]
-            far = hub != w
-            e = np.unique(np.stack([w[far], hub[far]]), axis=1) if far.any() else np.zeros((2, 0), U)
-            yield pa.RecordBatch.from_arrays([pa.array(e[0].view(np.int64)), pa.array(e[1].view(np.int64))], ["a", "b"])
+        given = [b for b in source if len(b)]
+        if not given:
+            return
+        whole = pa.Table.from_batches(given)
+        t, w, s, r = (whole.column(i).to_numpy() for i in range(4))
+        order = np.lexsort((w, s, t))
+        t, w, s, r = t[order], w[order], s[order].astype(np.int64), r[order].astype(np.int64)
+        new = np.r_[True, t[1:] != t[:-1]]
+        # a partner of size y needs (100 + p) * rest >= p * (s + y)
+        reach = (100 + percent) * r // percent - s
+        group = np.cumsum(new)
+        wide = int(s.max()) * 4 + 4
+        best = np.maximum.accumulate(group * wide + np.maximum(reach, 0)) - group * wide
+        starts = new.copy()
+        starts[1:] |= best[:-1] < s[1:]
+        hub = w[np.flatnonzero(starts)][np.cumsum(starts) - 1]
+        far = hub != w
+        if far.any():
+            e = np.unique(np.stack([w[far], hub[far]]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(e[0]), pa.array(e[1])], ["a", "b"])
 
     return run
 
@@ -312,7 +331,7 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = PERCENT, text: str = "tex
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
     bins = parts_for(docs)
 
-    told = spool.table("described", docs.mapInArrow(_describe(percent), "kind int, id long, n long, fp_high long, fp_low long"))
+    told = spool.table("described", docs.mapInArrow(_describe(), "kind int, id long, n long, fp_high long, fp_low long"))
     rows = told.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "fp_high", "fp_low")
     often = told.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(FREQUENT).toPandas()
     names = often["id"].to_numpy(np.int64).view(U)
@@ -320,8 +339,12 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = PERCENT, text: str = "tex
     frequent = spark.sparkContext.broadcast((names[order], often["n"].to_numpy(np.int64)[order]))
 
     dealt = docs.mapInArrow(_postings(bins, percent, frequent), blobs.SCHEMA).repartition(bins, "bin").sortWithinPartitions("bin", "kind")
-    edges = spool.table("edges", dealt.mapInArrow(_candidates(percent), "a long, b long"))
+    shared = spool.table("shared", dealt.mapInArrow(_shared, "gram long, fp long, size int, rest int"))
     settle(spark)
+    smallest = F.ceil(F.col("size") * percent / 100)
+    enough = shared.groupBy("fp", "size").agg(F.count("*").alias("n")).where(F.col("n") >= 1 + F.floor(smallest * MORE / 100)).select("fp")
+    likely = shared.join(enough, "fp", "left_semi").select("gram", "fp", "size", "rest").repartition(bins, "gram")
+    edges = spool.table("edges", likely.mapInArrow(_candidates(percent), "a long, b long"))
     blocks = components(edges, spool, "blocks")
 
     classes = spool.table("classes", rows.where("n_shingles > 0").groupBy("fp_high", "fp_low").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
