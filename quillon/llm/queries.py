@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillon.llm import mixing
 from quillon.llm.chat import format_and_read_back
 from quillon.llm.decontaminate import contamination
+from quillon.llm.licenses import scan_licenses
 from quillon.llm.ngram_join import ngram_jaccard_join
 from quillon.llm.pii import find_personal_data
 from quillon.llm.quality import quality
@@ -36,6 +37,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
 def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Spool(spark, "token-orc").path("tokens")
     write_tokens(read(spark, sf_dir, "documents"), path, TOKENIZER)
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_decontaminate": op4_decontaminate,
+    "op5_license_scan": op5_license_scan,
     "op6_token_orc": op6_token_orc,
     "op7_chat_format": op7_chat_format,
     "op8_quality": op8_quality,

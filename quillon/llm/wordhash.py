@@ -19,6 +19,9 @@ TOP = _U(0xFFFFFFFFFFFFFFFF)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _WORD = ~SPACE
+#: Bytes of tokens: digits, letters, and all beyond ASCII.
+TOKEN = np.zeros(256, bool)
+TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -84,14 +87,14 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def hash_words(column: pa.Array | pa.ChunkedArray, fold_case: bool = False) -> Words:
-    """The words of each text; fold_case: A-Z hash as a-z."""
+def hash_words(column: pa.Array | pa.ChunkedArray, fold_case: bool = False, inside: np.ndarray = _WORD) -> Words:
+    """The words of each text; fold_case: A-Z hash as a-z. inside: which bytes words are runs of."""
     data, offsets = text_bytes(column)
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return Words(data, offsets, np.zeros(0, _U), none, none, np.zeros(len(offsets), np.int64))
-    word = _WORD[data]
+    word = inside[data]
     head = word.copy()
     head[1:] &= ~word[:-1]
     begins = offsets[:-1][offsets[:-1] < n]
