@@ -2,24 +2,60 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.llm.decontaminate import contamination
+from quillon.llm.mixing import mix
 from quillon.llm.ngram_join import ngram_jaccard_join
+from quillon.llm.quality import quality
 from quillon.llm.spool import Spool
+from quillon.llm.token_orc import read_tokens, token_digests, write_tokens
 
-#: No SQL: expectation-maximisation, raking and tokens are beyond it; tests hold stages against brute force.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: No SQL: expectation-maximisation and tokens are beyond it; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
+def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of docs whose ids are in kept; a row with a null id stays out."""
+    return docs.join(kept.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return _keep(docs, quality(docs).where("kept"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document stays of each group that n-gram Jaccard links join: the one with the smallest id."""
-    kept = ngram_jaccard_join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return _keep(docs, ngram_jaccard_join(docs).where("doc_id = component_id"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return _keep(docs, contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("not contaminated"))
+
+
+def sample_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are drawn with the probabilities that raking to source, language and topic marginals gives."""
+    return _keep(docs, mix(docs).where("kept"))
+
+
+def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids go to ORC files; the rows are what is read back: doc_id, start, n_tokens, ids_crc32."""
+    path = Spool(spark, "pipeline-tokens").path("tokens")
+    write_tokens(docs, path, TOKENIZER)
+    return token_digests(read_tokens(spark, path))
 
 
 STAGES = [
+    ("quality_rules", keep_good),
     ("ngram_join", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", sample_to_targets),
+    ("token_output", write_token_ids),
 ]
 
 

@@ -17,6 +17,7 @@ from quillon.llm.quality import quality
 from quillon.llm.spool import Spool
 from quillon.llm.substring_dedup import remove_repeats
 from quillon.llm.token_orc import read_tokens, token_digests, write_tokens
+from quillon.llm.toxicity import toxicity
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -25,6 +26,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(read(spark, sf_dir, "documents"), texts=False)
 
@@ -66,6 +71,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_pii": op2_pii,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_decontaminate": op4_decontaminate,
