@@ -1,0 +1 @@
+"""Sharded document search and its data plumbing as Spark queries."""
