@@ -24,11 +24,14 @@ def _terminated(*parts: Column) -> Column:
     return F.concat(*parts, F.lit(bytearray(b"\xff")))
 
 
-@F.pandas_udf("long")
-def _xxh64_arrow(b: pd.Series) -> pd.Series:
-    import xxhash
+def _xxh64_arrow(data: Column) -> Column:
+    @F.pandas_udf("long")
+    def digest(b: pd.Series) -> pd.Series:
+        import xxhash
 
-    return b.map(lambda x: None if x is None else (h := xxhash.xxh64_intdigest(x, 0)) - ((h >> 63) << 64)).astype("Int64")
+        return b.map(lambda x: None if x is None else (h := xxhash.xxh64_intdigest(x, 0)) - ((h >> 63) << 64)).astype("Int64")
+
+    return digest(data)
 
 
 def xxh64(data: Column, df: DataFrame) -> Column:

@@ -10,6 +10,10 @@ from quillon.functions.columns import c
 K1, B = 1.2, 0.75
 
 
+def _count(tokens_: Column | str, term: str) -> Column:
+    return F.size(F.filter(tokens_, lambda x: x == term))
+
+
 def tokens(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(c(text)), "[^a-z0-9]+"), lambda t: t != "")
 
@@ -20,7 +24,7 @@ def postings(docs: DataFrame, key: str, text: str, terms: list[str] | None = Non
     each = docs.select(key, *others, tokens(text).alias("_tokens")).withColumn("dl", F.size("_tokens"))
     if terms is None:
         return each.select(key, *others, "dl", F.explode("_tokens").alias("term")).groupBy(key, *others, "term", "dl").agg(F.count("*").alias("tf"))
-    found = F.filter(F.array(*[F.struct(F.lit(t).alias("term"), F.size(F.filter("_tokens", lambda x, t=t: x == t)).alias("tf")) for t in terms]), lambda s: s["tf"] > 0)
+    found = F.filter(F.array(*[F.struct(F.lit(t).alias("term"), _count("_tokens", t).alias("tf")) for t in terms]), lambda s: s["tf"] > 0)
     return each.select(key, *others, "dl", F.explode(found).alias("_f")).select(key, *others, "dl", "_f.term", F.col("_f.tf").cast("long").alias("tf"))
 
 
@@ -52,7 +56,7 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, by: str | None = None
     scored = scored.join(F.broadcast(stats), by) if by else scored.join(F.broadcast(stats))
     score = F.lit(0.0)
     for i, t in enumerate(terms):
-        tf = F.size(F.filter("_tokens", lambda x, t=t: x == t)).cast("double")
+        tf = _count("_tokens", t).cast("double")
         score = score + idf(F.col("_n"), F.col(f"df_{i}")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_dl") / F.col("_avg")))
     return scored.where(F.arrays_overlap("_tokens", F.array(*map(F.lit, terms)))).select(*others, score.alias("score"))
 
