@@ -3,8 +3,8 @@
 The index is a written table of postings (term, doc_id, pos) of training tokens that the test
 items use, kept where the documents' scan made them, so building it shuffles no posting; one
 posting of an end marker a document records its length. A test phrase is looked up from its rarest terms:
-their postings, less their offsets in the phrase, are intersected on (document, start), and only starts on which
-they all agree are compared with the other terms' postings.
+their postings, less their places in the test text, are intersected on (document, alignment), and only alignments on which
+they agree are compared with the other terms' postings.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from quillon.llm.spool import Spool, small_batches
 
 WINDOW = 10
 #: Postings lists that a lookup intersects before it compares whole phrases.
-RAREST = 3
+RAREST = 2
 #: Rows up to which test terms, phrases and candidate documents are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Not a token: the pattern below keeps line feeds out of tokens.
@@ -69,26 +69,35 @@ class PositionalIndex:
         """(doc_id, n_words)."""
         return self.postings.where("term_id = 0").select("doc_id", F.col("pos").cast("long").alias("n_words"))
 
-    def phrases(self, phrases: DataFrame, rarest: int = RAREST) -> DataFrame:
-        """Exact occurrences (phrase_id, doc_id, start, size) of phrases (phrase_id, words array<string>)."""
+    def windows(self, texts: DataFrame, window: int, rarest: int = RAREST) -> DataFrame:
+        """Exact occurrences (item_id, doc_id, start, size) of each run of ``window`` words of
+        texts (item_id, words); of all words of a shorter one.
+
+        Lists are intersected on a text's alignment with a document, start less place in the
+        text, so a posting counts once for all windows of the text that it is in.
+        """
         spool = self.spool
-        each = phrases.select("phrase_id", F.size("words").alias("size"), F.posexplode("words").alias("at", "term"))
-        each = each.join(_near(self.terms, self.n_terms), "term").drop("term")
-        each = each.selectExpr("*", "row_number() OVER (PARTITION BY phrase_id ORDER BY n, at) AS rank", "min(n) OVER (PARTITION BY phrase_id) AS least")
-        each = spool.table("phrases", each.where("least > 0").drop("least"))  # one term nowhere: the phrase is nowhere
+        each = texts.select("item_id", F.size("words").alias("length"), F.posexplode("words").alias("at", "term"))
+        each = spool.table("places", each.join(_near(self.terms, self.n_terms), "term").select("item_id", "length", "at", "term_id", "n"))
         n = each.count()
-        first = each.where(F.col("rank") <= rarest).select("phrase_id", "size", "at", "term_id")
-        lists = self.postings.join(_near(first, n), "term_id").selectExpr("phrase_id", "size", "doc_id", "pos - at AS start").where("start >= 0")
-        agree = lists.groupBy("phrase_id", "doc_id", "start", "size").agg(F.count("*").alias("n")).where(F.col("n") == F.least(F.lit(rarest), "size"))
-        agree = spool.table("agree", agree.drop("n"))
-        within = spool.table("within", agree.select("doc_id").distinct())
+        by_place = each.groupBy("item_id", "length").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("all"))
+        starts = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("length") - (window - 1)))).alias("first")
+        cut = by_place.select("item_id", "all", starts).selectExpr("item_id", "first - 1 AS first", f"slice(all, first, {window}) AS run")
+        # a term that is nowhere: the window is nowhere
+        cut = cut.where("forall(run, x -> x.n > 0)").selectExpr("item_id", "first", "size(run) AS size", f"transform(slice(array_sort(transform(run, x -> struct(x.n AS n, x.at AS at))), 1, {rarest}), x -> x.at) AS keys")
+        cut = spool.table("windows-of-texts", cut)
+        keys = cut.select("item_id", F.explode("keys").alias("at")).distinct().join(each.select("item_id", "at", "term_id"), ["item_id", "at"])
+        lists = self.postings.join(_near(keys, n), "term_id").selectExpr("item_id", "doc_id", "pos - at AS shift", "at")
+        agree = lists.groupBy("item_id", "doc_id", "shift").agg(F.collect_set("at").alias("seen"))
+        likely = agree.join(_near(cut, n), "item_id").where("shift + first >= 0 AND forall(keys, k -> array_contains(seen, k))")
+        likely = spool.table("likely", likely.select("item_id", "doc_id", "shift", "first", "size"))
+        within = spool.table("within", likely.select("doc_id").distinct())
         held = self.postings.join(_near(within, within.count()), "doc_id", "left_semi")
-        # wanted terms, by their place in the document
-        wanted = agree.where(F.col("size") > rarest).join(_near(each.where(F.col("rank") > rarest).select("phrase_id", "at", "term_id"), n), "phrase_id")
-        wanted = wanted.selectExpr("phrase_id", "size", "doc_id", "start", "start + at AS pos", "term_id")
-        there = wanted.join(held, ["doc_id", "pos", "term_id"]).groupBy("phrase_id", "doc_id", "start", "size").agg(F.count("*").alias("n"))
-        full = there.where(F.col("n") == F.col("size") - rarest).drop("n")
-        return agree.where(F.col("size") <= rarest).select("phrase_id", "doc_id", "start", "size").union(full.select("phrase_id", "doc_id", "start", "size"))
+        wanted = likely.select("item_id", "doc_id", "shift", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("size") - 1)).alias("at")).distinct()
+        wanted = wanted.join(_near(each.select("item_id", "at", "term_id"), n), ["item_id", "at"]).withColumn("pos", F.col("shift") + F.col("at"))
+        there = wanted.join(held, ["doc_id", "pos", "term_id"]).groupBy("item_id", "doc_id", "shift").agg(F.collect_set("at").alias("seen"))
+        full = likely.join(there, ["item_id", "doc_id", "shift"]).where("forall(sequence(first, first + size - 1), k -> array_contains(seen, k))")
+        return full.selectExpr("item_id", "doc_id", "shift + first AS start", "size")
 
     def near(self, groups: DataFrame, slop: int) -> DataFrame:
         """Proximity matches (phrase_id, doc_id, start): every word of a group (phrase_id, words), in
@@ -109,15 +118,6 @@ class PositionalIndex:
         return hits.groupBy("phrase_id", "doc_id", "start", "size").agg(F.count_distinct("term_id").alias("n")).where("n = size").select("phrase_id", "doc_id", "start")
 
 
-def item_windows(items: DataFrame, window: int) -> DataFrame:
-    """(item_id, phrase_id, words): each run of ``window`` words of an item; all of a shorter item."""
-    words = items.select("item_id", tokens(F.col("text")).alias("words")).where("size(words) > 0")
-    starts = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - (window - 1))))
-    cut = words.select("item_id", "words", starts.alias("at")).select("item_id", F.slice("words", F.col("at"), window).alias("words"))
-    # the same words in several items are one phrase
-    return cut.distinct().withColumn("phrase_id", F.sha2(F.array_join("words", _END), 256))
-
-
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row a document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items.
 
@@ -133,15 +133,15 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, text:
     spool = Spool(spark, "decontaminate")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
     items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
-    windows = spool.table("windows", item_windows(items, window))
-    index = PositionalIndex.build(docs, windows.select(F.explode("words").alias("term")), spool)
-    phrases = windows.select("phrase_id", "words").dropDuplicates(["phrase_id"])
-    found = spool.table("found", index.phrases(phrases))
-    n = windows.count()
+    words = items.select("item_id", tokens(F.col("text")).alias("words")).where("size(words) > 0").distinct()
+    # items may repeat an id with other words
+    words = spool.table("items", words.withColumnRenamed("item_id", "name").withColumn("item_id", F.sha2(F.concat_ws(_END, "name", F.array_join("words", _END)), 256)))
+    index = PositionalIndex.build(docs, words.select(F.explode("words").alias("term")), spool)
+    found = spool.table("found", index.windows(words.select("item_id", "words"), window))
     hit = found.select("doc_id", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("pos")).distinct()
     hit = hit.groupBy("doc_id").agg(F.count("*").alias("n_hit"))
-    named = found.select("phrase_id", "doc_id").distinct().join(_near(windows.select("phrase_id", "item_id").distinct(), n), "phrase_id").select("doc_id", "item_id").distinct()
-    named = named.groupBy("doc_id").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+    named = found.select("item_id", "doc_id").distinct().join(_near(words.select("item_id", "name"), words.count()), "item_id").select("doc_id", "name").distinct()
+    named = named.groupBy("doc_id").agg(F.array_sort(F.collect_list("name")).alias("items"))
     out = index.lengths().distinct().join(hit, "doc_id", "left").join(named, "doc_id", "left")
     listed = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
