@@ -37,8 +37,8 @@ LOCAL_DF, FREQUENT = 4, 1 << 18
 MORE = 10
 #: Postings that a map task gathers before it sends them.
 BLOCK = 1_000_000
-#: Sets in one trie; a larger block is cut into pieces, each pair of which is one trie join.
-TRIE_SETS = 4096
+#: Sets, and n-grams in them, of one trie; a larger block is cut into pieces, each pair of which is one trie join.
+TRIE_SETS, TRIE_GRAMS = 4096, 4_000_000
 #: Up to so many candidate classes (16 bytes each) are broadcast to the scan that makes their sets.
 BROADCAST_ROWS = 1_000_000
 
@@ -347,10 +347,11 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = PERCENT, text: str = "tex
     edges = spool.table("edges", likely.mapInArrow(_candidates(percent), "a long, b long"))
     blocks = components(edges, spool, "blocks")
 
-    classes = spool.table("classes", rows.where("n_shingles > 0").groupBy("fp_high", "fp_low").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    sizes = blocks.groupBy("root").agg(F.count("*").alias("sets"))
-    pieces = sizes.select("root", F.ceil(F.col("sets") / TRIE_SETS).cast("int").alias("pieces"))
-    inside = classes.join(blocks, classes.fp_low == blocks.node).join(pieces, "root")
+    classes = spool.table("classes", rows.where("n_shingles > 0").groupBy("fp_high", "fp_low").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n_shingles").alias("size")))
+    members = classes.join(blocks, classes.fp_low == blocks.node)
+    sizes = members.groupBy("root").agg(F.count("*").alias("sets"), F.sum("size").alias("grams"))
+    pieces = sizes.select("root", F.ceil(F.greatest(F.col("sets") / TRIE_SETS, F.col("grams") / TRIE_GRAMS)).cast("int").alias("pieces"))
+    inside = members.join(pieces, "root")
     inside = spool.table("inside", inside.select(F.col("root").alias("block"), "rep", "copies", "pieces"))
     small = inside.count() <= BROADCAST_ROWS
     chosen = inside.select("block", F.col("rep").alias("doc_id"), "copies", "pieces")

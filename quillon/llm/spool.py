@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_roots: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +33,7 @@ class Spool:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/quillon/{name}-{uuid.uuid4().hex}"
+        _roots.append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -43,8 +45,18 @@ class Spool:
 
     def drop(self, name: str) -> None:
         """Delete a table that no later step reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, self.path(name))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete the tables of all calls so far. Their results are lazy and read them: write results first."""
+    while _roots:
+        _delete(spark, _roots.pop())
 
 
 def settle(spark: SparkSession) -> None:

@@ -62,9 +62,12 @@ def test_equals_all_pairs(spark, seed):
 
 
 def test_blocks_larger_than_a_trie(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "TRIE_SETS", 4)
     rows = families(3, families=4, each=14)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(ngram_join, "TRIE_SETS", 4)
+    assert answer(ngram_jaccard_join(df)) == brute(rows)
+    monkeypatch.setattr(ngram_join, "TRIE_SETS", 1000)
+    monkeypatch.setattr(ngram_join, "TRIE_GRAMS", 300)
     assert answer(ngram_jaccard_join(df)) == brute(rows)
 
 
