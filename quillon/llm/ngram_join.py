@@ -183,18 +183,19 @@ def _sets(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Trie:
-    """Sets in one order, frequent n-grams first, as a tree whose nodes are runs of n-grams."""
+    """Sets in one order, frequent n-grams first, as a tree whose nodes are runs of n-grams.
+    N-grams of one set alone overlap with nothing and are left out."""
 
     def __init__(self, sets: list[np.ndarray]):
         self.size = np.array([len(s) for s in sets])
         every = np.concatenate(sets)
-        self.names, local, count = np.unique(every, return_inverse=True, return_counts=True)
-        order = np.lexsort((self.names, -count))
+        names, local, count = np.unique(every, return_inverse=True, return_counts=True)
+        order = np.lexsort((names, -count))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        ends = np.cumsum(self.size)
-        self.sets = [np.sort(place[x]) for x in np.split(local, ends[:-1])]
-        self.width = len(order)
+        self.width = int((count > 1).sum())
+        self.sets = [np.sort(x[x < self.width]) for x in np.split(place[local], np.cumsum(self.size)[:-1])]
+        self.common = np.array([len(s) for s in self.sets])
         leaf = sorted(range(len(sets)), key=lambda i: self.sets[i].astype(">u4").tobytes())
         parent, runs, depth, below, at = [-1], [self.sets[0][:0]], [0], [[]], [0] * len(sets)
         path = [0]
@@ -236,7 +237,7 @@ class Trie:
         #: Over the sets below a node: least size, most n-grams after the node.
         self.least, self.longest = np.full(n, 1 << 60), np.zeros(n, np.int64)
         np.minimum.at(self.least, self.at, self.size)
-        np.maximum.at(self.longest, self.at, self.size)
+        np.maximum.at(self.longest, self.at, self.common)
         for front in reversed(levels):
             np.minimum.at(self.least, self.parent[front], self.least[front])
             np.maximum.at(self.longest, self.parent[front], self.longest[front])
@@ -245,25 +246,32 @@ class Trie:
         for front in levels:
             f = np.array(front)
             lengths = np.array([len(runs[v]) for v in front])
-            self.levels.append((f, np.concatenate([runs[v] for v in front]), np.r_[0, np.cumsum(lengths)[:-1]]))
+            self.levels.append((f, np.concatenate([runs[v] for v in front]), np.cumsum(lengths) - lengths, lengths))
 
     def linked(self, i: int, percent: int) -> np.ndarray:
-        """The sets that link with set i, itself included."""
-        has = np.zeros(self.width, bool)
-        has[self.sets[i]] = True
-        n = int(self.size[i])
+        """The other sets that link with set i."""
+        has = np.zeros(self.width, np.int32)
+        has[self.sets[i]] = 1
+        n, common = int(self.size[i]), int(self.common[i])
         overlap = np.full(len(self.parent), -1, np.int64)
         overlap[0] = 0
-        for nodes, run, starts in self.levels:
+        for nodes, run, starts, lengths in self.levels:
             above = overlap[self.parent[nodes]]
-            if not (above >= 0).any():
-                break
-            now = above + np.add.reduceat(has[run], starts, dtype=np.int64)
-            can = now + np.minimum(self.rest[nodes], n - now)
-            alive = (above >= 0) & ((100 + percent) * can >= percent * (n + self.least[nodes]))
+            # what the node and all below it could still add, before its n-grams are looked at
+            can = above + np.minimum(self.rest[nodes] + lengths, common - above)
+            open_ = np.flatnonzero((above >= 0) & ((100 + percent) * can >= percent * (n + self.least[nodes])))
+            if not len(open_):
+                continue
+            sizes = lengths[open_]
+            heads = np.cumsum(sizes) - sizes
+            now = above[open_] + np.add.reduceat(has[run[np.repeat(starts[open_] - heads, sizes) + np.arange(sizes.sum())]], heads)
+            nodes = nodes[open_]
+            can = now + np.minimum(self.rest[nodes], common - now)
+            alive = (100 + percent) * can >= percent * (n + self.least[nodes])
             overlap[nodes[alive]] = now[alive]
         mine = overlap[self.at]
-        return np.flatnonzero((mine >= 0) & ((100 + percent) * mine >= percent * (n + self.size)))
+        linked = np.flatnonzero((mine >= 0) & ((100 + percent) * mine >= percent * (n + self.size)))
+        return linked[linked != i]
 
 
 def _trie_join(percent: int):
@@ -284,7 +292,6 @@ def _trie_join(percent: int):
         links = []
         for i in range(len(ids)):
             with_i = trie.linked(i, percent)
-            with_i = with_i[with_i != i]
             if (side != 0).any():  # one piece against another
                 with_i = with_i[side[with_i] != side[i]]
             links.append(int(n[with_i].sum()))

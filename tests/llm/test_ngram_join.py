@@ -1,9 +1,10 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from quillon.llm import ngram_join
-from quillon.llm.ngram_join import ngram_jaccard_join
+from quillon.llm.ngram_join import Trie, ngram_jaccard_join
 
 
 def shingles(text, k=5):
@@ -78,6 +79,20 @@ def test_order_never_changes_the_result(spark, monkeypatch):
     assert answer(ngram_jaccard_join(df)) == brute(rows)
 
 
+def test_trie_equals_pairs():
+    r = np.random.default_rng(6)
+    base = [np.unique(r.integers(0, 1 << 40, 300).astype(np.uint64)) for _ in range(3)]
+    sets = []
+    for _ in range(60):
+        b = base[r.integers(3)]
+        kept = b[r.random(len(b)) > r.choice([0, 0.05, 0.1, 0.5])]
+        sets.append(np.unique(np.r_[kept, r.integers(0, 1 << 40, r.choice([0, 5, 40])).astype(np.uint64)]))
+    trie = Trie(sets)
+    for i, x in enumerate(sets):
+        want = [j for j, y in enumerate(sets) if j != i and 100 * (n := len(np.intersect1d(x, y))) >= 75 * (len(x) + len(y) - n)]
+        assert trie.linked(i, 75).tolist() == want
+
+
 def test_empty_table_and_other_columns(spark):
     df = spark.createDataFrame([], "doc_id long, text string, component_id int, block string")
     assert answer(ngram_jaccard_join(df)) == []
