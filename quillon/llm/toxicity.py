@@ -8,6 +8,7 @@ not seen; then each model is fitted to all training rows for use.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,9 +25,10 @@ TRAINING_ROWS = 20_000
 #: Bytes of the beginnings that are features of longer words.
 BEGINNINGS = (5, 6)
 #: Words and beginnings that are features: at most so many, by their chi-squared statistic with a category, in at
-#: least so many training texts and with at least that statistic (p about 1e-6).
-FEATURES, LEAST_TEXTS, LEAST_CHI2 = 2000, 4, 24.0
-FOLDS, PENALTY, STEPS = 5, 0.05, 600
+#: least so many training texts, with at least that statistic (p about 1e-6), and that many times as
+#: often in the category as in all training texts.
+FEATURES, LEAST_TEXTS, LEAST_CHI2, LEAST_LIFT = 2000, 4, 24.0, 3.0
+FOLDS, PENALTY, STEPS, CLOSE = 5, 0.05, 300, 1e-5
 #: A document is flagged from the lowest probability on at which out-of-fold flags are right with this precision.
 PRECISION, LOWEST = 0.98, 0.1
 #: Distinct attack features from which a toxic text counts as severe.
@@ -43,7 +45,7 @@ class Rows:
     width: int
     dense: np.ndarray
 
-    @property
+    @functools.cached_property
     def row(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.start) - 1), np.diff(self.start))
 
@@ -65,7 +67,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def fit_logistic(x: Rows, y: np.ndarray, penalty: float = PENALTY, steps: int = STEPS) -> np.ndarray:
+def fit_logistic(x: Rows, y: np.ndarray, penalty: float = PENALTY, steps: int = STEPS, close: float = CLOSE) -> np.ndarray:
     """Weights, the last dense column being the intercept; accelerated gradient descent, deterministic."""
     n, w = max(len(y), 1), np.zeros(x.width + x.dense.shape[1])
     per_row = np.diff(x.start) + (x.dense**2).sum(1) if len(y) else np.ones(1)
@@ -81,6 +83,8 @@ def fit_logistic(x: Rows, y: np.ndarray, penalty: float = PENALTY, steps: int =
             rate, v, t = rate / 2, w.copy(), 1.0
             loss = np.inf
             continue
+        if loss - now < close * loss and np.isfinite(loss):
+            break
         loss = now
         following = v - rate * (x.back(sigmoid(s) - y) / n + shrink * v)
         t_next = (1 + (1 + 4 * t * t) ** 0.5) / 2
@@ -196,8 +200,9 @@ def train(docs: DataFrame, labels: DataFrame, spool: Spool, most_rows: int = TRA
         below = b * d * F.lit(max(total, 1.0)) * F.lit(max(n - total, 1.0))
         return F.when(below > 0, F.lit(n) * F.pow(a * (d - c) - c * (b - a), 2) / below).otherwise(0.0)
 
-    each = each.where(f"n >= {LEAST_TEXTS}").select("word", "n", "t", chi2("t", toxic).alias("x_t"), chi2("q", low).alias("x_q"))
-    best = each.where(F.greatest("x_t", "x_q") >= LEAST_CHI2).orderBy(F.desc(F.greatest("x_t", "x_q")), "word").limit(FEATURES).toPandas()
+    each = each.where(f"n >= {LEAST_TEXTS}").select("word", "n", "t", "q", chi2("t", toxic).alias("x_t"), chi2("q", low).alias("x_q"))
+    telling = [(F.col(f"x_{k}") >= LEAST_CHI2) & (F.col(k) * F.lit(n) >= LEAST_LIFT * total * F.col("n")) for k, total in (("t", toxic), ("q", low))]
+    best = each.where(telling[0] | telling[1]).orderBy(F.desc(F.greatest("x_t", "x_q")), "word").limit(FEATURES).toPandas()
     words = np.sort(best["word"].to_numpy(np.int64).view(U))
     share = toxic / max(n, 1.0)
     attack = best[(best["x_t"] >= LEAST_CHI2) & (best["t"] > 2 * share * best["n"])]["word"].to_numpy(np.int64).view(U)
