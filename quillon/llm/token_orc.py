@@ -21,58 +21,124 @@ from quillon.llm.spool import parts_for, small_batches
 END_ID = 1
 STRIPE_BYTES, ROWS_PER_INDEX, BLOOM_FALSE_POSITIVES = 64 << 20, 10_000, 0.01
 #: Distinct words whose ids a worker remembers, and the longest word it does so for.
-WORDS_KEPT, LONGEST_KEPT = 1 << 19, 64
+WORDS_KEPT, LONGEST_KEPT = 1 << 20, 64
 _loaded: dict = {}
 
 
+#: Stands between words that are encoded in one call; a text's own special tokens go alone.
+_BETWEEN = "<|startoftext|>"
+_MARK = b"<|"
+#: ASCII marks that end a word and that pre-tokenization parts from a letter or digit before them.
+_CLOSING = b".,!?;:%$&*#)]}\"-"
+
+
+class _Known(dict):
+    """Numbers words in the order in which they are first asked for; new: those of them that have no ids yet."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+        self.asked = 0
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = self.asked
+        self.asked += 1
+        self.new.append(word)
+        return self.asked - 1
+
+
 class WordEncoder:
-    """Encodes with a tokenizer that drops white space, so that a text's ids are its words' ids in a row."""
+    """Encodes with a tokenizer that lower-cases, drops white space and parts letters from marks, so
+    that a text's ids are its words' ids in a row, and most words' ids those of a stem and of closing marks."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.between = self.tokenizer.token_to_id(_BETWEEN)
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.pool, self.ends = np.zeros(1 << 20, np.int32), [0]
-
-    def learn(self, words: list[bytes]) -> None:
-        encoded = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        for w, e in zip(words, encoded, strict=True):
-            ids, at = e.ids, self.ends[-1]
-            while at + len(ids) > len(self.pool):
-                self.pool = np.r_[self.pool, np.zeros_like(self.pool)]
-            self.pool[at : at + len(ids)] = ids
-            self.known[w] = len(self.ends) - 1
-            self.ends.append(at + len(ids))
+        self.known, self.pieces = _Known(), _Known()
+        self.pool, self.ends = np.zeros(1 << 20, np.int32), np.zeros(1, np.int64)
+        #: Of each word: the numbers of its stem and closing marks.
+        self.stems, self.closings = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    @staticmethod
+    def cut(word: bytes) -> tuple[bytes, bytes]:
+        """Stem and closing marks; all of a word in the stem where the two might not part."""
+        stem = word.rstrip(_CLOSING)
+        if _MARK in word:
+            return word, b""
+        if stem.isascii():
+            return (stem.lower(), word[len(stem) :]) if stem[-1:].isalnum() else (word, b"")
+        last = stem.decode()[-1:]
+        return (stem, word[len(stem) :]) if last.isascii() and last.isalnum() or last.lower().isalpha() else (word, b"")
+
+    def _learn(self) -> None:
+        """Cut new words, and give new pieces their ids."""
+        stems, closings, number = [], [], self.pieces.__getitem__
+        for w in self.known.new:
+            stem = w.rstrip(_CLOSING)
+            if stem.isascii() and stem[-1:].isalnum() and _MARK not in w:  # most words
+                stems.append(number(stem.lower()))
+                closings.append(number(w[len(stem) :]))
+            else:
+                stem, closing = self.cut(w)
+                stems.append(number(stem))
+                closings.append(number(closing))
+        self.stems, self.closings = np.r_[self.stems, np.array(stems, np.int64)], np.r_[self.closings, np.array(closings, np.int64)]
+        new, runs, sizes = self.pieces.new, [], []
+        marked = {i for i, p in enumerate(new) if _MARK in p}
+        for low in range(0, len(new), 1 << 14):
+            groups = [new[i : i + 256] for i in range(low, min(low + (1 << 14), len(new)), 256)]
+            calls = [_BETWEEN.join("" if _MARK in p else p.decode() for p in g) for g in groups]
+            for g, e in zip(groups, self.tokenizer.encode_batch_fast(calls, add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, np.int32)
+                edges = np.flatnonzero(ids == self.between)
+                sizes.append(np.diff(np.r_[-1, edges, len(ids)]) - 1)
+                runs.append(np.delete(ids, edges))
+        if marked:  # texts' own special tokens
+            size = np.concatenate(sizes)
+            cut = np.split(np.concatenate(runs), np.cumsum(size)[:-1])
+            for i in marked:
+                cut[i] = np.array(self.tokenizer.encode(new[i].decode(), add_special_tokens=False).ids, np.int32)
+            runs, sizes = cut, [np.array([len(x) for x in cut], np.int64)]
+        flat, at = np.concatenate([self.pool[:0], *runs]), int(self.ends[-1])
+        while at + len(flat) > len(self.pool):
+            self.pool = np.r_[self.pool, np.zeros_like(self.pool)]
+        self.pool[at : at + len(flat)] = flat
+        self.ends = np.r_[self.ends, at + np.cumsum(np.concatenate([self.ends[:0], *sizes]), dtype=np.int64)]
+        for held in (self.known, self.pieces):
+            for w in held.new:  # long words are not worth their room
+                if len(w) > LONGEST_KEPT:
+                    del held[w]
+            held.new = []
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each closed by end_id, and where each text's ids end."""
-        split = [t.split() for t in texts]
-        new = {w for words in split for w in words if w not in self.known}
-        if len(self.known) + len(new) > WORDS_KEPT:
+        if len(self.known) > WORDS_KEPT or len(self.pool) > 32 * WORDS_KEPT:
             self.forget()
-            new = {w for words in split for w in words}
-        once = {w for w in new if len(w) > LONGEST_KEPT}
-        self.learn(sorted(new))
-        get, end = self.known.__getitem__, len(self.ends) - 1
-        index = np.fromiter((i for words in split for i in (*map(get, words), end)), np.int64)
-        starts = np.array([*self.ends, self.ends[-1]], np.int64)
-        lengths = np.diff(starts)[index]
-        closing = np.cumsum([len(words) + 1 for words in split]) - 1 if split else np.zeros(0, np.int64)
-        lengths[closing] = 1
+        split, get = [t.split() for t in texts], self.known.__getitem__
+        index = np.fromiter((i for words in split for i in (*map(get, words), 0)), np.int64)
+        if self.known.new:
+            self._learn()
+        if not len(index):
+            return self.pool[:0], index
+        closing = np.cumsum([len(words) + 1 for words in split]) - 1
+        if not len(self.stems):
+            index, stems, closings = np.zeros(len(index), np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+            starts = np.zeros(2, np.int64)
+        else:
+            stems, closings, starts = self.stems, self.closings, self.ends
+        piece = np.stack([stems[index], closings[index]], axis=1).ravel()
+        lengths = np.diff(starts)[piece]
+        lengths[2 * closing], lengths[2 * closing + 1] = 1, 0
         ends = np.cumsum(lengths)
-        first = starts[index]
-        ids = self.pool[np.minimum(np.repeat(first - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0), len(self.pool) - 1)]
-        ids[ends[closing] - 1] = end_id
-        for w in once:  # long words are not worth their room
-            del self.known[w]
-        if len(self.pool) > 16 * WORDS_KEPT:
-            self.forget()
-        return ids, ends[closing]
+        ids = self.pool[np.minimum(np.repeat(starts[piece] - (ends - lengths), lengths) + np.arange(ends[-1]), len(self.pool) - 1)]
+        ends = ends[2 * closing]
+        ids[ends - 1] = end_id
+        return ids, ends
 
 
 def _encoder(path: str) -> WordEncoder:
