@@ -21,7 +21,7 @@ from quillon.llm.spool import parts_for, small_batches
 END_ID = 1
 STRIPE_BYTES, ROWS_PER_INDEX, BLOOM_FALSE_POSITIVES = 64 << 20, 10_000, 0.01
 #: Distinct words whose ids a worker remembers, and the longest word it does so for.
-WORDS_KEPT, LONGEST_KEPT = 1 << 20, 64
+WORDS_KEPT, LONGEST_KEPT = 1 << 18, 64
 _loaded: dict = {}
 
 
