@@ -25,14 +25,15 @@ TRAINING_ROWS = 20_000
 #: Bytes of the beginnings that are features of longer words.
 BEGINNINGS = (5, 6)
 #: Words and beginnings that are features: at most so many, by their chi-squared statistic with a category, in at
-#: least so many training texts, with at least that statistic (p about 1e-6), and that many times as
-#: often in the category as in all training texts.
-FEATURES, LEAST_TEXTS, LEAST_CHI2, LEAST_LIFT = 2000, 4, 24.0, 3.0
+#: least so many training texts and with at least that statistic (p about 1e-6).
+FEATURES, LEAST_TEXTS, LEAST_CHI2 = 2000, 4, 24.0
 FOLDS, PENALTY, STEPS, CLOSE = 5, 0.05, 300, 1e-5
 #: A document is flagged from the lowest probability on at which out-of-fold flags are right with this precision.
 PRECISION, LOWEST = 0.98, 0.1
 #: Distinct attack features from which a toxic text counts as severe.
 SEVERE_WORDS = 8
+#: Attack features: those with chi-squared for toxic that more than so many times the share of toxic texts has, compared with the others.
+ATTACK_RATIO = 2.0
 U = np.uint64
 
 
@@ -49,11 +50,18 @@ class Rows:
     def row(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.start) - 1), np.diff(self.start))
 
+    @functools.cached_property
+    def columns(self) -> tuple[np.ndarray, np.ndarray]:
+        """The rows that have each feature, in a row, and where each feature's begin."""
+        order = np.argsort(self.index, kind="stable")
+        return self.row[order], np.r_[0, np.cumsum(np.bincount(self.index, minlength=self.width))]
+
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[: self.width][self.index], len(self.start) - 1) + self.dense @ w[self.width :]
+        return run_sums(w[: self.width][self.index], self.start) + self.dense @ w[self.width :]
 
     def back(self, e: np.ndarray) -> np.ndarray:
-        return np.r_[np.bincount(self.index, e[self.row], self.width), self.dense.T @ e]
+        row, start = self.columns
+        return np.r_[run_sums(e[row], start), self.dense.T @ e]
 
     def take(self, rows: np.ndarray) -> Rows:
         parts = [self.index[self.start[i] : self.start[i + 1]] for i in rows]
@@ -63,6 +71,14 @@ class Rows:
         return Rows(self.index, self.start, self.width, np.column_stack([self.dense, column]))
 
 
+def run_sums(values: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The sum of values[start[i]:start[i + 1]] for each i."""
+    out, full = np.zeros(len(start) - 1), np.flatnonzero(start[1:] > start[:-1])
+    if len(full):
+        out[full] = np.add.reduceat(values, start[full])
+    return out
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
@@ -200,12 +216,10 @@ def train(docs: DataFrame, labels: DataFrame, spool: Spool, most_rows: int = TRA
         below = b * d * F.lit(max(total, 1.0)) * F.lit(max(n - total, 1.0))
         return F.when(below > 0, F.lit(n) * F.pow(a * (d - c) - c * (b - a), 2) / below).otherwise(0.0)
 
-    each = each.where(f"n >= {LEAST_TEXTS}").select("word", "n", "t", "q", chi2("t", toxic).alias("x_t"), chi2("q", low).alias("x_q"))
-    telling = [(F.col(f"x_{k}") >= LEAST_CHI2) & (F.col(k) * F.lit(n) >= LEAST_LIFT * total * F.col("n")) for k, total in (("t", toxic), ("q", low))]
-    best = each.where(telling[0] | telling[1]).orderBy(F.desc(F.greatest("x_t", "x_q")), "word").limit(FEATURES).toPandas()
+    each = each.where(f"n >= {LEAST_TEXTS}").select("word", "n", "t", chi2("t", toxic).alias("x_t"), chi2("q", low).alias("x_q"))
+    best = each.where(F.greatest("x_t", "x_q") >= LEAST_CHI2).orderBy(F.desc(F.greatest("x_t", "x_q")), "word").limit(FEATURES).toPandas()
     words = np.sort(best["word"].to_numpy(np.int64).view(U))
-    share = toxic / max(n, 1.0)
-    attack = best[(best["x_t"] >= LEAST_CHI2) & (best["t"] > 2 * share * best["n"])]["word"].to_numpy(np.int64).view(U)
+    attack = best[(best["x_t"] >= LEAST_CHI2) & (best["t"] * (n - toxic) > ATTACK_RATIO * (best["n"] - best["t"]) * toxic)]["word"].to_numpy(np.int64).view(U)
     kept = rows.select("doc_id", "quality", "toxic", F.array_intersect("words", F.lit(words.view(np.int64).tolist()).cast("array<long>")).alias("words"))
     held = kept.orderBy("doc_id").toPandas()  # bounded by TRAINING_ROWS and FEATURES
     lists = [np.searchsorted(words, np.sort(np.asarray(w, np.int64).view(U))) for w in held["words"]]

@@ -49,3 +49,13 @@ def test_nulls_repeats_and_empty_tables(spark, labels):
     got = toxicity(docs, marks).collect()
     assert len(got) == len(rows) and all(0 <= r.p_toxic <= 1 for r in got)
     assert toxicity(docs.limit(0), marks).count() == 0
+
+
+def test_half_the_labels_toxic(spark):
+    r = np.random.default_rng(5)
+    plain, attack = [f"word{i}" for i in range(60)], [f"vile{i}" for i in range(12)]
+    rows = [(i, " ".join([*r.choice(plain, 20), *(r.choice(attack, 8, replace=False) if i % 2 else ())])) for i in range(400)]
+    marks = spark.createDataFrame([(i, 1, i % 2) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x for x in toxicity(spark.createDataFrame(rows, "doc_id long, text string"), marks).collect()}
+    assert all(got[i].toxic == (i % 2 == 1) for i in range(300, 400))
+    assert all((got[i].p_severe > 0.5) == (i % 2 == 1) for i in range(300, 400))
