@@ -34,6 +34,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
+_DIGIT = re.compile(r"[0-9]")
 
 Span = tuple[int, int, str]
 
@@ -85,7 +86,7 @@ GENERATORS: dict[str, tuple[str, str, re.Pattern]] = {
     "national": ("national_id", "-", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
     "iban": ("account", "", re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     "ipv6": ("ip", ":", re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")),
-    "key": ("secret", "", re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z/+_-]{0,60}[0-9])[A-Za-z0-9+/_-]{20,200}={0,2}(?![A-Za-z0-9+/_=-])")),
+    "key": ("secret", "", re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")),
     "spelled_mail": ("email", "dot", re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9._-]{1,64}\x20?[(\[]?\x20?at\x20?[)\]]?\x20?[A-Za-z0-9-]{1,40}(?:\x20?[(\[]?\x20?dot\x20?[)\]]?\x20?[A-Za-z]{2,12})+")),
 }
 _NAMES = list(GENERATORS)
@@ -108,7 +109,7 @@ def proposals(text: str) -> list[tuple[int, int, int]]:
     for i, name in enumerate(_NAMES):
         _, needs, pattern = GENERATORS[name]
         if needs in text:
-            out += [(m.start(), m.end(), i) for m in pattern.finditer(text)]
+            out += [(m.start(), m.end(), i) for m in pattern.finditer(text) if name != "key" or _DIGIT.search(text, m.start(), m.end())]
     return out
 
 
@@ -158,7 +159,7 @@ def examples(n: int, seed: int) -> list[tuple[str, list[Span]]]:
         (lambda: f"{d(3)}-{d(2)}-{d(4)}", "national_id", ["ssn {}", "social security number {}", "my SSN is {}", "taxpayer id {}", "{}"]),
         (iban, "account", ["iban {}", "transfer to {}", "account: {}", "{}"]),
         (lambda: d(r.choice([8, 9, 10, 12])), "account", ["account number {}", "bank account: {}", "routing {}", "deposit to account {}"]),
-        (lambda: r.choice([hexa(32), hexa(40), hexa(64), mixed(24), mixed(40)]), "secret", ['token = "{}"', "api_key={}", "secret: {}", "password: {}", "Authorization: Bearer {}", 'key = "{}"', "auth token {}"]),
+        (lambda: r.choice([hexa(32), hexa(40), hexa(64), hexa(256), mixed(24), mixed(40), mixed(r.choice([100, 250, 500]))]), "secret", ['token = "{}"', "api_key={}", "secret: {}", "password: {}", "Authorization: Bearer {}", 'key = "{}"', "auth token {}"]),
         (lambda: ":".join(hexa(4) for _ in range(8)), "ip", ["server {}", "host {}", "connect to {}", "ping {}", "{}"]),
         (lambda: f"{word()}.{word()} at {word()} dot {r.choice(['com', 'org', 'net'])}", "email", ["mail {}", "write to {}", "contact {}", "reach {}", "{}"]),
         (lambda: f"{word()}{d(2)} [at] {word()} [dot] com", "email", ["mail {}", "{}"]),
@@ -170,7 +171,7 @@ def examples(n: int, seed: int) -> list[tuple[str, list[Span]]]:
         (lambda: f"{r.choice(['19', '20'])}{d(2)}-{r.choice(['01', '12'])}-{d(2)}", ["date {}", "{}"]),
         (lambda: f"{d(3)}-{d(2)}-{d(4)}", ["part {}", "isbn {}", "model {}"]),
         (lambda: d(r.choice([8, 9, 10, 13, 16])), ["isbn {}", "order {}", "item {}", "{}", "id={}", "page {}", "version {}"]),
-        (lambda: r.choice([hexa(40), hexa(64), hexa(32)]), ["commit {}", "sha {}", "checksum {}", "hash {}", "/{}/"]),
+        (lambda: r.choice([hexa(40), hexa(64), hexa(32), hexa(256)]), ["commit {}", "sha {}", "checksum {}", "hash {}", "/{}/"]),
         (lambda: "-".join(word() for _ in range(8)) + d(1), ["{}", "page {}", "/{}"]),
         (lambda: f"{r.choice(['AB', 'QX'])}{d(2)} {d(4)} {d(4)}", ["part {}", "model {}", "{}"]),
         (lambda: ":".join(d(2) for _ in range(4)), ["version {}", "date {}", "{}"]),

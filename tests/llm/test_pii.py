@@ -4,7 +4,7 @@ import re
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from quillon.llm.pii import GENERATORS, KINDS, Boosted, base_spans, examples, find_personal_data, labelled, listed, luhn, redacted, spans, train
+from quillon.llm.pii import GENERATORS, KINDS, Boosted, base_spans, examples, find_personal_data, labelled, listed, luhn, proposals, redacted, spans, train
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -80,3 +80,16 @@ def test_whole_table(spark, sf):
         want.append((d, *n, hashlib.sha256(listed(base).encode()).hexdigest(), listed(every)))
     assert got == sorted(want, key=str)
     assert find_personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_secrets_and_late_digits():
+    r = np.random.default_rng(8)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_-"
+    for n in (201, 256, 400, 2000):
+        for key in ("".join(r.choice(list("0123456789abcdef"), n)), "".join(r.choice(list(letters + "0123456789"), n - 2)) + "7x=="):
+            for head in ('token = "', "Authorization: Bearer "):
+                t = f"{head}{key}{'"' if '"' in head else ''} and more"
+                assert spans(t, train()) == [(len(head), len(head) + len(key), "secret")]
+    late = "".join(r.choice(list(letters), 70)) + "5"
+    assert any(late == f"secret: {late}"[a:b] for a, b, _ in proposals(f"secret: {late}"))
+    assert not proposals("a" * 300)
