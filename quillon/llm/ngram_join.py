@@ -39,7 +39,7 @@ MORE = 10
 BLOCK = 1_000_000
 #: Sets, and n-grams in them, of one trie; a larger block is cut into pieces, each pair of which is one trie join.
 TRIE_SETS, TRIE_GRAMS = 4096, 4_000_000
-#: Up to so many candidate classes (16 bytes each) are broadcast to the scan that makes their sets.
+#: Up to so many candidate classes (40 bytes each) are broadcast to the scan that makes their sets.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -176,10 +176,16 @@ def _candidates(percent: int):
 
 
 def _sets(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates' texts to their sets, in blocks."""
+    """Candidates' texts to their sets, in blocks. Rows that repeat a doc_id with another set are left out, with the same set, sent once."""
+    seen: set[tuple[str, int]] = set()
     for b in source:
-        packed = [s.tobytes() for s in shingle_sets(b.column("text"), WORDS)]
-        yield pa.RecordBatch.from_arrays([b.column("block"), b.column("part"), b.column("side"), b.column("doc_id"), b.column("copies"), pa.array(packed, pa.binary())], ["block", "part", "side", "doc_id", "copies", "grams"])
+        packed, keep = [s.tobytes() for s in shingle_sets(b.column("text"), WORDS)], []
+        for i, (part, node, s) in enumerate(zip(b.column("part").to_pylist(), b.column("node").to_numpy().view(U).tolist(), packed, strict=True)):
+            if (part, node) not in seen and xxhash.xxh3_128_intdigest(s) & (1 << 64) - 1 == node:
+                seen.add((part, node))
+                keep.append(i)
+        b = pa.RecordBatch.from_arrays([b.column("block"), b.column("part"), b.column("side"), b.column("node"), b.column("doc_id"), b.column("copies"), pa.array(packed, pa.binary())], ["block", "part", "side", "node", "doc_id", "copies", "grams"])
+        yield b.take(pa.array(keep, pa.int64()))
 
 
 class Trie:
@@ -275,11 +281,11 @@ class Trie:
 
 
 def _trie_join(percent: int):
-    """Map sets, sorted by block and part, to (doc_id, root, links, whole): the component within
-    the trie, the number of linked texts in it, and if the trie held the whole block."""
+    """Map sets, sorted by block, part and node, to (node, root, least, links, whole): the component within
+    the trie, its smallest doc_id, the number of linked texts in it, and if the trie held the whole block."""
 
     def one(rows: list[tuple], whole: bool) -> Iterator[tuple]:
-        side, ids, copies, sets = zip(*rows, strict=True)
+        side, nodes, ids, copies, sets = zip(*rows, strict=True)
         trie, root = Trie(list(sets)), list(range(len(ids)))
 
         def find(x: int) -> int:
@@ -300,23 +306,24 @@ def _trie_join(percent: int):
                 if a != b:
                     a, b = (a, b) if ids[a] < ids[b] else (b, a)
                     root[b] = a
-        for i, d in enumerate(ids):
-            yield d, ids[find(i)], links[i], whole
+        for i, node in enumerate(nodes):
+            yield node, nodes[find(i)], ids[find(i)], links[i], whole
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
         def done() -> pa.RecordBatch:
-            a, b, c, d = zip(*one(held, key[1] == ""), strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.bool_())], ["doc_id", "root", "links", "whole"])
+            *n, whole = zip(*one(held, key[1] == ""), strict=True)
+            return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in n), pa.array(whole, pa.bool_())], ["node", "root", "least", "links", "whole"])
 
         for b in source:
-            for block, part, side, doc, copies, packed in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            for block, part, side, node, doc, copies, packed in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
                 if (block, part) != key:
                     if held:
                         yield done()
                     key, held = (block, part), []
-                held.append((side, doc, copies, np.frombuffer(packed, U)))
+                if not held or held[-1][1] != node:  # the same set from two map tasks is one
+                    held.append((side, node, doc, copies, np.frombuffer(packed, U)))
         if held:
             yield done()
 
@@ -359,29 +366,33 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = PERCENT, text: str = "tex
     sizes = members.groupBy("root").agg(F.count("*").alias("sets"), F.sum("size").alias("grams"))
     pieces = sizes.select("root", F.ceil(F.greatest(F.col("sets") / TRIE_SETS, F.col("grams") / TRIE_GRAMS)).cast("int").alias("pieces"))
     inside = members.join(pieces, "root")
-    inside = spool.table("inside", inside.select(F.col("root").alias("block"), "rep", "copies", "pieces"))
+    inside = spool.table("inside", inside.select(F.col("root").alias("block"), "node", "rep", "copies", "pieces"))
     small = inside.count() <= BROADCAST_ROWS
-    chosen = inside.select("block", F.col("rep").alias("doc_id"), "copies", "pieces")
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("int")
+    chosen = inside.select("block", "node", F.col("rep").alias("doc_id"), "copies", "pieces")
+    mine = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")
     found = docs.join(F.broadcast(chosen) if small else chosen, "doc_id").withColumn("mine", mine)
     found = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     found = found.select(
         "block",
         F.when(F.col("pieces") == 1, "").otherwise(F.concat_ws("-", F.least("mine", "other"), F.greatest("mine", "other"))).alias("part"),
         F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
-        "doc_id", "copies", "text",
+        "node", "doc_id", "copies", "text",
     )
-    sets = found.mapInArrow(_sets, "block long, part string, side int, doc_id long, copies long, grams binary")
-    sets = sets.repartition(bins, "block", "part").sortWithinPartitions("block", "part", "doc_id")
-    linked = spool.table("linked", sets.mapInArrow(_trie_join(percent), "doc_id long, root long, links long, whole boolean"))
+    sets = found.mapInArrow(_sets, "block long, part string, side int, node long, doc_id long, copies long, grams binary")
+    sets = sets.repartition(bins, "block", "part").sortWithinPartitions("block", "part", "node")
+    linked = spool.table("linked", sets.mapInArrow(_trie_join(percent), "node long, root long, least long, links long, whole boolean"))
 
-    roots = linked.where("whole").select(F.col("doc_id").alias("node"), "root")
+    roots = linked.where("whole").select("node", F.col("least").alias("component"))
     cut = linked.where("not whole")
     if not cut.isEmpty():
-        roots = roots.union(components(cut.select(F.col("doc_id").alias("a"), F.col("root").alias("b")), spool, "across"))
-    links = linked.groupBy(F.col("doc_id").alias("node")).agg(F.sum("links").alias("links"))
-    per_class = classes.join(roots.join(links, "node"), classes.rep == F.col("node"), "left")
-    per_class = per_class.select("fp_high", "fp_low", F.coalesce("root", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+        across = components(cut.select(F.col("node").alias("a"), F.col("root").alias("b")), spool, "across")
+        within = cut.groupBy("node").agg(F.min("least").alias("least"))
+        joined = spool.table("joined", within.join(across, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
+        least = joined.groupBy("root").agg(F.min("least").alias("component"))
+        roots = roots.union(joined.join(least, "root").select("node", "component"))
+    links = linked.groupBy("node").agg(F.sum("links").alias("links"))
+    per_class = classes.join(roots.join(links, "node"), classes.fp_low == F.col("node"), "left")
+    per_class = per_class.select("fp_high", "fp_low", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     settle(spark)
     out = rows.join(per_class, ["fp_high", "fp_low"], "left")
     linkable = F.col("n_shingles") > 0

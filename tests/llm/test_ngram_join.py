@@ -72,6 +72,16 @@ def test_blocks_larger_than_a_trie(spark, monkeypatch):
     assert answer(ngram_jaccard_join(df)) == brute(rows)
 
 
+@pytest.mark.parametrize("most", [4096, 2])
+def test_repeated_ids_with_near_copies(spark, monkeypatch, most):
+    monkeypatch.setattr(ngram_join, "TRIE_SETS", most)
+    a, b = ([f"{k}{i}" for i in range(60)] for k in "ab")
+    near = lambda t, i: " ".join([*t[:i], "changed", *t[i + 1 :]])
+    rows = [(5, " ".join(a)), (5, " ".join(a)), (6, near(a, 0)), (5, " ".join(b)), (4, near(b, 59)), (8, near(a, 59)), (8, near(b, 0)), (8, "other text"), (6, near(a, 0))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert answer(ngram_jaccard_join(df)) == brute(rows)
+
+
 def test_order_never_changes_the_result(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "LOCAL_DF", 1)
     rows = families(4)
