@@ -235,7 +235,8 @@ def search_filtered_paged(s, d):
 
 @query("search_threshold", f"SELECT doc_id FROM {scored_sql(['and', 'est'])} WHERE score >= 1.5 ORDER BY score DESC, CAST(doc_id AS VARCHAR) LIMIT 100000")
 def search_threshold(s, d):
-    return search.search(docs(s, d), SearchRequest("and est", threshold=1.5, attributes=["doc_id"], limit=100000))
+    found = search.matches(docs(s, d), SearchRequest("and est", threshold=1.5), "doc_id", "text")
+    return found.orderBy(F.desc("score"), F.col("doc_id").cast("string")).select("doc_id")
 
 
 @query("search_sort_attr", f"SELECT doc_id, n_chars FROM {scored_sql(['que'])} ORDER BY n_chars DESC, score DESC, CAST(doc_id AS VARCHAR) LIMIT 15")

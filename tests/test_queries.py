@@ -17,3 +17,7 @@ def test_query_equals_its_sql(spark, sf, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_query_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
+
+
+def test_threshold_has_no_limit(spark, sf):
+    assert "Limit" not in QUERIES["search_threshold"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
