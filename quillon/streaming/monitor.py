@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 BUCKETS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
 
 
-def ewma(log: DataFrame, node: str, ts: str, value: str, half_life_s: float, tail: int = 256) -> DataFrame:
+def ewma(log: DataFrame, node: str, ts: str, value: str, half_life_s: float) -> DataFrame:
     """(node, ewma): a sample Δt seconds after the last one weighs 1 - 0.5 ** (Δt / half-life); the first one counts whole.
 
-    A node's samples are folded in windows of an hour; ``tail`` hours are kept, beyond which a sample's weight is
-    below any float for half-lives up to minutes. No task holds more than that for a node.
+    A node's samples are folded in windows of an hour, hours in days, days in spans of 256, and these in one: all
+    count, whatever the half-life, and no task holds more than one of these windows' parts for a node at once.
     """
     w = W.partitionBy(node).orderBy(ts, value)
     at = F.col(ts).cast("timestamp").cast("double")
@@ -23,10 +23,11 @@ def ewma(log: DataFrame, node: str, ts: str, value: str, half_life_s: float, tai
     pair = F.struct(F.col(ts).alias("t"), F.coalesce(F.pow(F.lit(0.5), F.col("dt") / half_life_s), F.lit(0.0)).alias("d"), F.col("v"))
     fold = lambda xs: F.aggregate(F.array_sort(xs), F.struct(F.lit(1.0).alias("d"), F.lit(0.0).alias("c")), lambda s, x: F.struct((s.d * x.d).alias("d"), (s.c * x.d + (1 - x.d) * x.v).alias("c")))
     hours = step.groupBy(node, hour).agg(fold(F.collect_list(pair)).alias("p"))
-    recent = hours.withColumn("_n", F.row_number().over(W.partitionBy(node).orderBy(F.desc("hour")))).where(F.col("_n") <= tail)
-    return recent.groupBy(node).agg(F.array_sort(F.collect_list(F.struct("hour", "p"))).alias("ps")).select(
-        node, F.aggregate("ps", F.lit(0.0), lambda s, x: s * x.p.d + x.p.c).alias("ewma")
-    )
+    compose = lambda ps: F.aggregate(F.array_sort(ps), F.struct(F.lit(1.0).alias("d"), F.lit(0.0).alias("c")), lambda s, x: F.struct((s.d * x.p.d).alias("d"), (s.c * x.p.d + x.p.c).alias("c")))
+    parts = hours
+    for n in (24, 256):
+        parts = parts.groupBy(node, F.floor(F.col("hour") / n).alias("hour")).agg(compose(F.collect_list(F.struct("hour", "p"))).alias("p"))
+    return parts.groupBy(node).agg(compose(F.collect_list(F.struct("hour", "p"))).alias("p")).select(node, F.col("p.c").alias("ewma"))
 
 
 def replica_score(latency: Column, inflight: Column, errors: Column) -> Column:

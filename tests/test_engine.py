@@ -204,3 +204,14 @@ def test_canaries(spark):
     r = spark.createDataFrame([("c", 3, "a", 9, ["a", "b"])], "name string, hits long, first_id string, millis long, top array<string>")
     a = spark.createDataFrame([("c", "min_hits", "2", None), ("c", "top_hit_id", "b", None), ("c", "top_k_contains", None, ["b"]), ("c", "max_latency_ms", "5", None), ("lost", "not_empty", None, None)], "name string, kind string, value string, ids array<string>")
     assert {x.kind: x.passed for x in monitor.canary(r, a).collect()} == {"min_hits": True, "top_hit_id": False, "top_k_contains": True, "max_latency_ms": False, "not_empty": False}
+
+
+def test_ewma_keeps_all_for_long_half_lives(spark):
+    day = datetime.datetime(2024, 1, 1)
+    rows = [("a", day + datetime.timedelta(hours=i), float(i % 7) if i > 100 else 1000.0) for i in range(500)]
+    half, want = 30 * 86400.0, rows[0][2]
+    for (_, before, _), (_, ts, v) in zip(rows, rows[1:], strict=False):
+        d = 0.5 ** ((ts - before).total_seconds() / half)
+        want = d * want + (1 - d) * v
+    got = monitor.ewma(spark.createDataFrame(rows, "node string, ts timestamp, value double"), "node", "ts", "value", half).first().ewma
+    assert got == pytest.approx(want)
