@@ -24,10 +24,12 @@ WORDS, PERCENT = 5, 75
 #: Rows of a band, and the greatest probability of missing a window that has the wanted share.
 ROWS, MISS = 1, 0.001
 
-#: Notices and opening texts of public licenses.
+#: Notices and opening texts of public licenses. Not a whole catalogue: licenses and wordings that
+#: aren't here aren't found; callers may pass their own.
 TEMPLATES: dict[str, list[str]] = {
     "MIT": [
         "Released under the MIT License.",
+        "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
     ],
     "Apache-2.0": [
@@ -39,12 +41,18 @@ TEMPLATES: dict[str, list[str]] = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
+    "GPL-2.0": ["GNU General Public License, version 2"],
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", "terms of the GNU Affero General Public License as published"],
     "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License."],
+    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "CC0-1.0": ["Creative Commons CC0 1.0 Universal", "CC0 1.0 Universal (CC0 1.0) Public Domain Dedication"],
+    "EPL-2.0": ["the Eclipse Public License 2.0"],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
@@ -161,7 +169,8 @@ def _scan(t: Templates):
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row a document: doc_id, n_licenses, licenses (sorted, comma-joined), matches.
+    """One row a document for the licenses in ``templates`` (TEMPLATES by default: 16 licenses, by notices and opening texts
+    only): doc_id, n_licenses, licenses (sorted, comma-joined), matches.
 
     matches: for each template found license, containment (share of its word 5-grams in the best window) and
     the words they span. Words are lower-cased runs of letters, digits and characters beyond ASCII. Null and empty texts have none.

@@ -75,3 +75,9 @@ def test_empty_table(spark):
 def test_synthetic_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert {r.doc_id: r.licenses for r in scan_licenses(docs).collect()} == {r.doc_id: brute(r.text) for r in docs.collect()}
+
+
+def test_usual_notices(spark):
+    rows = [("MIT", "This project is licensed under the MIT License - see LICENSE"), ("AGPL-3.0", "GNU Affero General Public License, version 3"), ("GPL-2.0", "under the GNU General Public License version 2 only"), ("GPL-3.0", TEMPLATES["GPL-3.0"][1]), ("BSD-2-Clause", "licensed under the BSD 2-clause license"), ("EPL-2.0", "under the terms of the Eclipse Public License 2.0"), ("CC0-1.0", "Creative Commons CC0 1.0 Universal"), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"), ("CC-BY-4.0", TEMPLATES["CC-BY-4.0"][0])]
+    df = spark.createDataFrame(list(enumerate(t for _, t in rows)), "doc_id long, text string")
+    assert [r.licenses for r in scan_licenses(df).orderBy("doc_id").collect()] == [n for n, _ in rows]
