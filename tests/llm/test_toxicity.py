@@ -59,3 +59,16 @@ def test_half_the_labels_toxic(spark):
     got = {x.doc_id: x for x in toxicity(spark.createDataFrame(rows, "doc_id long, text string"), marks).collect()}
     assert all(got[i].toxic == (i % 2 == 1) for i in range(300, 400))
     assert all((got[i].p_severe > 0.5) == (i % 2 == 1) for i in range(300, 400))
+
+
+def test_default_stop_is_near_the_optimum():
+    r = np.random.default_rng(6)
+    bits = r.random((2000, 40)) < 0.2
+    y = (r.random(2000) < sigmoid(bits @ r.normal(0, 1.5, 40) - 1)).astype(float)
+    x = rows_of(bits)
+
+    def loss(w):
+        s = x.dot(w)
+        return np.logaddexp(0, np.where(y > 0, -s, s)).mean() + 0.5 * 0.05 / 2000 * (w[:40] ** 2).sum()
+
+    assert loss(fit_logistic(x, y)) <= 1.005 * loss(fit_logistic(x, y, steps=5000, close=-1.0))
