@@ -45,6 +45,24 @@ def test_words_give_the_ids_of_whole_texts(plain):
         assert got == [[*plain.encode(t, add_special_tokens=False).ids, 1] for t in texts[i : i + 500]]
 
 
+@pytest.mark.parametrize("most", [40, 300])
+def test_forgetting_pieces_changes_no_id(plain, most):
+    r = random.Random(most)
+    pieces = [*"abcXYZ019'.,!|<é漢 \n\x00", "<|endoftext|>", "<|ENDOFTEXT|>", "J\u030c", "'LL", "word", "naïveté", "supercalifragilisticexpialidocious"]
+    encoder = WordEncoder(PATH, most)
+    for _ in range(5):
+        texts = ["".join(r.choices(pieces, k=r.choice([0, 1, 5, 200]))) for _ in range(400)]
+        ids, ends = encoder.encode([t.encode() for t in texts], 1)
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == [[*plain.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts, whole = ["It's  two\nlines", "", "é"], Tokenizer.from_file(path)
+    ids, ends = WordEncoder(path).encode([t.encode() for t in texts], 1)
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [[*whole.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
 def test_files_hold_every_id_in_order(spark, sf, plain):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [(d - 1000, t) for d, t in EDGE]
     df = spark.createDataFrame([(d, t, 1, "f") for d, t in rows], "doc_id long, text string, start int, file string").repartition(4)
