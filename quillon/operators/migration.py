@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PHASES = ["idle", "dual_write", "migrating", "cutover_begin", "draining", "delta", "activating", "cleanup", "complete"]
-SHARD_STATES = ["pending", "copying", "copied", "draining", "delta", "active", "removed"]
+# The names by which clients see phases and shard states, in order; "failed" ends either from anywhere but its end.
+PHASES = ["computing_assignments", "dual_write_migrating", "cutover_begin", "cutover_draining", "cutover_delta_pass", "cutover_activate", "cutover_cleanup", "complete"]
+SHARD_STATES = ["pending", "migrating", "migration_complete", "draining", "delta_pass", "active"]
+FAILED = "failed"
 RESHARD_PHASES = ["idle", "shadow", "dual_write", "backfill", "verify", "swap", "cleanup", "complete"]
 
 
@@ -20,25 +22,34 @@ class IllegalStep(ValueError):
 class Migration:
     """Immutable: each step gives the next state or refuses."""
 
-    phase: str = "idle"
+    phase: str = "computing_assignments"
     shards: tuple[tuple[int, str], ...] = ()
     skip_delta: bool = False
     anti_entropy: bool = True
+    reason: str | None = None
 
     def step(self, to: str) -> Migration:
-        if self.phase == "idle" and self.skip_delta and not self.anti_entropy:
+        if self.phase == PHASES[0] and self.skip_delta and not self.anti_entropy:
             raise IllegalStep("without a delta pass and without anti-entropy writes can be lost")
-        if PHASES.index(to) != PHASES.index(self.phase) + 1 and not (self.phase == "draining" and to == "activating" and self.skip_delta):
+        if self.phase == FAILED or PHASES.index(to) != PHASES.index(self.phase) + 1 and not (self.phase == "cutover_draining" and to == "cutover_activate" and self.skip_delta):
             raise IllegalStep(f"{self.phase} -> {to}")
-        if to == "cutover_begin" and any(s != "copied" for _, s in self.shards):
+        if to == "cutover_begin" and any(s != "migration_complete" for _, s in self.shards):
             raise IllegalStep("shards are still being copied")
-        return Migration(to, self.shards, self.skip_delta, self.anti_entropy)
+        return replace(self, phase=to)
+
+    def fail(self, reason: str) -> Migration:
+        """A migration that isn't complete can fail; nothing follows."""
+        if self.phase in (FAILED, "complete"):
+            raise IllegalStep(f"{self.phase} -> {FAILED}")
+        return replace(self, phase=FAILED, reason=reason)
 
     def shard(self, number: int, state: str) -> Migration:
+        """The migration after a shard's state changed: forward, or from a state but active to failed."""
         held = dict(self.shards)
-        if number in held and SHARD_STATES.index(state) < SHARD_STATES.index(held[number]):
-            raise IllegalStep(f"shard {number}: {held[number]} -> {state}")
-        return Migration(self.phase, tuple(sorted((held | {number: state}).items())), self.skip_delta, self.anti_entropy)
+        now = held.get(number, SHARD_STATES[0])
+        if now == FAILED or (now == "active" if state == FAILED else SHARD_STATES.index(state) < SHARD_STATES.index(now)):
+            raise IllegalStep(f"shard {number}: {now} -> {state}")
+        return replace(self, shards=tuple(sorted((held | {number: state}).items())))
 
 
 def reshard_step(phase: str, to: str) -> str:

@@ -12,7 +12,9 @@ BUCKETS = 256
 
 
 def content_hash(*columns: Column) -> Column:
-    return F.md5(F.concat_ws("|", *[F.coalesce(x.cast("string"), F.lit("")) for x in columns]).cast("binary"))
+    """Of the values with their lengths in bytes before them, so that no two rows read alike; null differs from an empty text."""
+    part = lambda x: F.coalesce(F.concat(F.octet_length(x), F.lit(":"), x), F.lit("-"))
+    return F.md5(F.concat(*[part(x.cast("string")) for x in columns]).cast("binary"))
 
 
 def bucket_of(pk: Column, buckets: int = BUCKETS) -> Column:
@@ -20,18 +22,19 @@ def bucket_of(pk: Column, buckets: int = BUCKETS) -> Column:
 
 
 def fingerprints(copies: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(replica, shard, bucket, n, fingerprint): order-free sums, so partial results combine before any shuffle.
+    """(replica, shard, bucket, n, fingerprint, total): order-free sums, so partial results combine before any shuffle.
+    The sum sees what the exclusive or loses, a row that is held twice.
 
     Two replicas of a shard hold the same rows if their fingerprints agree; only buckets that differ need a row by row diff.
     """
     half = F.conv(F.substring(F.md5(F.concat("pk", F.lit(":"), "content_hash").cast("binary")), 1, 12), 16, 10).cast("long")
-    return copies.groupBy("replica", "shard", bucket_of(F.col("pk"), buckets).alias("bucket")).agg(F.count("*").alias("n"), F.bit_xor(half).alias("fingerprint"))
+    return copies.groupBy("replica", "shard", bucket_of(F.col("pk"), buckets).alias("bucket")).agg(F.count("*").alias("n"), F.bit_xor(half).alias("fingerprint"), F.sum(half.bitwiseAND(0x7FFFFFFF)).alias("total"))
 
 
 def differing(prints: DataFrame) -> DataFrame:
     """(shard, bucket) on which the replicas disagree, or that one of them lacks."""
     replicas = prints.agg(F.count_distinct("replica").alias("replicas"))
-    per = prints.groupBy("shard", "bucket").agg(F.count("*").alias("have"), F.count_distinct("n", "fingerprint").alias("kinds"))
+    per = prints.groupBy("shard", "bucket").agg(F.count("*").alias("have"), F.count_distinct("n", "fingerprint", "total").alias("kinds"))
     return per.join(F.broadcast(replicas)).where("kinds > 1 OR have < replicas").select("shard", "bucket")
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import re
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,27 +15,33 @@ K1, B = 1.2, 0.75
 
 
 def _count(tokens_: Column | str, term: str) -> Column:
-    return F.size(F.filter(tokens_, lambda x: x == term))
+    return F.size(tokens_) - F.size(F.array_remove(tokens_, term))
 
 
 def tokens(text: Column | str) -> Column:
-    return F.filter(F.split(F.lower(c(text)), "[^a-z0-9]+"), lambda t: t != "")
+    """Runs of letters and digits in lower case; null has none."""
+    return F.coalesce(F.array_remove(F.split(F.lower(c(text)), r"[^\p{L}\p{N}]+"), ""), F.array().cast("array<string>"))
+
 
+def query_terms(query: str) -> list[str]:
+    """The distinct terms of a query, cut as texts are."""
+    return sorted({t for t in "".join(x if x.isalpha() or unicodedata.category(x)[0] == "N" else " " for x in query.lower()).split()})
 
-def postings(docs: DataFrame, key: str, text: str, terms: list[str] | None = None) -> DataFrame:
-    """(key, term, tf, dl, *other columns): only for the wanted terms, before anything is shuffled."""
+
+def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, tf, dl, *other columns) of every term of every document."""
     others = [x for x in docs.columns if x not in (text, key)]
-    each = docs.select(key, *others, tokens(text).alias("_tokens")).withColumn("dl", F.size("_tokens"))
-    if terms is None:
-        return each.select(key, *others, "dl", F.explode("_tokens").alias("term")).groupBy(key, *others, "term", "dl").agg(F.count("*").alias("tf"))
-    found = F.filter(F.array(*[F.struct(F.lit(t).alias("term"), _count("_tokens", t).alias("tf")) for t in terms]), lambda s: s["tf"] > 0)
-    return each.select(key, *others, "dl", F.explode(found).alias("_f")).select(key, *others, "dl", "_f.term", F.col("_f.tf").cast("long").alias("tf"))
+    each = docs.select(key, *others, tokens(text).alias("_tokens"))
+    each = each.select(key, *others, F.size("_tokens").alias("dl"), F.explode("_tokens").alias("term"))
+    return each.groupBy(key, *others, "term", "dl").agg(F.count("*").alias("tf"))
 
 
 def term_stats(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, df, cf): documents and occurrences of each term."""
-    each = docs.select(key, F.explode(tokens(text)).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
-    return each.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    """(term, df, cf): documents and occurrences of each term. A document sends each of its terms once; no key is shuffled."""
+    each = docs.select(tokens(text).alias("_tokens"))
+    df = each.select(F.explode(F.array_distinct("_tokens")).alias("term"), F.lit(1).alias("d"), F.lit(0).alias("n"))
+    cf = each.select(F.explode("_tokens").alias("term"), F.lit(0).alias("d"), F.lit(1).alias("n"))
+    return df.union(cf).groupBy("term").agg(F.sum("d").alias("df"), F.sum("n").alias("cf"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -41,28 +51,43 @@ def idf(n: Column, df: Column) -> Column:
 def bm25(docs: DataFrame, key: str, text: str, query: str, by: str | None = None) -> DataFrame:
     """docs that match any term, without their text, with score. by: statistics within each value of this column, not over all.
 
-    One scan gives sizes and document frequencies of the few query terms (partial sums only); their
-    broadcast is one row, or one a value of ``by``.
+    One scan gives sizes and document frequencies of the few query terms (partial sums only): one row, which is
+    broadcast, or one a value of ``by``. A second one scores documents that have a term's letters at all.
     """
-    terms = sorted({t for t in "".join(x if x.isascii() and x.isalnum() else " " for x in query.lower()).split()})
+    terms = query_terms(query)
     if not terms:
         return docs.drop(text).withColumn("score", F.lit(1.0))
-    length = F.size(tokens(text))
-    has = [F.sum(F.when(F.array_contains("_tokens", t), 1).otherwise(0)).alias(f"df_{i}") for i, t in enumerate(terms)]
+    has = [F.count_if(F.array_contains("_tokens", t)).alias(f"df_{i}") for i, t in enumerate(terms)]
     sized = docs.select(*([by] if by else []), tokens(text).alias("_tokens"))
     stats = (sized.groupBy(by) if by else sized.groupBy()).agg(F.count("*").alias("_n"), F.avg(F.size("_tokens")).alias("_avg"), *has)
     others = [x for x in docs.columns if x != text]
-    scored = docs.select(*others, tokens(text).alias("_tokens"), length.alias("_dl"))
-    scored = scored.join(F.broadcast(stats), by) if by else scored.join(F.broadcast(stats))
+    lower = F.lower(text)
+    maybe = functools.reduce(lambda a, b: a | b, [F.contains(lower, F.lit(t)) for t in terms])
+    scored = docs.where(maybe).select(*others, tokens(text).alias("_tokens")).where(F.arrays_overlap("_tokens", F.array(*map(F.lit, terms))))
+    scored = scored.select(*others, F.size("_tokens").alias("_dl"), *[_count("_tokens", t).cast("double").alias(f"_tf_{i}") for i, t in enumerate(terms)])
+    scored = scored.join(stats, by) if by else scored.join(F.broadcast(stats))
     score = F.lit(0.0)
-    for i, t in enumerate(terms):
-        tf = _count("_tokens", t).cast("double")
+    for i in range(len(terms)):
+        tf = F.col(f"_tf_{i}")
         score = score + idf(F.col("_n"), F.col(f"df_{i}")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_dl") / F.col("_avg")))
-    return scored.where(F.arrays_overlap("_tokens", F.array(*map(F.lit, terms)))).select(*others, score.alias("score"))
+    return scored.select(*others, score.alias("score"))
+
+
+def whole_word(term: str) -> str:
+    """A pattern for the term as it stands, whatever characters it has, not inside a longer word; letters match in either case."""
+    return f"(?i)(?<!\\w)({re.escape(term)})(?!\\w)"
 
 
 def highlight(text: Column | str, term: str, before: str = "<em>", after: str = "</em>") -> Column:
-    return F.regexp_replace(c(text), f"(?i)\\b({term})\\b", f"{before}$1{after}")
+    plain = lambda x: x.replace("\\", "\\\\").replace("$", "\\$")
+    return F.regexp_replace(c(text), whole_word(term), f"{plain(before)}$1{plain(after)}")
+
+
+def match_positions(text: Column | str, term: str) -> Column:
+    """array<struct<start, length>> of a term's places in a text, in characters from 0."""
+    parts, n = F.split(c(text), whole_word(term), -1), len(term)
+    ends = F.aggregate(parts, F.array().cast("array<int>"), lambda s, p: F.concat(s, F.array(F.coalesce(F.element_at(F.when(F.size(s) > 0, s), -1) + n, F.lit(0)) + F.length(p))))
+    return F.transform(F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0))), lambda e: F.struct(e.alias("start"), F.lit(n).alias("length")))
 
 
 def crop(text: Column | str, term: str, width: int = 60) -> Column:

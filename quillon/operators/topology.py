@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from quillon.functions.hashing import SHARDS, placement_md5, placement_xxh64
 
 STATUSES = ("healthy", "active", "joining", "draining", "degraded", "failed", "removed")
-#: Allowed changes of a node's status, besides staying.
+#: The allowed changes of a node's status, besides staying.
 TRANSITIONS = [
-    ("joining", "active"), ("joining", "failed"), ("active", "healthy"), ("active", "draining"), ("active", "degraded"), ("active", "failed"),
-    ("healthy", "degraded"), ("healthy", "draining"), ("degraded", "healthy"), ("degraded", "failed"), ("draining", "removed"), ("failed", "joining"), ("failed", "removed"),
+    ("joining", "active"),
+    ("active", "draining"), ("draining", "removed"),
+    ("active", "failed"), ("draining", "failed"), ("failed", "active"),
+    ("active", "degraded"), ("failed", "degraded"), ("degraded", "active"),
+    ("healthy", "active"), ("active", "healthy"),
 ]
 
 
@@ -29,9 +32,11 @@ def serving(nodes: DataFrame) -> DataFrame:
 
 
 def write_eligible(nodes: DataFrame, drained_shards: DataFrame) -> DataFrame:
-    """(node_id, shard, eligible): a draining node refuses only the shards that are being drained from it."""
-    joined = nodes.join(F.broadcast(drained_shards.select("node_id", "shard", F.lit(True).alias("drained"))), "node_id", "left")
-    refused = F.col("status").isin("failed", "removed") | ((F.col("status") == "draining") & F.coalesce("drained", F.lit(False)))
+    """(node_id, shard, eligible): joining, failed and removed nodes take no writes; a draining one refuses only
+    the shards that are being drained from it. An unknown status takes none."""
+    joined = nodes.join(drained_shards.select("node_id", "shard", F.lit(True).alias("drained")), "node_id", "left")
+    drained = (F.col("status") == "draining") & F.coalesce("drained", F.lit(False))
+    refused = ~F.coalesce(F.col("status").isin("healthy", "active", "degraded", "draining"), F.lit(False)) | drained
     return joined.select("node_id", "shard", (~refused).alias("eligible"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass
 from typing import Any
 
@@ -13,6 +14,7 @@ from quillon.functions.hashing import SHARDS
 from quillon.plans.filters import column, keys_of, parse
 
 MOST_KEYS = 128
+_INTEGERS = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}
 
 
 def shard_of(key: Any, shards: int = SHARDS, mode: str = "md5") -> int:
@@ -40,11 +42,37 @@ class QueryPlan:
         return self.predicate if self.shards is None else F.col("_shard").isin(*self.shards) & self.predicate
 
 
-def plan(source: Any, pk: str, shards: int = SHARDS, mode: str = "md5", most_keys: int = MOST_KEYS) -> QueryPlan:
+def key_texts(literals: tuple, key_type: str) -> list[str] | None:
+    """The texts, as they are hashed, of the only keys of a column of ``key_type`` that equal one of the literals.
+
+    None where that is uncertain: comparison is by value, so ``42``, ``42.0``, ``"042"`` and ``"42 "`` are
+    all key 42 of an integer column, and a number equals several keys of a string column.
+    """
+    out: list[str] = []
+    if len({type(v) for v in literals}) > 1:  # compared in a type that depends on all of them
+        return None
+    for v in literals:
+        if key_type == "string" and isinstance(v, str):
+            out.append(v)
+        elif key_type in _INTEGERS and not isinstance(v, bool):
+            if isinstance(v, float) and v.is_integer() and abs(v) < 1 << 53:
+                v = int(v)
+            elif isinstance(v, str) and re.fullmatch(r"[+-]?[0-9]+", v.strip(" \t\n\r")):
+                v = int(v)
+            if not isinstance(v, int) or not -(1 << _INTEGERS[key_type] - 1) <= v < 1 << _INTEGERS[key_type] - 1:
+                return None
+            out.append(str(v))
+        else:
+            return None
+    return out
+
+
+def plan(source: Any, pk: str, shards: int = SHARDS, mode: str = "md5", most_keys: int = MOST_KEYS, key_type: str = "bigint") -> QueryPlan:
+    """The predicate of a filter, and the shards it needs. key_type: the primary key's type, by Spark's short name."""
     node = parse(source)
-    keys = keys_of(node, pk)
     if node is None:
         return QueryPlan(column(node), None, "no filter")
+    keys = keys_of(node, pk, lambda v: key_texts(v, key_type))
     if keys is None:
         return QueryPlan(column(node), None, "no condition on the primary key")
     if len(keys) > most_keys:

@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -151,17 +152,22 @@ def job_owner(s, d):
     return topology.owner(docs(s, d).select(F.col("source").alias("name")).distinct(), s.createDataFrame([("pod-0",), ("pod-1",), ("pod-2",)], "worker string"))
 
 
-_CHANGES = [("a", "joining", "active"), ("b", "active", "joining"), ("c", "failed", "failed"), ("d", "draining", "removed"), ("e", "removed", "active")]
-
-
-@query("status_transitions", "SELECT * FROM (VALUES ('a','joining','active',true),('b','active','joining',false),('c','failed','failed',true),('d','draining','removed',true),('e','removed','active',false)) t(node_id, old, new, valid)")
+@query("status_transitions", """WITH s AS (SELECT unnest(['healthy', 'degraded', 'active', 'joining', 'draining', 'failed', 'removed']) AS status)
+  SELECT a.status || '-' || b.status AS node_id, a.status AS old, b.status AS new, CASE a.status WHEN b.status THEN true
+    WHEN 'joining' THEN b.status = 'active' WHEN 'active' THEN b.status IN ('draining', 'failed', 'degraded', 'healthy') WHEN 'draining' THEN b.status IN ('removed', 'failed')
+    WHEN 'failed' THEN b.status IN ('active', 'degraded') WHEN 'degraded' THEN b.status = 'active' WHEN 'healthy' THEN b.status = 'active' ELSE false END AS valid FROM s a, s b""")
 def status_transitions(s, d):
-    return topology.valid_transitions(s.createDataFrame(_CHANGES, "node_id string, old string, new string"))
+    pairs = [(f"{a}-{b}", a, b) for a in topology.STATUSES for b in topology.STATUSES]
+    return topology.valid_transitions(s.createDataFrame(pairs, "node_id string, old string, new string"))
 
 
-@query("write_eligible", f"SELECT node_id, shard, NOT (status = 'failed' OR (status = 'draining' AND shard IS NOT NULL)) AS eligible FROM (VALUES ('n1','active'),('n2','draining'),('n3','failed')) n(node_id, status) LEFT JOIN (VALUES ('n2', 3)) x(nid, shard) ON nid = node_id")
+@query("write_eligible", """SELECT 'n-' || status AS node_id, shard, CASE WHEN status IN ('healthy', 'active', 'degraded') THEN true WHEN status = 'draining' THEN shard IS NULL ELSE false END AS eligible
+  FROM (SELECT unnest(['healthy', 'degraded', 'active', 'joining', 'draining', 'failed', 'removed', 'lost']) AS status), (VALUES (3), (NULL)) x(shard) WHERE shard IS NULL AND status NOT IN ('draining', 'active', 'failed') OR shard = 3 AND status IN ('draining', 'active', 'failed')
+  UNION ALL SELECT 'm-draining', NULL, true""")
 def write_eligible(s, d):
-    return topology.write_eligible(s.createDataFrame([("n1", "active"), ("n2", "draining"), ("n3", "failed")], "node_id string, status string"), s.createDataFrame([("n2", 3)], "node_id string, shard int"))
+    rows = [(f"n-{x}", x) for x in (*topology.STATUSES, "lost")] + [("m-draining", "draining")]
+    drained = s.createDataFrame([(f"n-{x}", 3) for x in ("draining", "active", "failed")], "node_id string, shard int")
+    return topology.write_eligible(s.createDataFrame(rows, "node_id string, status string"), drained)
 
 
 @query("drain_node_documents", f"SELECT count(*) AS documents FROM documents WHERE {DOC_SHARD} IN (SELECT shard FROM {assigned_sql()} WHERE node_id = 'node-g0-0')")
@@ -185,6 +191,16 @@ def pk_in_pruned(s, d):
     return sharded(s, d).where(plan('doc_id IN [1, 5, 9, 9, 777777777] AND lang = "en"', "doc_id").condition()).select("doc_id", "lang", "source", "n_chars")
 
 
+_LITERALS = ["doc_id = 42.0", 'doc_id = "042"', 'doc_id = "42 "', "doc_id = -0", 'doc_id IN ["7", " 8"]', "doc_id IN [7.0, 8.5]", 'doc_id IN [42, "042"]', 'doc_id = 42 AND doc_id = "042"', "doc_id = 42.5", "doc_id = 3 AND NOT doc_id = 3.0"]
+
+
+@query("pk_literal_types", """SELECT f AS filter, doc_id FROM documents, (VALUES (0, 'doc_id = 42.0', [42]), (1, 'doc_id = "042"', [42]), (2, 'doc_id = "42 "', [42]), (3, 'doc_id = -0', [0]), (4, 'doc_id IN ["7", " 8"]', [7, 8]), (5, 'doc_id IN [7.0, 8.5]', [7]),
+  (6, 'doc_id IN [42, "042"]', [42]), (7, 'doc_id = 42 AND doc_id = "042"', [42])) v(i, f, ids) WHERE list_contains(ids, doc_id)""")
+def pk_literal_types(s, d):
+    x = sharded(s, d)
+    return functools.reduce(DataFrame.union, [x.where(plan(f, "doc_id").condition()).select(F.lit(f).alias("filter"), "doc_id") for f in _LITERALS])
+
+
 @query("filter_language", "SELECT doc_id FROM documents WHERE (lang = 'en' OR source IN ('src1', 'src2')) AND NOT n_chars < 500 AND n_chars BETWEEN 600 AND 4000 AND lang IS NOT NULL")
 def filter_language(s, d):
     f = [['lang = "en"', 'source IN ["src1", "src2"]'], "NOT n_chars < 500", "n_chars 600 TO 4000 AND lang EXISTS"]
@@ -201,7 +217,7 @@ def browse_page(s, d):
     return docs(s, d).select("doc_id", "lang", "source", "n_chars").orderBy("doc_id").offset(40).limit(20)
 
 
-TOKENS = "list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')"
+TOKENS = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 
 
 def scored_sql(terms: list[str], where: str = "true", by: str | None = None, name: str = "documents") -> str:
@@ -233,7 +249,7 @@ def search_filtered_paged(s, d):
     return ranked(search.search(docs(s, d), SearchRequest("the with", 'lang = "en"', attributes=["doc_id", "lang"], offset=30, limit=10, show_score=True)))
 
 
-@query("search_threshold", f"SELECT doc_id FROM {scored_sql(['and', 'est'])} WHERE score >= 1.5 ORDER BY score DESC, CAST(doc_id AS VARCHAR) LIMIT 100000")
+@query("search_threshold", f"SELECT doc_id FROM {scored_sql(['and', 'est'])} WHERE score >= 1.5 ORDER BY score DESC, CAST(doc_id AS VARCHAR) ")
 def search_threshold(s, d):
     found = search.matches(docs(s, d), SearchRequest("and est", threshold=1.5), "doc_id", "text")
     return found.orderBy(F.desc("score"), F.col("doc_id").cast("string")).select("doc_id")
@@ -332,7 +348,8 @@ def group_fallback(s, d):
     return search.with_fallback(assigned(s), s.createDataFrame([("node-g0-0",), ("node-g0-2",)], "node_id string"))
 
 
-@query("explain_plan")
+@query("explain_plan", f"""WITH w AS (SELECT list_sort(list_distinct([{SHARD.format(1, 64)}, {SHARD.format(2, 64)}])) AS shards)
+  SELECT true AS narrowed, 'primary key' AS reason, shards, (SELECT list_sort(list(DISTINCT node_id)) FROM {assigned_sql()} a WHERE list_contains(shards, a.shard)) AS nodes FROM w""")
 def explain_plan(s, d):
     return search.explain(docs(s, d), SearchRequest("a", "doc_id IN [1, 2]"), "doc_id", assigned(s))
 
@@ -499,18 +516,21 @@ def _copies(s, d):
     return row("r1", F.lit(0), F.col("doc_id") % 17 != 3).union(row("r2", F.when(F.col("doc_id") % 11 == 0, 1).otherwise(0), F.col("doc_id") % 19 != 5))
 
 
-_COPIES = f"""(SELECT 'r1' AS replica, {DOC_SHARD} AS shard, CAST(doc_id AS VARCHAR) AS pk, md5(coalesce(lang, '') || '|' || n_chars) AS content_hash, n_chars * 10 AS updated_at, CASE WHEN doc_id % 13 = 0 THEN 500 END AS expires_at FROM documents WHERE doc_id % 17 <> 3
-  UNION ALL SELECT 'r2', {DOC_SHARD}, CAST(doc_id AS VARCHAR), md5(coalesce(lang, '') || '|' || (n_chars + x)), n_chars * 10 + x, CASE WHEN doc_id % 13 = 0 THEN 500 END FROM (SELECT *, CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END AS x FROM documents) WHERE doc_id % 19 <> 5)"""
+_CONTENT = "md5(coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST({n} AS VARCHAR)) || ':' || {n}, '-'))"
+_COPIES = f"""(SELECT 'r1' AS replica, {DOC_SHARD} AS shard, CAST(doc_id AS VARCHAR) AS pk, {_CONTENT.format(n='n_chars')} AS content_hash, n_chars * 10 AS updated_at, CASE WHEN doc_id % 13 = 0 THEN 500 END AS expires_at FROM documents WHERE doc_id % 17 <> 3
+  UNION ALL SELECT 'r2', {DOC_SHARD}, CAST(doc_id AS VARCHAR), {_CONTENT.format(n='(n_chars + x)')}, n_chars * 10 + x, CASE WHEN doc_id % 13 = 0 THEN 500 END FROM (SELECT *, CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END AS x FROM documents) WHERE doc_id % 19 <> 5)"""
 _BUCKET = "CAST(('0x' || substr(md5(pk), 1, 8))::BIGINT % 256 AS INTEGER)"
-_PRINT = "bit_xor(('0x' || substr(md5(pk || ':' || content_hash), 1, 12))::BIGINT)"
+_HALF = "('0x' || substr(md5(pk || ':' || content_hash), 1, 12))::BIGINT"
+_PRINT = f"bit_xor({_HALF})"
+_TOTAL = f"CAST(sum({_HALF} & 2147483647) AS BIGINT)"
 
 
-@query("replica_fingerprint", f"SELECT replica, shard, {_BUCKET} AS bucket, count(*) AS n, {_PRINT} AS fingerprint FROM {_COPIES} GROUP BY 1, 2, 3")
+@query("replica_fingerprint", f"SELECT replica, shard, {_BUCKET} AS bucket, count(*) AS n, {_PRINT} AS fingerprint, {_TOTAL} AS total FROM {_COPIES} GROUP BY 1, 2, 3")
 def replica_fingerprint(s, d):
     return repair.fingerprints(_copies(s, d))
 
 
-@query("replica_buckets_differing", f"SELECT shard, bucket FROM (SELECT replica, shard, {_BUCKET} AS bucket, count(*) AS n, {_PRINT} AS f FROM {_COPIES} GROUP BY 1, 2, 3) GROUP BY 1, 2 HAVING count(DISTINCT (n, f)) > 1 OR count(*) < 2")
+@query("replica_buckets_differing", f"SELECT shard, bucket FROM (SELECT replica, shard, {_BUCKET} AS bucket, count(*) AS n, {_PRINT} AS f, {_TOTAL} AS t FROM {_COPIES} GROUP BY 1, 2, 3) GROUP BY 1, 2 HAVING count(DISTINCT (n, f, t)) > 1 OR count(*) < 2")
 def replica_buckets_differing(s, d):
     return repair.differing(repair.fingerprints(_copies(s, d)))
 
@@ -611,9 +631,13 @@ def settings_floor(s, d):
     return control.settings_floor(nodes(s), v, "docs", 4).select("node_id")
 
 
-@query("settings_drift", "SELECT source AS index_uid, count(DISTINCT sha256(lang)) AS n_hashes, count(DISTINCT sha256(lang)) > 1 AS drifted FROM documents GROUP BY 1")
+@query("settings_drift", "SELECT user_id AS index_uid, count(DISTINCT (event_id % 2, user_id % 5 = 0)) FILTER (user_id % 5 = 0) + count(DISTINCT user_id) FILTER (user_id % 5 <> 0) AS n_hashes, count(DISTINCT (event_id % 2, user_id % 5 = 0)) FILTER (user_id % 5 = 0) > 1 AS drifted FROM events GROUP BY 1")
 def settings_drift(s, d):
-    return control.settings_drift(docs(s, d).select(F.col("source").alias("index_uid"), F.col("lang").alias("settings")))
+    # every fifth index's nodes differ in a value, all of them in the order of keys and in white space
+    e, q = table(s, d, "events"), F.when(F.col("user_id") % 5 == 0, F.col("event_id") % 2).otherwise(0).cast("string")
+    one = F.concat(F.lit('{"a": {"y": ['), q, F.lit('], "x": "b c"}, "b": null}'))
+    other = F.concat(F.lit('{"b":null,"a":{"x":"b c","y":['), q, F.lit("]}}"))
+    return control.settings_drift(e.select(F.col("user_id").alias("index_uid"), F.when(F.col("event_id") % 3 == 0, one).otherwise(other).alias("settings")))
 
 
 @query("task_prune", "SELECT event_id FROM events WHERE event_id >= 400")
@@ -710,9 +734,12 @@ def health_transitions(s, d):
     return monitor.health(e, "node", ["ts", "event_id"], ~F.col("event_type").isin("error", "purchase")).select("node", "event_id", "state")
 
 
-@query("ewma_latency")
+@query("ewma_latency", """WITH RECURSIVE l AS MATERIALIZED (SELECT user_id % 6 AS node, epoch(ts)::DOUBLE AS t, value AS v, row_number() OVER (PARTITION BY user_id % 6 ORDER BY ts, value) AS i FROM events WHERE value IS NOT NULL),
+  f AS (SELECT node, i, t, v AS e FROM l WHERE i = 1 UNION ALL SELECT l.node, l.i, l.t, f.e * pow(0.5, (l.t - f.t) / 86400) + l.v * (1 - pow(0.5, (l.t - f.t) / 86400)) FROM f JOIN l ON l.node = f.node AND l.i = f.i + 1)
+  SELECT node, round(arg_max(e, i), 6) AS ewma FROM f GROUP BY 1""")
 def ewma_latency(s, d):
-    return monitor.ewma(table(s, d, "events").withColumn("node", F.col("user_id") % 6), "node", "ts", "value", 60.0)
+    r = monitor.ewma(table(s, d, "events").withColumn("node", F.col("user_id") % 6), "node", "ts", "value", 86400.0)
+    return r.select("node", F.round("ewma", 6).alias("ewma"))
 
 
 @query("clickthrough", "SELECT user_id, count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type = 'click') AS clicks, round(CASE WHEN count(*) FILTER (event_type = 'view') > 0 THEN count(*) FILTER (event_type = 'click') / count(*) FILTER (event_type = 'view') END, 6) AS ctr FROM events WHERE event_type IN ('view', 'click') GROUP BY 1")

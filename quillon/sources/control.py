@@ -85,7 +85,7 @@ def holders(leases: DataFrame, now: int) -> DataFrame:
 def resolve(names: DataFrame, aliases: DataFrame) -> DataFrame:
     """(name, index_uid): an alias's targets; a name that is no alias is an index."""
     targets = F.when(F.col("kind") == "multi", F.col("target_uids")).otherwise(F.array("current_uid"))
-    joined = names.join(F.broadcast(aliases.select("name", targets.alias("targets"))), "name", "left")
+    joined = names.join(aliases.select("name", targets.alias("targets")), "name", "left")
     return joined.select("name", F.explode(F.coalesce("targets", F.array("name"))).alias("index_uid"))
 
 
@@ -95,7 +95,7 @@ def last_per_key(rows: DataFrame, key: list[str], at: str, n: int) -> DataFrame:
 
 def tenant_groups(requests: DataFrame, tenants: DataFrame, groups: int) -> DataFrame:
     """(tenant_id, group_id): the mapped group, else one by hash."""
-    joined = requests.join(F.broadcast(tenants.select("tenant_id", "group_id")), "tenant_id", "left")
+    joined = requests.join(tenants.select("tenant_id", "group_id"), "tenant_id", "left")
     fallback = (F.conv(F.substring(F.md5(F.col("tenant_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % groups).cast("int")
     return joined.select("tenant_id", F.coalesce("group_id", fallback).alias("group_id"))
 
@@ -113,9 +113,19 @@ def settings_floor(nodes: DataFrame, versions: DataFrame, index_uid: str, floor:
     return nodes.join(F.broadcast(fresh), "node_id", "left_semi")
 
 
+def canonical_json(text: Column) -> Column:
+    """JSON text with sorted keys and without white space, so that equal settings have equal texts; null if it is no JSON."""
+    return F.to_json(F.try_parse_json(text))
+
+
+def settings_fingerprint(settings: Column) -> Column:
+    """SHA-256 of canonical JSON; of the text itself if it is no JSON."""
+    return F.sha2(F.coalesce(canonical_json(settings), settings), 256)
+
+
 def settings_drift(settings: DataFrame) -> DataFrame:
-    """(index_uid, n_hashes, drifted) of (index_uid, node_id, settings)."""
-    return settings.groupBy("index_uid").agg(F.count_distinct(F.sha2("settings", 256)).alias("n_hashes")).withColumn("drifted", F.col("n_hashes") > 1)
+    """(index_uid, n_hashes, drifted) of (index_uid, node_id, settings): do nodes' settings differ by more than the order of keys?"""
+    return settings.groupBy("index_uid").agg(F.count_distinct(settings_fingerprint(F.col("settings"))).alias("n_hashes")).withColumn("drifted", F.col("n_hashes") > 1)
 
 
 def live_sessions(sessions: DataFrame, now: int) -> DataFrame:

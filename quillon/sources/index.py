@@ -2,12 +2,15 @@
 
 Layout: ``<root>/<uid>/gen=<n>/_shard=<k>/*.parquet`` and ``<root>/<uid>/manifest/gen=<n>.json``, which says for each shard in which
 generation its files are. A write rewrites only the shards it touches, into a new generation; the manifest makes
-it visible at once, and an older manifest is a rollback. One writer at a time.
+it visible at once, and an older manifest is a rollback. One writer at a time: of two, the one whose manifest
+is there first wins and the other fails. A write that dies before its manifest leaves a folder that nothing reads; later
+writes pass over its number, and ``vacuum`` removes it.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +44,12 @@ def latest(rows: DataFrame, pk: str, version: list[Column]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(pk).orderBy(*[F.desc(v) for v in version]))).where("_n = 1").drop("_n")
 
 
+def version_order(df: DataFrame, pk: str) -> list[Column]:
+    """Every column but the key, as an order in which the last row of a key wins; columns without an order by their hash."""
+    plain = lambda t: not any(w in t for w in ("map<", "variant", "interval"))
+    return [F.col(x) if plain(t) else F.xxhash64(F.to_json(x)) for x, t in df.dtypes if x != pk]
+
+
 def merge_fields(old: DataFrame, new: DataFrame, pk: str) -> DataFrame:
     """Partial update: fields that new has, and that are not null there, replace old ones; new keys are added."""
     o, n = old.alias("o"), new.alias("n")
@@ -69,10 +78,25 @@ class Index:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def generations(self) -> list[int]:
-        path, fs = self.spark._jvm.org.apache.hadoop.fs.Path(self._path("manifest")), self._fs()
-        if not fs.exists(path):
-            return []
-        return sorted(int(s.getPath().getName()[4:-5]) for s in fs.listStatus(path) if s.getPath().getName().endswith(".json"))
+        return sorted(int(n[4:-5]) for n in self._names("manifest") if n.endswith(".json"))
+
+    def _names(self, *parts: str) -> list[str]:
+        path, fs = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(*parts)), self._fs()
+        return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+
+    def _folders(self) -> set[int]:
+        return {int(n[4:]) for n in self._names() if n.startswith("gen=")}
+
+    def vacuum(self, keep: int = 0) -> list[int]:
+        """Remove folders that no manifest names, and with ``keep`` all but the last so many manifests. Returns the generations removed."""
+        known, jvm, fs = self.generations(), self.spark._jvm, self._fs()
+        for g in known[:-keep] if keep else []:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(self._path("manifest", f"gen={g}.json")), False)
+        used = {g for n in (known[-keep:] if keep else known) for g in self._manifest(n).values()}
+        gone = sorted(self._folders() - used)
+        for g in gone:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(self._path(f"gen={g}")), True)
+        return gone
 
     def _manifest(self, generation: int | None = None) -> dict[int, int]:
         known = self.generations()
@@ -99,23 +123,33 @@ class Index:
         return out.withColumn("_shard", F.col("_shard").cast("int"))
 
     def _commit(self, rows: DataFrame, touched: list[int]) -> int:
-        g = (self.generations() or [0])[-1] + 1
-        rows.repartition(F.col("_shard")).write.partitionBy("_shard").parquet(self._path(f"gen={g}"))
-        left = {r[0] for r in self.spark.read.parquet(self._path(f"gen={g}")).select(F.col("_shard").cast("int")).distinct().collect()} if rows.head(1) else set()
+        g = max([0, *self.generations(), *self._folders()]) + 1
+        # rows by shard, large shards over several tasks and small ones together, as adaptive execution finds their sizes
+        rows.hint("rebalance", "_shard").write.partitionBy("_shard").parquet(self._path(f"gen={g}"))
+        left = {int(n[7:]) for n in self._names(f"gen={g}") if n.startswith("_shard=")}
         held = {s: old for s, old in self._manifest().items() if s not in touched} | {s: g for s in touched if s in left}
-        jvm = self.spark._jvm
-        stream = self._fs().create(jvm.org.apache.hadoop.fs.Path(self._path("manifest", f"gen={g}.json")), False)
-        stream.write(bytearray(json.dumps({"shards": held, "pk": self.pk}).encode()))
-        stream.close()
+        self._publish(g, {"shards": held, "pk": self.pk})
         return g
 
+    def _publish(self, g: int, manifest: dict) -> None:
+        """All of the manifest or nothing of it: written beside its place, then renamed."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs, beside = self._fs(), path(self._path("manifest", f"_gen={g}-{uuid.uuid4().hex}"))
+        stream = fs.create(beside, False)
+        stream.write(bytearray(json.dumps(manifest).encode()))
+        stream.close()
+        if not fs.rename(beside, path(self._path("manifest", f"gen={g}.json"))):
+            raise IndexError_(f"generation {g} of {self.uid} was written by another writer")
+
     def upsert(self, df: DataFrame, partial: bool = False) -> int:
-        """Add or replace documents; of several with one key in df, the last by all columns wins. Returns the generation."""
+        """Add or replace documents; of several with one key in df, the greatest in the order of its other columns wins,
+        from left to right, null least. Returns the generation."""
         check_document_columns(df, self.pk)
-        if df.where(F.col(self.pk).isNull()).head(1):
+        new = df.withColumn("_shard", shard_md5(self.pk, self.shards))
+        first = new.agg(F.count_if(F.col(self.pk).isNull()), F.collect_set("_shard")).first()  # at most as many as shards
+        if first[0]:
             raise IndexError_("a document has no primary key")
-        new = df.dropDuplicates([self.pk]).withColumn("_shard", shard_md5(self.pk, self.shards))
-        touched = [r[0] for r in new.select("_shard").distinct().collect()]  # at most as many as shards
+        touched, new = sorted(first[1]), latest(new, self.pk, version_order(df, self.pk) or [F.lit(0)])
         now = self.read()
         if now is not None:
             old = now.where(F.col("_shard").isin(touched))
@@ -139,9 +173,12 @@ class Index:
 
     def get(self, key) -> DataFrame:
         """The document of one key, from its shard alone."""
-        from quillon.plans.planner import shard_of
+        from quillon.plans.planner import key_texts, shard_of
 
-        return self.read().where((F.col("_shard") == shard_of(key, self.shards)) & (F.col(self.pk) == F.lit(key))).drop(*RESERVED)
+        rows = self.read()
+        texts = key_texts((key,), dict(rows.dtypes)[self.pk])
+        there = F.lit(True) if texts is None else F.col("_shard").isin([shard_of(t, self.shards) for t in texts])
+        return rows.where(there & (F.col(self.pk) == F.lit(key))).drop(*RESERVED)
 
     def browse(self, offset: int = 0, limit: int = 20) -> DataFrame:
         return self.read().orderBy(self.pk).offset(offset).limit(limit).drop(*RESERVED)

@@ -6,28 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Upper bounds of the latency histogram, in seconds.
 BUCKETS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
+#: Logs are looked at in spans of so many seconds, so that no task needs a node's whole log in order.
+SPAN_S = 60
 
 
 def ewma(log: DataFrame, node: str, ts: str, value: str, half_life_s: float) -> DataFrame:
     """(node, ewma): a sample Δt seconds after the last one weighs 1 - 0.5 ** (Δt / half-life); the first one counts whole.
 
-    A node's samples are folded in windows of an hour, hours in days, days in spans of 256, and these in one: all
-    count, whatever the half-life, and no task holds more than one of these windows' parts for a node at once.
+    Unrolled, a sample counts its weight times 0.5 ** (its age at the node's last sample / half-life), so the result is a sum
+    that needs each sample's Δt only: within a minute from the minute's rows, for a minute's first sample from
+    the last one before it. All samples count, whatever the half-life; of equal times the least value comes first.
     """
-    w = W.partitionBy(node).orderBy(ts, value)
     at = F.col(ts).cast("timestamp").cast("double")
-    step = log.select(node, ts, F.col(value).cast("double").alias("v"), (at - F.lag(at).over(w)).alias("dt"))
-    # s' = d * s + (1 - d) * v: composed over an hour, a pair (d, c) with s' = d * s + c
-    hour = F.floor(at / 3600).alias("hour")
-    pair = F.struct(F.col(ts).alias("t"), F.coalesce(F.pow(F.lit(0.5), F.col("dt") / half_life_s), F.lit(0.0)).alias("d"), F.col("v"))
-    fold = lambda xs: F.aggregate(F.array_sort(xs), F.struct(F.lit(1.0).alias("d"), F.lit(0.0).alias("c")), lambda s, x: F.struct((s.d * x.d).alias("d"), (s.c * x.d + (1 - x.d) * x.v).alias("c")))
-    hours = step.groupBy(node, hour).agg(fold(F.collect_list(pair)).alias("p"))
-    compose = lambda ps: F.aggregate(F.array_sort(ps), F.struct(F.lit(1.0).alias("d"), F.lit(0.0).alias("c")), lambda s, x: F.struct((s.d * x.p.d).alias("d"), (s.c * x.p.d + x.p.c).alias("c")))
-    parts = hours
-    for n in (24, 256):
-        parts = parts.groupBy(node, F.floor(F.col("hour") / n).alias("hour")).agg(compose(F.collect_list(F.struct("hour", "p"))).alias("p"))
-    return parts.groupBy(node).agg(compose(F.collect_list(F.struct("hour", "p"))).alias("p")).select(node, F.col("p.c").alias("ewma"))
+    rows = log.select(node, at.alias("_at"), F.col(value).cast("double").alias("_v")).where("_at IS NOT NULL AND _v IS NOT NULL").withColumn("_span", F.floor(F.col("_at") / SPAN_S))
+    spans = rows.groupBy(node, "_span").agg(F.max("_at").alias("_last"))
+    before = F.lag("_last").over(W.partitionBy(node).orderBy("_span"))  # a row a node and minute
+    spans = spans.select(node, "_span", before.alias("_before"))
+    ends = rows.groupBy(node).agg(F.max("_at").alias("_end"))
+    previous = F.coalesce(F.lag("_at").over(W.partitionBy(node, "_span").orderBy("_at", "_v")), F.col("_before"))
+    rows = rows.join(spans, [node, "_span"]).withColumn("_dt", F.col("_at") - previous).join(ends, node)
+    weight = F.coalesce(1 - F.pow(F.lit(0.5), F.col("_dt") / half_life_s), F.lit(1.0)) * F.pow(F.lit(0.5), (F.col("_end") - F.col("_at")) / half_life_s)
+    return rows.groupBy(node).agg(F.sum(weight * F.col("_v")).alias("ewma"))
 
 
 def replica_score(latency: Column, inflight: Column, errors: Column) -> Column:

@@ -7,6 +7,7 @@ from quillon.functions.columns import parse_window, seconds_of
 from quillon.functions.hashing import _xxh64_arrow, shard_md5, shard_xxh64, xxh64
 from quillon.operators import migration, ranking, repair, search, topology
 from quillon.operators.search import SearchRequest
+from quillon.operators.text import highlight, match_positions
 from quillon.plans.filters import FilterError, keys_of, parse
 from quillon.plans.planner import plan, shard_of
 from quillon.sources import control
@@ -66,6 +67,29 @@ def test_narrowed_is_the_same_as_full(spark, sf):
     assert ids(p.condition()) == ids(p.predicate)
 
 
+KEYS = [0, 1, -1, 7, 42, 43, 1 << 31, -(1 << 31), (1 << 53) + 1, (1 << 63) - 1, -(1 << 63)]
+
+
+@pytest.mark.parametrize("kind", ["bigint", "int", "string", "double"])
+def test_narrowed_is_the_same_as_full_for_any_literal(spark, kind):
+    r = random.Random(kind)
+    keys = [f"{k}" for k in KEYS] + ["042", "42 ", " 42", "+42", "42.0", "x", "", "é"] if kind == "string" else [k for k in KEYS if kind != "int" or -(1 << 31) <= k < 1 << 31]
+    rows = spark.createDataFrame([(k if kind != "double" else float(k),) for k in keys], f"id {kind}").withColumn("_shard", shard_md5("id")).cache()
+    texts = ["042", "42 ", " 42", "+42", "42", "-1", "007", "\t7", "9223372036854775807", "-0"] + (["x", "", "é", "42.0"] if kind == "string" else [])
+    numbers = ["42", "42.0", "42.5", "-0", "0.0", "1e0", "4.2e1", "2147483648", "9007199254740993", "9007199254740992.0", "9223372036854775807", "-1.0"]
+    number = lambda: r.choice(numbers if kind != "string" else ["42", "7"])
+    literal = lambda: f'"{r.choice(texts)}"' if r.random() < 0.5 or kind == "string" else number()
+    one = lambda: f"id = {literal()}"
+    several = lambda: "id IN [" + ", ".join(f'"{r.choice(texts)}"' if kind == "string" or k else number() for k in [r.random() < 0.5] * r.randrange(1, 4)) + "]"
+    narrowed = 0
+    for _ in range(60):
+        f = r.choice([one, several, lambda: f"{one()} AND {several()}", lambda: f"{one()} OR {one()}", lambda: f"NOT {one()}", lambda: f"({one()} OR {one()}) AND {several()}"])()
+        p = plan(f, "id", key_type=kind)
+        narrowed += p.narrowed
+        assert sorted(x.id for x in rows.where(p.condition()).collect()) == sorted(x.id for x in rows.where(p.predicate).collect()), f
+    assert narrowed > 10 or kind == "double"
+
+
 def test_pages_join_to_the_whole(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     whole = [r.doc_id for r in search.search(docs, SearchRequest("the de", limit=60, attributes=["doc_id"])).collect()]
@@ -122,6 +146,44 @@ def test_index_life(spark, tmp_path):
         ix.upsert(spark.createDataFrame([(None, 1)], "id string, value int"))
 
 
+def test_index_writes_survive_a_crash(spark, tmp_path, monkeypatch):
+    ix, schema = Index(spark, str(tmp_path), "a", "id", 4), "id string, v string, n int, m map<string,int>"
+    ix.upsert(spark.createDataFrame([("x", "a", 1, None)], schema))
+    with monkeypatch.context() as m:
+        m.setattr(Index, "_publish", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError, match="lost"):
+            ix.upsert(spark.createDataFrame([("x", "b", 1, None)], schema))
+    assert ix.get("x").first().v == "a"
+    assert ix.upsert(spark.createDataFrame([("x", "m", 3, None), ("x", "z", 1, {"k": 1}), ("x", "z", 2, None), ("x", "a", 9, None)], schema)) == 3
+    assert tuple(ix.get("x").select("v", "n").first()) == ("z", 2)
+    assert ix.vacuum() == [2] and ix.read().count() == 1 and ix.read(1).first().v == "a"
+    assert ix.vacuum(keep=1) == [1] and ix.generations() == [3] and ix.read().count() == 1
+    with pytest.raises(IndexError_):
+        ix._publish(3, {})
+    ix.delete(["x"])
+    assert ix.read() is None
+    assert ix.upsert(spark.createDataFrame([("y", "a", 1, None)], schema)) == 5 and ix.read().count() == 1
+
+
+def test_highlights_and_positions(spark):
+    df = spark.createDataFrame([("C++ and c++, not xc++ $1",), ("the cat, The",), ("",), (None,)], "text string")
+    assert [r[0] for r in df.select(highlight("text", "c++", "<$>", "</$>")).collect()] == ["<$>C++</$> and <$>c++</$>, not xc++ $1", "the cat, The", "", None]
+    got = [r[0] for r in df.select(match_positions("text", "the")).collect()]
+    assert got[:3] == [[], [(0, 3), (9, 3)], []] and not got[3]
+    assert [tuple(x) for x in df.select(match_positions("text", "c++")).first()[0]] == [(0, 3), (8, 3)]
+
+
+def test_content_hashes_differ(spark):
+    df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "a"), ("", "a"), ("a", None)], "x string, y string")
+    assert len({r[0] for r in df.select(repair.content_hash(F.col("x"), F.col("y"))).collect()}) == 5
+
+
+def test_drift_sees_values_only(spark):
+    rows = [("same", '{"a":1,"b":{"d":[1,2],"c":null}}'), ("same", ' {"b": {"c": null, "d": [1, 2]}, "a": 1}'), ("order", '{"a":[1,2]}'), ("order", '{"a":[2,1]}'), ("bad", "{"), ("bad", "{")]
+    got = {r.index_uid: r.drifted for r in control.settings_drift(spark.createDataFrame(rows, "index_uid string, settings string")).collect()}
+    assert got == {"same": False, "order": True, "bad": False}
+
+
 def test_repair_is_idempotent(spark):
     r = random.Random(1)
     rows = [(f"r{k}", i % 4, str(i), str(r.randrange(3)), r.randrange(5), r.choice([None, 1, 99]), k) for i in range(60) for k in range(3) if r.random() < 0.8]
@@ -141,11 +203,23 @@ def test_cutover(spark):
     copied = writes.union(lost.select("doc_id", "shard", F.lit("new"), F.lit(True)))
     assert migration.loss(copied).first().lost == 0
     with pytest.raises(migration.IllegalStep):
-        migration.Migration(skip_delta=True, anti_entropy=False).step("dual_write")
-    m = migration.Migration().step("dual_write").step("migrating").shard(1, "copying")
+        migration.Migration(skip_delta=True, anti_entropy=False).step("dual_write_migrating")
+    m = migration.Migration().step("dual_write_migrating").shard(1, "migrating")
     with pytest.raises(migration.IllegalStep):
         m.step("cutover_begin")
-    assert m.shard(1, "copied").step("cutover_begin").phase == "cutover_begin"
+    done = m.shard(1, "migration_complete").step("cutover_begin")
+    assert done.phase == "cutover_begin" and done.fail("lost").phase == "failed" and done.fail("lost").reason == "lost"
+    for illegal in (lambda: done.fail("x").step("cutover_draining"), lambda: done.fail("x").fail("y"), lambda: m.shard(1, "failed").shard(1, "active"), lambda: done.shard(1, "active").shard(1, "failed")):
+        with pytest.raises(migration.IllegalStep):
+            illegal()
+    for skip in (False, True):
+        m = migration.Migration(skip_delta=skip)
+        for p in migration.PHASES[1:]:
+            if not (skip and p == "cutover_delta_pass"):
+                m = m.step(p)
+        assert m.phase == "complete"
+        with pytest.raises(migration.IllegalStep):
+            m.fail("late")
     with pytest.raises(migration.IllegalStep):
         migration.reshard_step("swap", "idle")
 
