@@ -15,6 +15,20 @@ import zstandard
 SCHEMA = "bin int, kind int, blob binary"
 
 
+def bounded(source: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes or of one row, whatever the size of Spark's: arrays made for a
+    batch are several times as large as its texts."""
+    for b in source:
+        parts = [b]
+        while parts:
+            b = parts.pop()
+            if b.num_rows <= 1 or b.nbytes <= most:
+                yield b
+            else:
+                half = b.num_rows // 2
+                parts += [b.slice(half), b.slice(0, half)]
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Byte planes of each array, compressed: small numbers leave their high planes empty."""
     planes = [np.int64(len(arrays[0])).tobytes()]

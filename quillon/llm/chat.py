@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.spool import Spool, parts_for, small_batches
+from quillon.llm.blobs import bounded
+from quillon.llm.spool import Spool, parts_for
 
 PARTS = "array<struct<type: string, text: string, ref: string, width: int, height: int, seconds: double, pages: int>>"
 TURN, BODY, END = "<|turn|>", "<|body|>", "<|end|>"
@@ -66,6 +67,7 @@ class Flattener:
 
     costs: Costs = field(default_factory=Costs)
     out: list[str] = field(default_factory=list)
+    texts: list[str] = field(default_factory=list)
     size: int = 0
     attachments: list[dict] = field(default_factory=list)
 
@@ -83,9 +85,16 @@ class Flattener:
         self.size += len(piece)
 
     def visit_text(self, part: dict) -> None:
-        self._put(escape(part.get("text") or ""))
+        self.texts.append(part.get("text") or "")
+
+    def end_text(self) -> None:
+        """Escape the texts since the last attachment as one: a control string may begin in one part and end in the next."""
+        if self.texts:
+            self._put(escape("".join(self.texts)))
+            self.texts.clear()
 
     def _attach(self, part: dict, tokens: int) -> None:
+        self.end_text()
         kind = part["type"]
         self.attachments.append({"type": kind, "ref": part.get("ref"), "at": self.size, "tokens": tokens})
         self._put(PLACEHOLDERS[kind])
@@ -105,6 +114,7 @@ def format_turn(role: str, parts: list[dict | None], costs: Costs | None = None)
     visitor = Flattener(costs or Costs())
     for p in parts:
         visitor.visit(p)
+    visitor.end_text()
     head, body = f"{TURN}{escape(role)}{BODY}", "".join(visitor.out)
     low = len(head)
     for a in visitor.attachments:
@@ -126,7 +136,7 @@ _SEGMENT_TYPE = pa.list_(pa.struct([("type", pa.string()), ("ref", pa.string()),
 
 def _format(costs: Costs):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in source:
+        for b in bounded(source):
             done = [format_turn(role or "", parts or [], costs) for role, parts in zip(b.column("role").to_pylist(), b.column("parts").to_pylist(), strict=True)]
             text, low, high, attached = zip(*done, strict=True) if done else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([
@@ -145,7 +155,6 @@ def format_conversations(turns: DataFrame, costs: Costs | None = None) -> DataFr
     Rows with a null conv_id are left out; turns with equal numbers follow by role and parts.
     A conversation of any length is a run of rows, so no task ever holds one whole.
     """
-    small_batches(turns.sparkSession)
     turns = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("parts").cast(PARTS).alias("parts")).where("conv_id is not null")
     n = parts_for(turns)
     ordered = turns.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "parts")
@@ -163,7 +172,7 @@ def _digest(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, c, d, e, f = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c), pa.array(d, pa.int64()), pa.array(e), pa.array(f, pa.int64())], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    for b in source:
+    for b in bounded(source):
         done = []
         for conv, segment, low, high in zip(b.column("conv_id").to_pylist(), b.column("formatted").to_pylist(), b.column("loss_start").to_pylist(), b.column("loss_end").to_pylist(), strict=True):
             if conv != now:
@@ -188,7 +197,6 @@ def conversation_digests(segments: DataFrame) -> DataFrame:
 
     formatted_chars: code points of all of a conversation's segments.
     """
-    small_batches(segments.sparkSession)
     columns = segments.select("conv_id", "turn", "role", "formatted", "loss_start", "loss_end")
     ordered = columns.repartition(parts_for(columns), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
     return ordered.select("conv_id", "formatted", "loss_start", "loss_end").mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

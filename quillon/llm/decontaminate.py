@@ -12,9 +12,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm.spool import Spool, small_batches
+from quillon.llm.identity import identified
+from quillon.llm.spool import Spool
 
 WINDOW = 10
 #: Postings lists that a lookup intersects before it compares whole phrases.
@@ -80,9 +82,9 @@ class PositionalIndex:
         each = texts.select("item_id", F.size("words").alias("length"), F.posexplode("words").alias("at", "term"))
         each = spool.table("places", each.join(_near(self.terms, self.n_terms), "term").select("item_id", "length", "at", "term_id", "n"))
         n = each.count()
-        by_place = each.groupBy("item_id", "length").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("all"))
-        starts = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("length") - (window - 1)))).alias("first")
-        cut = by_place.select("item_id", "all", starts).selectExpr("item_id", "first - 1 AS first", f"slice(all, first, {window}) AS run")
+        ahead = W.partitionBy("item_id").orderBy("at").rowsBetween(0, window - 1)
+        cut = each.select("item_id", "length", F.col("at").alias("first"), F.collect_list(F.struct("n", "at")).over(ahead).alias("run"))
+        cut = cut.where(f"first = 0 OR first + {window} <= length")
         # a term that is nowhere: the window is nowhere
         cut = cut.where("forall(run, x -> x.n > 0)").selectExpr("item_id", "first", "size(run) AS size", f"transform(slice(array_sort(transform(run, x -> struct(x.n AS n, x.at AS at))), 1, {rarest}), x -> x.at) AS keys")
         cut = spool.table("windows-of-texts", cut)
@@ -125,13 +127,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, text:
     document's word inside any occurrence of a window of an item: ``window`` words in a row, or all
     words of a shorter item. items: the ids of items with an occurring window, sorted as strings;
     items_sha256: their digest, comma-joined. Null texts have no words, and items without words
-    match nothing. Null item_ids are left out, and null doc_ids too; rows that repeat a doc_id are taken as one
-    document and give one row if they have equal texts. Further columns are ignored; empty tables give no hits or no rows.
+    match nothing. Null item_ids are left out, and null doc_ids too; rows that repeat a doc_id with the same text are one
+    document and give one row, with other texts they are documents of their own and give a row each. Further columns are ignored; empty tables give no hits or no rows.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     spool = Spool(spark, "decontaminate")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
+    given = identified(docs, spool)
+    docs = given.docs.distinct() if given.names is not None else given.docs
     items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
     words = items.select("item_id", tokens(F.col("text")).alias("words")).where("size(words) > 0").distinct()
     # items may repeat an id with other words
@@ -145,7 +148,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, text:
     out = index.lengths().distinct().join(hit, "doc_id", "left").join(named, "doc_id", "left")
     listed = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return out.select(
+    return given.restored(out).select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(listed).cast("long").alias("n_items"),
         F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), listed.alias("items"),
     )

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.spool import small_batches
+from quillon.llm.blobs import bounded
 from quillon.llm.wordhash import TOKEN, distinct, grams, hash_words, mix
 
 U = np.uint64
@@ -158,7 +158,7 @@ def _scan(t: Templates):
     kind = pa.list_(pa.struct([("license", pa.string()), ("containment", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in source:
+        for b in bounded(source):
             ids, names, matches = b.column("doc_id"), [], []
             for found in scan(b.column("text"), t):
                 names.append(",".join(sorted({t.names[i] for i in found})))
@@ -176,7 +176,6 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None
     the words they span. Words are lower-cased runs of letters, digits and characters beyond ASCII. Null and empty texts have none.
     Rows that repeat a doc_id, and rows with a null one, each give a row. Further columns are ignored; an empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = "doc_id long, n_licenses long, licenses string, matches array<struct<license: string, containment: double, start: long, end: long>>"
     return docs.mapInArrow(_scan(Templates(templates or TEMPLATES, percent)), schema)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm import blobs
 from quillon.llm.components import components
-from quillon.llm.spool import Spool, parts_for, settle, small_batches
+from quillon.llm.spool import Spool, parts_for, settle
 from quillon.llm.wordhash import mix, shingle_sets
 
 U = np.uint64
@@ -70,7 +70,7 @@ def _describe():
             pad = lambda x: pa.array(np.asarray(x, U).view(np.int64)) if len(x) else pa.nulls(len(ids), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind, np.int32)), ids, pa.array(np.asarray(n, np.int64)), pad(high), pad(low)], ["kind", "id", "n", "fp_high", "fp_low"])
 
-        for b in source:
+        for b in blobs.bounded(source):
             sets = shingle_sets(b.column(1), WORDS)
             prints = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
             seen: set[int] = set()
@@ -102,7 +102,7 @@ def _postings(bins: int, percent: int, frequent):
             t, w = np.concatenate(token), np.concatenate(who)
             yield from blobs.batches(blobs.dealt(0, (mix(t) % U(bins)).astype(np.int32), t, w, np.concatenate(size), np.concatenate(rest)))
 
-        for b in source:
+        for b in blobs.bounded(source):
             for s in shingle_sets(b.column(1), WORDS):
                 if not len(s):
                     continue
@@ -178,7 +178,7 @@ def _candidates(percent: int):
 def _sets(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidates' texts to their sets, in blocks. Rows that repeat a doc_id with another set are left out, with the same set, sent once."""
     seen: set[tuple[str, int]] = set()
-    for b in source:
+    for b in blobs.bounded(source):
         packed, keep = [s.tobytes() for s in shingle_sets(b.column("text"), WORDS)], []
         for i, (part, node, s) in enumerate(zip(b.column("part").to_pylist(), b.column("node").to_numpy().view(U).tolist(), packed, strict=True)):
             if (part, node) not in seen and xxhash.xxh3_128_intdigest(s) & (1 << 64) - 1 == node:
@@ -316,7 +316,7 @@ def _trie_join(percent: int):
             *n, whole = zip(*one(held, key[1] == ""), strict=True)
             return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in n), pa.array(whole, pa.bool_())], ["node", "root", "least", "links", "whole"])
 
-        for b in source:
+        for b in blobs.bounded(source):
             for block, part, side, node, doc, copies, packed in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
                 if (block, part) != key:
                     if held:
@@ -340,7 +340,6 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = PERCENT, text: str = "tex
     document. Further columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     spool = Spool(spark, "ngram-join")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
     bins = parts_for(docs)

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.spool import small_batches
+from quillon.llm.blobs import bounded
+
 
 KINDS = ["email", "ip", "card", "phone", "account", "national_id", "secret"]
 _ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -344,7 +345,7 @@ def redacted(text: str, found: list[Span]) -> str:
 
 def _find(model: Model, texts: bool):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in source:
+        for b in bounded(source):
             counts, digests, every, clean = {k: [] for k in KINDS[:4]}, [], [], []
             for text in b.column("text").to_pylist():
                 text = text or ""
@@ -370,7 +371,6 @@ def find_personal_data(docs: DataFrame, texts: bool = True, text: str = "text",
     Spans are kind:start:end in code points, end exclusive. Null and empty texts have none. Rows that repeat
     a doc_id, and rows with a null one, each give a row. Further columns are ignored; an empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + ", redacted string" * texts
     return docs.mapInArrow(_find(train(), texts), schema)

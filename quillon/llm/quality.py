@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.spool import Spool, small_batches
+from quillon.llm.blobs import bounded
+from quillon.llm.spool import Spool
 from quillon.llm.wordhash import grams, hash_words
 
 SYMBOLS = "#*$%&|<>"
@@ -165,7 +166,7 @@ def fit_label_model(v: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) ->
 
 
 def _measure(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in source:
+    for b in bounded(source):
         f = features(b.column(1))
         columns = [b.column(0), *(pa.array(f[k].astype(np.int64)) for k in FEATURES), pa.array(encode(votes(f)))]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", *FEATURES, "pattern"])
@@ -181,7 +182,6 @@ def quality(docs: DataFrame, keep_from: float = KEEP_FROM, text: str = "text", d
     empty table gives an empty result.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     spool = Spool(spark, "quality")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     measured = spool.table("measured", docs.mapInArrow(_measure, "doc_id long, " + "".join(f"{k} long, " for k in FEATURES) + "pattern long"))

@@ -47,8 +47,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = Spool(spark, "token-orc").path("tokens")
+    spool = Spool(spark, "token-orc")
+    path = spool.path("tokens")
     write_tokens(read(spark, sf_dir, "documents"), path, TOKENIZER)
+    spool.keep_until_end()
     return token_digests(read_tokens(spark, path))
 
 

@@ -7,6 +7,7 @@ instead of running every earlier step again.
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -17,18 +18,22 @@ _roots: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one where that is unset, as in tests."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, a temporary one, on a local master alone: elsewhere executors don't share it."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
-    app = spark.sparkContext.applicationId
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = context.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="quillon-")
     return _own[app]
 
 
 class Spool:
-    """The written tables of one call of an operator, below a folder of its own."""
+    """The written tables of one call of an operator, below a folder of its own. Results are lazy and read them, so they
+    are deleted when the application ends, or by ``discard``."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -41,8 +46,14 @@ class Spool:
     def table(self, name: str, df: DataFrame) -> DataFrame:
         """Write ``df`` as Parquet and return the frame that reads it back."""
         df.write.option("compression", "zstd").parquet(self.path(name))
+        self.keep_until_end()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def keep_until_end(self) -> None:
+        """Let the file system delete the folder when the application ends."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
     def drop(self, name: str) -> None:
         """Delete a table that no later step reads."""
         _delete(self.spark, self.path(name))
@@ -75,10 +86,3 @@ def parts_for(df: DataFrame, mb_each: int = 8, most: int = 50_000) -> int:
     """How many partitions to deal rows out to, in proportion to the input."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return min(most, max(least, -(-input_bytes(df) // (mb_each << 20))))
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the Arrow batches that Python workers get; texts may be long."""
-    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
-    if now > rows or now <= 0:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

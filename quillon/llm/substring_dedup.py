@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import blobs
-from quillon.llm.spool import Spool, parts_for, settle, small_batches
+from quillon.llm.identity import identified
+from quillon.llm.spool import Spool, parts_for, settle
 from quillon.llm.wordhash import TOP, Ranges, grams, hash_words, mix, slide
 
 U = np.uint64
@@ -90,7 +91,7 @@ def _anchors(bins: int, window: int, seed: int):
             cold = ~hot
             yield from blobs.batches(blobs.dealt(0, (mix(key[cold]) % U(bins)).astype(np.int32), key[cold], ext[cold], doc[cold], at[cold]))
 
-        for b in source:
+        for b in blobs.bounded(source):
             words = hash_words(b.column(1))
             counts = np.diff(words.first)
             begins, ends = np.repeat(words.first[:-1], counts), np.repeat(words.first[1:], counts)
@@ -156,7 +157,7 @@ def _open_windows(bins: int, window: int, seed: int):
             yield from blobs.batches(blobs.dealt(3, (mix(doc[again].view(U)) % U(bins)).astype(np.int32), doc[again], at[again]))
             yield from blobs.batches(blobs.dealt(0, (mix(key[new]) % U(bins)).astype(np.int32), key[new], key2[new], doc[new], at[new]))
 
-        for b in source:
+        for b in blobs.bounded(source):
             words = hash_words(b.column("text"))
             n = len(words.hash)
             counts = np.diff(words.first)
@@ -212,7 +213,7 @@ def _cut(window: int, seed: int, texts: bool):
     extension repeats, or a window that does."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in source:
+        for b in blobs.bounded(source):
             ids, n_words, n_removed, digests, kept_texts, spans = b.column("doc_id"), [], [], [], [], []
             for text, marks in zip(b.column("text").cast(pa.binary()), b.column("marks"), strict=True):
                 words = (text.as_py() or b"").split()
@@ -251,13 +252,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, text
     Words are runs without ASCII white space, unchanged. Every word goes that a window of ``window``
     words covers whose words also start earlier: in a smaller doc_id, or earlier in the same text.
     Windows are judged on the input. Null and empty texts have no words; texts shorter than a window
-    stay whole. Rows that repeat a doc_id are taken for one document. Rows with a null doc_id
-    stay whole. Further columns are ignored; an empty table gives an empty result.
+    stay whole. Rows that repeat a doc_id with the same text are one document; with other texts they are documents of their
+    own, in the order of their texts' hashes. Rows with a null doc_id stay whole. Further columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     spool = Spool(spark, "substring-dedup")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    given = identified(docs, spool)
+    docs = given.docs
     known = docs.where("doc_id is not null")
     bins = parts_for(docs)
     deal = lambda df: df.repartition(bins, "bin").sortWithinPartitions("bin", "kind")
@@ -275,4 +277,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, text
     repeats = gather(marks.where("mark % 2 = 0").union(windows))
     whole = docs.join(repeats.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "marks")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    return whole.mapInArrow(_cut(window, seed, texts), schema + ", kept_text string, repeats array<struct<start: long, end: long>>" * texts)
+    return given.restored(whole.mapInArrow(_cut(window, seed, texts), schema + ", kept_text string, repeats array<struct<start: long, end: long>>" * texts))

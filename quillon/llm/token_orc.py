@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.spool import parts_for, small_batches
+from quillon.llm.blobs import bounded
+from quillon.llm.spool import parts_for
 from quillon.llm.wordhash import text_bytes
 
 END_ID = 1
@@ -297,7 +298,7 @@ def _encoder(path: str) -> WordEncoder:
 def _encode(path: str, end_id: int):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, before = _encoder(path), 0
-        for b in source:
+        for b in bounded(source):
             data, offsets = text_bytes(b.column("text"))
             low, n = 0, len(offsets) - 1
             while low < n:  # a block of texts at a time, one text at least
@@ -320,7 +321,6 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     ``tokenizer``: path of a ``tokenizers`` file; one that cuts texts as ``_BY_PIECES`` says is run on distinct pieces only. A null text is empty and
     gives end_id alone. Null doc_ids come first; rows that repeat a doc_id are all written, by text. An empty table gives files without rows.
     """
-    small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     ordered = docs.repartitionByRange(parts_for(docs, 16), "doc_id").sortWithinPartitions("doc_id", "text")
     encoded = ordered.mapInArrow(_encode(tokenizer, end_id), "doc_id long, start_in_file long, n_tokens long, ids array<int>")
@@ -344,7 +344,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _digest(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in source:
+    for b in bounded(source):
         ids = b.column("ids")
         raw, ends = ids.flatten().to_numpy().astype("<u4").tobytes(), (ids.offsets.to_numpy().astype(np.int64) - ids.offsets[0].as_py()) * 4
         crc = [zlib.crc32(raw[a:z]) for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]

@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.spool import Spool, small_batches
+from quillon.llm.blobs import bounded
+from quillon.llm.spool import Spool
 from quillon.llm.wordhash import TOKEN, Words, hash_words, mix
 
 #: The labelled rows that train the chain: at most so many, those whose ids hash lowest.
@@ -185,7 +186,7 @@ def word_rows(column: pa.Array, words: np.ndarray) -> Rows:
 
 def _present(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct feature hashes of each training text."""
-    for b in source:
+    for b in bounded(source):
         found = hash_words(b.column("text"), True, TOKEN)
         every = _feature_hashes(found)
         per = [np.unique(np.concatenate([h[a:z] for h in every])) for a, z in zip(found.first[:-1], found.first[1:], strict=True)]
@@ -236,7 +237,7 @@ def _score(chain: Chain, threshold: float | None):
     threshold = chain.thresholds["toxic"] if threshold is None else threshold
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in source:
+        for b in bounded(source):
             p = chain.predict(word_rows(b.column("text"), chain.words))
             columns = [b.column("doc_id"), *(pa.array(np.round(c, 6)) for c in p.T), pa.array(p[:, at] >= threshold)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *(f"p_{c}" for c in chain.categories), "toxic"])
@@ -252,7 +253,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float | None = None,
     each give a row. Further columns are ignored; empty tables give no rows, or an untrained chain's.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     chain = train(docs, labels, Spool(spark, "toxicity"))
     return docs.mapInArrow(_score(chain, threshold), "doc_id long, p_low_quality double, p_toxic double, p_severe double, toxic boolean")

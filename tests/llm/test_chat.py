@@ -36,6 +36,37 @@ def test_parts_become_ordered_placeholders():
     assert Costs().image({}) == 1
 
 
+@pytest.mark.parametrize("texts", [("a <|im", "age|> b"), ("x<|e", "nd|>y"), ("\\", "<", "|end|>"), ("<", "/s", ">", None, "[INS", "T]"), ("", "")])
+def test_control_strings_across_parts(texts):
+    for between in ([], [{"type": "image", "ref": "r"}]):
+        parts = [{"type": "text", "text": t} for t in texts[:1]] + between + [{"type": "text", "text": t} for t in texts[1:]]
+        segment, low, high, attached = format_turn("assistant", parts)
+        assert parse_turn(segment) == ("assistant", "".join(t or "" for t in texts))
+        body = segment[low:high]
+        for a in attached:
+            assert body[a["at"] - low :].startswith("<|image|>")
+        if not between:
+            assert not any(c in body for c in CONTROL)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(NASTY, st.just(None)), max_size=6))
+def test_parts_round_trip(texts):
+    parts = [{"type": "audio", "ref": "r"} if t is None else {"type": "text", "text": t} for t in texts]
+    segment, _, _, attached = format_turn("user", parts)
+    assert parse_turn(segment) == ("user", "".join(t or "" for t in texts)) and len(attached) == sum(t is None for t in texts)
+
+
+def test_very_long_turn_and_clashing_columns(spark):
+    text = "<|end|>é" * 100_000
+    rows = [(1, 0, "assistant", text, "x", 1), (1, 1, "user", None, "y", 2)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string, loss_start long")
+    r = format_and_read_back(df, Spool(spark, "test")).first()
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (2, len(text), hashlib.sha256(text.encode()).hexdigest())
+    want = [format_turn("assistant", [{"type": "text", "text": text}])[0], format_turn("user", [])[0]]
+    assert r.formatted_chars == sum(map(len, want))
+
+
 def brute(rows):
     out = {}
     for c, n, role, text in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] is not None, r[1], r[2] or "", r[3] or "")):
@@ -51,8 +82,11 @@ def test_read_back(spark, sf):
     df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, parts string").repartition(3)
     got = format_and_read_back(df, Spool(spark, "test"))
     assert sorted(tuple(r)[:5] for r in got.collect()) == brute(rows)
-    chars = {r.conv_id: r.formatted_chars for r in got.collect()}
-    assert chars[-8] == len(format_turn("", [])[0]) + len(format_turn("assistant", [])[0])
+    chars = {}
+    for c, _, role, text in rows:
+        if c is not None:
+            chars[c] = chars.get(c, 0) + len(format_turn(role or "", [{"type": "text", "text": text}])[0])
+    assert {r.conv_id: r.formatted_chars for r in got.collect()} == chars
 
 
 def test_empty_table(spark):

@@ -64,6 +64,20 @@ def test_equals_a_scan_of_all_windows(spark):
         assert answer(contamination(*frames(spark, docs, items))) == brute(docs, items)
 
 
+def test_other_texts_under_one_id_are_documents_of_their_own(spark):
+    p = [f"p{i}" for i in range(10)]
+    docs = [(2, " ".join(p[:5])), (2, "r r r r r " + " ".join(p[5:])), (3, " ".join(p)), (3, " ".join(p)), (3, "else"), (4, None), (4, "")]
+    items = [(1, " ".join(p)), (1, "else"), (9, None)]
+    got = answer(contamination(*frames(spark, docs, items)))
+    assert got == sorted({x for d, t in docs for x in brute([(d, t)], items)})
+
+
+def test_very_long_texts(spark):
+    rows = [(1, "x y " * 60_000 + " ".join(f"k{i}" for i in range(12))), (2, "x " * 5)]
+    items = [(1, " ".join(f"k{i}" for i in range(4000))), (2, "y x " * 8)]
+    assert answer(contamination(*frames(spark, rows, items))) == brute(rows, items)
+
+
 def test_shuffle_instead_of_broadcast(spark, monkeypatch):
     from quillon.llm import decontaminate
 

@@ -75,6 +75,21 @@ def test_repeated_row_and_extra_columns(spark):
     assert [tuple(x) for x in spans.repeats] == [(0, 30)] and spans.kept_text == ""
 
 
+def test_other_texts_under_one_id_are_documents_of_their_own(spark):
+    run = lambda c, a, z: " ".join(f"{c}{i}" for i in range(a, z))
+    rows = [(1, run("a", 0, 40)), (2, run("a", 0, 30) + " " + run("b", 0, 30)), (2, run("c", 0, 80)), (3, run("c", 10, 50)), (3, run("c", 10, 50)), (None, run("a", 0, 30)), (4, None), (4, "")]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), texts=False)
+    assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in got.collect()) == [(0, 30, 0), (1, 40, 0), (2, 60, 30), (2, 80, 0), (3, 40, 40), (3, 40, 40), (4, 0, 0), (4, 0, 0)]
+    both = [(5, run("d", 0, 30)), (5, run("d", 0, 30) + " x")]  # the same passage in both: it stays in one
+    got = [(r.n_words, r.n_removed) for r in remove_repeats(spark.createDataFrame(both, "doc_id long, text string"), texts=False).collect()]
+    assert sorted(got) in ([(30, 0), (31, 30)], [(30, 30), (31, 0)])
+
+
+def test_very_long_text_and_empty_table(spark):
+    rows = [(1, "q " * 200_000 + "end"), (2, "q " * 25)]
+    assert answer(remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), texts=False)) == brute(rows)
+
+
 def test_empty_table(spark):
     assert answer(remove_repeats(spark.createDataFrame([], "doc_id long, text string"))) == []
 
