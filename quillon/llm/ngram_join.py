@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import blobs
-from quillon.llm.components import components
+from quillon.llm.components import components, join_groups
 from quillon.llm.spool import Spool, parts_for, settle
 from quillon.llm.wordhash import mix, shingle_sets
 
@@ -176,30 +176,37 @@ def _candidates(percent: int):
 
 
 def _sets(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates' texts to their sets, in blocks. Rows that repeat a doc_id with another set are left out, with the same set, sent once."""
-    seen: set[tuple[str, int]] = set()
+    """Candidates' texts to their sets. Rows that repeat a doc_id with another set are left out, with the same set, sent once."""
+    seen: set[int] = set()
     for b in blobs.bounded(source):
         packed, keep = [s.tobytes() for s in shingle_sets(b.column("text"), WORDS)], []
-        for i, (part, node, s) in enumerate(zip(b.column("part").to_pylist(), b.column("node").to_numpy().view(U).tolist(), packed, strict=True)):
-            if (part, node) not in seen and xxhash.xxh3_128_intdigest(s) & (1 << 64) - 1 == node:
-                seen.add((part, node))
+        for i, (node, s) in enumerate(zip(b.column("node").to_numpy().view(U).tolist(), packed, strict=True)):
+            if node not in seen and xxhash.xxh3_128_intdigest(s) & (1 << 64) - 1 == node:
+                seen.add(node)
                 keep.append(i)
-        b = pa.RecordBatch.from_arrays([b.column("block"), b.column("part"), b.column("side"), b.column("node"), b.column("doc_id"), b.column("copies"), pa.array(packed, pa.binary())], ["block", "part", "side", "node", "doc_id", "copies", "grams"])
+        names = ["block", "node", "doc_id", "copies", "pieces"]
+        b = pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(packed, pa.binary())], [*names, "grams"])
         yield b.take(pa.array(keep, pa.int64()))
 
 
 class Trie:
-    """Sets in one order, frequent n-grams first, as a tree whose nodes are runs of n-grams.
-    N-grams of one set alone overlap with nothing and are left out."""
+    """Sets in the global order read backwards, frequent n-grams first, as a tree whose nodes are runs of n-grams. Of n-grams that
+    are frequent alike, those of more of these sets come first. N-grams of one set alone overlap with nothing and are left out.
+    frequent: the sorted n-grams that have a place of their own in the global order, and how frequent each is."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], frequent: tuple[np.ndarray, np.ndarray] | None = None):
         self.size = np.array([len(s) for s in sets])
         every = np.concatenate(sets)
         names, local, count = np.unique(every, return_inverse=True, return_counts=True)
-        order = np.lexsort((names, -count))
+        often = np.zeros(len(names), np.int64)
+        if frequent is not None and len(frequent[0]):
+            at = np.minimum(np.searchsorted(frequent[0], names), len(frequent[0]) - 1)
+            often = np.where(frequent[0][at] == names, frequent[1][at], 0)
+        alone = count == 1
+        order = np.lexsort((names, -count, -often, alone))
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        self.width = int((count > 1).sum())
+        self.width = int((~alone).sum())
         self.sets = [np.sort(x[x < self.width]) for x in np.split(place[local], np.cumsum(self.size)[:-1])]
         self.common = np.array([len(s) for s in self.sets])
         leaf = sorted(range(len(sets)), key=lambda i: self.sets[i].astype(">u4").tobytes())
@@ -280,13 +287,13 @@ class Trie:
         return linked[linked != i]
 
 
-def _trie_join(percent: int):
+def _trie_join(percent: int, frequent):
     """Map sets, sorted by block, part and node, to (node, root, least, links, whole): the component within
     the trie, its smallest doc_id, the number of linked texts in it, and if the trie held the whole block."""
 
     def one(rows: list[tuple], whole: bool) -> Iterator[tuple]:
         side, nodes, ids, copies, sets = zip(*rows, strict=True)
-        trie, root = Trie(list(sets)), list(range(len(ids)))
+        trie, root = Trie(list(sets), frequent.value), list(range(len(ids)))
 
         def find(x: int) -> int:
             while root[x] != x:
@@ -361,25 +368,23 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = PERCENT, text: str = "tex
     blocks = components(edges, spool, "blocks")
 
     classes = spool.table("classes", rows.where("n_shingles > 0").groupBy("fp_high", "fp_low").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n_shingles").alias("size")))
-    members = classes.join(blocks, classes.fp_low == blocks.node)
+    members = spool.table("members", classes.join(blocks, classes.fp_low == blocks.node).select("root", "node", "rep", "copies", "size"))
+    n = members.count()
     sizes = members.groupBy("root").agg(F.count("*").alias("sets"), F.sum("size").alias("grams"))
-    pieces = sizes.select("root", F.ceil(F.greatest(F.col("sets") / TRIE_SETS, F.col("grams") / TRIE_GRAMS)).cast("int").alias("pieces"))
-    inside = members.join(pieces, "root")
-    inside = spool.table("inside", inside.select(F.col("root").alias("block"), "node", "rep", "copies", "pieces"))
-    small = inside.count() <= BROADCAST_ROWS
-    chosen = inside.select("block", "node", F.col("rep").alias("doc_id"), "copies", "pieces")
-    mine = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")
-    found = docs.join(F.broadcast(chosen) if small else chosen, "doc_id").withColumn("mine", mine)
-    found = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    found = found.select(
+    pieces = sizes.select("root", "sets", F.ceil(F.greatest(F.col("sets") / TRIE_SETS, F.col("grams") / TRIE_GRAMS)).cast("int").alias("pieces"))
+    chosen = join_groups(members, pieces, "root", "sets", n).select(F.col("root").alias("block"), "node", F.col("rep").alias("doc_id"), "copies", "pieces")
+    found = docs.join(F.broadcast(chosen) if n <= BROADCAST_ROWS else chosen, "doc_id").select("block", "node", "doc_id", "copies", "pieces", "text")
+    # each text becomes a set once; a set of a block in pieces then goes to every pair of pieces with its own
+    sets = found.mapInArrow(_sets, "block long, node long, doc_id long, copies long, pieces int, grams binary")
+    sets = sets.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    sets = sets.select(
         "block",
         F.when(F.col("pieces") == 1, "").otherwise(F.concat_ws("-", F.least("mine", "other"), F.greatest("mine", "other"))).alias("part"),
         F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
-        "node", "doc_id", "copies", "text",
+        "node", "doc_id", "copies", "grams",
     )
-    sets = found.mapInArrow(_sets, "block long, part string, side int, node long, doc_id long, copies long, grams binary")
     sets = sets.repartition(bins, "block", "part").sortWithinPartitions("block", "part", "node")
-    linked = spool.table("linked", sets.mapInArrow(_trie_join(percent), "node long, root long, least long, links long, whole boolean"))
+    linked = spool.table("linked", sets.mapInArrow(_trie_join(percent, frequent), "node long, root long, least long, links long, whole boolean"))
 
     roots = linked.where("whole").select("node", F.col("least").alias("component"))
     cut = linked.where("not whole")
@@ -387,8 +392,8 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = PERCENT, text: str = "tex
         across = components(cut.select(F.col("node").alias("a"), F.col("root").alias("b")), spool, "across")
         within = cut.groupBy("node").agg(F.min("least").alias("least"))
         joined = spool.table("joined", within.join(across, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")))
-        least = joined.groupBy("root").agg(F.min("least").alias("component"))
-        roots = roots.union(joined.join(least, "root").select("node", "component"))
+        least = joined.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("n"))
+        roots = roots.union(join_groups(joined, least, "root", "n", joined.count()).select("node", "component"))
     links = linked.groupBy("node").agg(F.sum("links").alias("links"))
     per_class = classes.join(roots.join(links, "node"), classes.fp_low == F.col("node"), "left")
     per_class = per_class.select("fp_high", "fp_low", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))

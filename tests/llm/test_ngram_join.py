@@ -82,6 +82,40 @@ def test_repeated_ids_with_near_copies(spark, monkeypatch, most):
     assert answer(ngram_jaccard_join(df)) == brute(rows)
 
 
+def test_shuffle_instead_of_broadcast_and_large_keys(spark, monkeypatch):
+    from quillon.llm import components
+
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(components, "LARGE", 3)
+    monkeypatch.setattr(ngram_join, "TRIE_SETS", 5)
+    rows = families(5, families=5, each=14) + EDGE
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert answer(ngram_jaccard_join(df)) == brute(rows)
+
+
+@pytest.mark.parametrize("large", [1, 256])
+def test_components(spark, monkeypatch, large):
+    from quillon.llm import components
+    from quillon.llm.spool import Spool
+
+    monkeypatch.setattr(components, "LARGE", large)
+    r = random.Random(large)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(120)] + [(500, 500 + i) for i in range(60)] + [(700 + i, 701 + i) for i in range(40)] + [(7, 7), (900, 900)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = components.components(spark.createDataFrame(edges, "a long, b long"), Spool(spark, "test"), "c")
+    assert {x.node: x.root for x in got.collect()} == {x: find(x) for x in root}
+    assert components.components(spark.createDataFrame([], "a long, b long"), Spool(spark, "test"), "c").count() == 0
+
+
 def test_order_never_changes_the_result(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "LOCAL_DF", 1)
     rows = families(4)
@@ -97,8 +131,8 @@ def test_trie_equals_pairs():
         b = base[r.integers(3)]
         kept = b[r.random(len(b)) > r.choice([0, 0.05, 0.1, 0.5])]
         sets.append(np.unique(np.r_[kept, r.integers(0, 1 << 40, r.choice([0, 5, 40])).astype(np.uint64)]))
-    trie = Trie(sets)
-    for i, x in enumerate(sets):
+    names = np.unique(np.concatenate(sets))[::7]
+    for trie, (i, x) in ((t, e) for t in (Trie(sets), Trie(sets, (names, np.arange(len(names)) % 5))) for e in enumerate(sets)):
         want = [j for j, y in enumerate(sets) if j != i and 100 * (n := len(np.intersect1d(x, y))) >= 75 * (len(x) + len(y) - n)]
         assert trie.linked(i, 75).tolist() == want
 
