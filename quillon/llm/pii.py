@@ -305,7 +305,8 @@ def train(n: int = 6000, seed: int = 11, precision: float = 0.95) -> Model:
 
 
 def spans(text: str, model: Model, base: list[Span] | None = None) -> list[Span]:
-    """Base spans, and the selected proposals that overlap neither them nor a likelier one; by start, then kind."""
+    """Base spans, and the selected proposals that overlap neither them nor a likelier one; by start, then kind. A secret
+    may have base spans inside it, such as a run of its digits that passes for a card."""
     base = base_spans(text) if base is None else base
     found = proposals(text)
     if not found:
@@ -320,12 +321,16 @@ def spans(text: str, model: Model, base: list[Span] | None = None) -> list[Span]
     g = np.array([c[2] for c in found])
     p = model.probability(x)
     chosen = [(-p[i], *found[i]) for i in np.flatnonzero(p >= model.thresholds[g])]
-    out = list(base)
+    out, taken = list(base), [True] * len(starts)  # of runs: base or not
     for _, a, b, i in sorted(chosen):
         i_at = bisect.bisect_left(starts, b)  # runs before it start before b
-        if not i_at or ends[i_at - 1] <= a:
-            starts.insert(i_at, a), ends.insert(i_at, b)
-            out.append((a, b, GENERATORS[_NAMES[i]][0]))
+        first, kind = i_at, GENERATORS[_NAMES[i]][0]
+        while first and ends[first - 1] > a:
+            first -= 1
+        over = range(first, i_at)
+        if not over or kind == "secret" and all(taken[k] and a <= starts[k] and ends[k] <= b and (a, b) != (starts[k], ends[k]) for k in over):
+            starts[first:i_at], ends[first:i_at], taken[first:i_at] = [a], [b], [False]
+            out.append((a, b, kind))
     return sorted(out, key=lambda s: (s[0], _ORDER[s[2]]))
 
 
@@ -346,7 +351,7 @@ def redacted(text: str, found: list[Span]) -> str:
 def _find(model: Model, texts: bool):
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(source):
-            counts, digests, every, clean = {k: [] for k in KINDS[:4]}, [], [], []
+            counts, digests, every, sizes, clean = {k: [] for k in KINDS[:4]}, [], [], [], []
             for text in b.column("text").to_pylist():
                 text = text or ""
                 base = base_spans(text)
@@ -356,21 +361,22 @@ def _find(model: Model, texts: bool):
                 found = spans(text, model, base)
                 digests.append(hashlib.sha256(listed(base).encode()).hexdigest())
                 every.append(listed(found))
+                sizes.append(len(found))
                 if texts:
                     clean.append(redacted(text, found))
-            columns = [b.column("doc_id"), *(pa.array(counts[k], pa.int64()) for k in counts), pa.array(digests, pa.string()), pa.array(every, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(clean, pa.string())] * texts, ["doc_id", *(f"n_{k}" for k in counts), "base_sha256", "spans"] + ["redacted"] * texts)
+            columns = [b.column("doc_id"), *(pa.array(counts[k], pa.int64()) for k in counts), pa.array(digests, pa.string()), pa.array(every, pa.string()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(clean, pa.string())] * texts, ["doc_id", *(f"n_{k}" for k in counts), "base_sha256", "spans", "n_spans"] + ["redacted"] * texts)
 
     return run
 
 
 def find_personal_data(docs: DataFrame, texts: bool = True, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row a document: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, and with
+    """One row a document: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_spans (how many spans, of any kind), and with
     ``texts`` also redacted, the text without them.
 
     Spans are kind:start:end in code points, end exclusive. Null and empty texts have none. Rows that repeat
     a doc_id, and rows with a null one, each give a row. Further columns are ignored; an empty table gives an empty result.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + ", redacted string" * texts
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long" + ", redacted string" * texts
     return docs.mapInArrow(_find(train(), texts), schema)

@@ -31,10 +31,9 @@ FEATURES, LEAST_TEXTS, LEAST_CHI2 = 2000, 4, 24.0
 FOLDS, PENALTY, STEPS, CLOSE = 5, 0.05, 300, 1e-5
 #: A document is flagged from the lowest probability on at which out-of-fold flags are right with this precision.
 PRECISION, LOWEST = 0.98, 0.1
-#: Distinct attack features from which a toxic text counts as severe.
-SEVERE_WORDS = 8
-#: Attack features: those with chi-squared for toxic that more than so many times the share of toxic texts has, compared with the others.
-ATTACK_RATIO = 2.0
+#: The chain over the synthetic labels, as SQL over their columns. They label one toxicity category, so the chain's first link is
+#: low quality, which toxic texts share; tables that label several categories give theirs in the order of the chain.
+CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
 U = np.uint64
 
 
@@ -193,23 +192,25 @@ def _present(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         per = [p[p != 0] for p in per]
         flat = np.concatenate([np.zeros(0, U), *per])
         ends = np.r_[0, np.cumsum([len(p) for p in per], dtype=int)].astype(np.int32)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), b.column("toxic"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], ["doc_id", "quality", "toxic", "words"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("marks"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], ["doc_id", "marks", "words"])
 
 
-def train(docs: DataFrame, labels: DataFrame, spool: Spool, most_rows: int = TRAINING_ROWS) -> Chain:
-    """The chain over labels (doc_id, quality, toxic): low quality; toxic; severe, a toxic text with several
-    attack words (features that go with toxic labels).
+def train(docs: DataFrame, labels: DataFrame, spool: Spool, categories: dict[str, str], most_rows: int = TRAINING_ROWS) -> Chain:
+    """The chain over labels (doc_id and what ``categories`` read: SQL expressions that are 0 or 1, in the chain's order).
 
-    Trained on at most ``most_rows`` labelled documents. Labels without a document, or null, train nothing; without
-    labels every probability is a half or lower.
+    Trained on at most ``most_rows`` labelled documents, those whose ids hash lowest. Labels without a document, or with a null in any
+    category, train nothing; of labels that repeat a doc_id one counts; without labels every probability is a half or lower.
     """
-    chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
-    chosen = chosen.dropna().dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality", "toxic")
-    rows = spool.table("training", rows.mapInArrow(_present, "doc_id long, quality int, toxic int, words array<long>"))
-    size = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("quality")), F.lit(0))).first()
-    n, toxic, low = (float(v) for v in size)
-    each = rows.select("quality", "toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"), F.sum(1 - F.col("quality")).alias("q"))
+    names = list(categories)
+    marks = F.array(*[F.expr(categories[c]).cast("int") for c in names])
+    chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), marks.alias("marks")).where("doc_id IS NOT NULL AND NOT exists(marks, x -> x IS NULL)")
+    chosen = chosen.groupBy("doc_id").agg(F.max("marks").alias("marks")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "marks")
+    rows = spool.table("training", rows.mapInArrow(_present, "doc_id long, marks array<int>, words array<long>"))
+    size = rows.agg(F.count("*"), *[F.coalesce(F.sum(F.col("marks")[i]), F.lit(0)) for i in range(len(names))]).first()
+    n, *totals = (float(v) for v in size)
+    each = rows.select("marks", F.explode("words").alias("word")).groupBy("word")
+    each = each.agg(F.count("*").alias("n"), *[F.sum(F.col("marks")[i]).alias(f"n_{i}") for i in range(len(names))])
 
     def chi2(hits: str, total: float):
         a, b = F.col(hits), F.col("n")
@@ -217,24 +218,25 @@ def train(docs: DataFrame, labels: DataFrame, spool: Spool, most_rows: int = TRA
         below = b * d * F.lit(max(total, 1.0)) * F.lit(max(n - total, 1.0))
         return F.when(below > 0, F.lit(n) * F.pow(a * (d - c) - c * (b - a), 2) / below).otherwise(0.0)
 
-    each = each.where(f"n >= {LEAST_TEXTS}").select("word", "n", "t", chi2("t", toxic).alias("x_t"), chi2("q", low).alias("x_q"))
-    best = each.where(F.greatest("x_t", "x_q") >= LEAST_CHI2).orderBy(F.desc(F.greatest("x_t", "x_q")), "word").limit(FEATURES).toPandas()
+    tells = functools.reduce(F.greatest, [chi2(f"n_{i}", t) for i, t in enumerate(totals)]) if len(names) > 1 else chi2("n_0", totals[0])
+    best = each.where(f"n >= {LEAST_TEXTS}").select("word", tells.alias("x")).where(F.col("x") >= LEAST_CHI2).orderBy(F.desc("x"), "word").limit(FEATURES).toPandas()
     words = np.sort(best["word"].to_numpy(np.int64).view(U))
-    attack = best[(best["x_t"] >= LEAST_CHI2) & (best["t"] * (n - toxic) > ATTACK_RATIO * (best["n"] - best["t"]) * toxic)]["word"].to_numpy(np.int64).view(U)
-    kept = rows.select("doc_id", "quality", "toxic", F.array_intersect("words", F.lit(words.view(np.int64).tolist()).cast("array<long>")).alias("words"))
+    kept = rows.select("doc_id", "marks", F.array_intersect("words", F.lit(words.view(np.int64).tolist()).cast("array<long>")).alias("words"))
     held = kept.orderBy("doc_id").toPandas()  # bounded by TRAINING_ROWS and FEATURES
     lists = [np.searchsorted(words, np.sort(np.asarray(w, np.int64).view(U))) for w in held["words"]]
     x = Rows(np.concatenate([np.zeros(0, int), *lists]).astype(int), np.r_[0, np.cumsum([len(v) for v in lists], dtype=int)].astype(int), len(words), np.ones((len(held), 1)))
-    is_toxic = held["toxic"].to_numpy(float)
-    attacks = np.bincount(x.row, np.isin(words, attack)[x.index], len(held)) if len(held) else np.zeros(0)
-    targets = {"low_quality": 1 - held["quality"].to_numpy(float), "toxic": is_toxic, "severe": is_toxic * (attacks >= SEVERE_WORDS)}
-    fold = (np.arange(len(held)) * 2654435761 >> 7) % FOLDS
-    return fit_chain(x, targets, fold, words)
+    y = np.array(held["marks"].tolist(), float).reshape(len(held), len(names))
+    return fit_chain(x, {c: y[:, i] for i, c in enumerate(names)}, folds(len(held)), words)
 
 
-def _score(chain: Chain, threshold: float | None):
-    at = chain.categories.index("toxic")
-    threshold = chain.thresholds["toxic"] if threshold is None else threshold
+def folds(n: int) -> np.ndarray:
+    """The fold of each training row, in the order of their ids."""
+    return (np.arange(n) * 2654435761 >> 7) % FOLDS
+
+
+def _score(chain: Chain, flag: str, threshold: float | None):
+    at = chain.categories.index(flag)
+    threshold = chain.thresholds[flag] if threshold is None else threshold
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in bounded(source):
@@ -245,14 +247,14 @@ def _score(chain: Chain, threshold: float | None):
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row a document: doc_id, p_low_quality, p_toxic, p_severe, toxic (p_toxic reaches the threshold,
-    by default the one that out-of-fold predictions give).
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float | None = None, text: str = "text", doc_id: str = "doc_id", categories: dict[str, str] | None = None, flag: str = "toxic") -> DataFrame:
+    """One row a document: doc_id, p_<category> for each of ``categories`` (CATEGORIES by default), and toxic: the probability of the
+    category ``flag`` reaches the threshold, by default the one that out-of-fold predictions give.
 
     Null and empty texts have no words and get the models' intercepts. Rows that repeat a doc_id, and rows with a null one,
     each give a row. Further columns are ignored; empty tables give no rows, or an untrained chain's.
     """
-    spark = docs.sparkSession
+    categories = categories or CATEGORIES
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    chain = train(docs, labels, Spool(spark, "toxicity"))
-    return docs.mapInArrow(_score(chain, threshold), "doc_id long, p_low_quality double, p_toxic double, p_severe double, toxic boolean")
+    chain = train(docs, labels, Spool(docs.sparkSession, "toxicity"), categories)
+    return docs.mapInArrow(_score(chain, flag, threshold), "doc_id long, " + "".join(f"p_{c} double, " for c in categories) + "toxic boolean")
