@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.spool import Spool, parts_for
@@ -12,32 +12,39 @@ from quillon.llm.spool import Spool, parts_for
 
 @dataclass
 class Identified:
-    """docs (doc_id, text), where rows share an id only if their texts are equal; names (doc_id, name) gives the
-    ids as they were, None if they are unchanged."""
+    """docs, where rows share an id only if their texts are equal; names (doc_id, _given) gives the ids as they
+    were, None if they are unchanged. repeated: some rows share id and text."""
 
     docs: DataFrame
     names: DataFrame | None
+    repeated: bool
 
     def restored(self, rows: DataFrame) -> DataFrame:
         """rows with the ids as they were; a null id stays null."""
         if self.names is None:
             return rows
-        others = [x for x in rows.columns if x != "doc_id"]
-        return rows.join(self.names, "doc_id", "left").select(F.col("name").alias("doc_id"), *others)
+        columns = [F.col("_given").alias(x) if x == "doc_id" else F.col(x) for x in rows.columns]
+        return rows.join(self.names, "doc_id", "left").select(*columns)
+
+
+def _mark() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def identified(docs: DataFrame, spool: Spool) -> Identified:
-    """docs (doc_id, text) as they are, unless rows with other texts share an id: then documents are numbered in
-    the order of their ids, and of their texts' hashes within one."""
-    marked = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
-    several = marked.groupBy("doc_id").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low < high")
-    if several.isEmpty():
-        return Identified(docs, None)
-    ranged = marked.distinct().repartitionByRange(parts_for(docs), "doc_id", "mark").withColumn("part", F.spark_partition_id())
+    """docs (doc_id, text and any others) as they are, unless rows with other texts share an id: then documents are
+    numbered in the order of their ids, and of their texts' hashes within one."""
+    marked = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("_given"), _mark().alias("_mark"))
+    each = marked.groupBy("_given").agg(F.min("_mark").alias("low"), F.max("_mark").alias("high"), F.count("*").alias("n"))
+    clash, repeated = each.agg(F.coalesce(F.max(F.expr("low < high")), F.lit(False)), F.coalesce(F.max(F.expr("n > 1")), F.lit(False))).first()
+    if not clash:
+        return Identified(docs, None, repeated)
+    ranged = marked.distinct().repartitionByRange(parts_for(docs), "_given", "_mark").withColumn("part", F.spark_partition_id())
     ranged = spool.table("documents-by-id", ranged)
     bases = ranged.groupBy("part").agg(F.count("*").alias("n")).selectExpr("part", "sum(n) OVER (ORDER BY part) - n AS base")  # a row a partition
     numbered = ranged.join(F.broadcast(bases), "part")
-    numbered = numbered.selectExpr("doc_id AS name", "mark", "base + row_number() OVER (PARTITION BY part ORDER BY doc_id, mark) AS doc_id")
+    numbered = numbered.selectExpr("_given", "_mark", "base + row_number() OVER (PARTITION BY part ORDER BY _given, _mark) AS _number")
     numbered = spool.table("documents-numbered", numbered)
-    named = docs.withColumnRenamed("doc_id", "name").withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return Identified(named.join(numbered, ["name", "mark"], "left").select("doc_id", "text"), numbered.select("doc_id", "name"))
+    columns = [F.col("_number").alias(x) if x == "doc_id" else F.col(x) for x in docs.columns]
+    given = docs.withColumn("_given", F.col("doc_id").cast("long")).withColumn("_mark", _mark())
+    return Identified(given.join(numbered, ["_given", "_mark"], "left").select(*columns), numbered.select(F.col("_number").alias("doc_id"), "_given"), repeated)
