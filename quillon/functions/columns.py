@@ -37,6 +37,36 @@ def seconds_of(text: str) -> int:
     return int(text[:-1]) * unit
 
 
+def rfc3339(ts: Column) -> Column:
+    """UTC, to milliseconds."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def millis(ts: Column) -> Column:
+    return F.unix_millis(ts.cast("timestamp"))
+
+
+def json_number(text: Column, path: str, default: float = 0.0) -> Column:
+    """The number at a path of a JSON text; the default where there is none."""
+    return F.coalesce(F.get_json_object(text, path).try_cast("double"), F.lit(default))
+
+
+def json_text(text: Column, path: str, default: str = "") -> Column:
+    return F.coalesce(F.get_json_object(text, path), F.lit(default))
+
+
+def merge_counts(a: Column, b: Column) -> Column:
+    """Two maps of counts as one, values of equal keys summed; null is an empty map."""
+    none = F.create_map().cast("map<string,bigint>")
+    return F.map_zip_with(F.coalesce(a, none), F.coalesce(b, none), lambda k, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
+
+
+def weight(key: Column, seed: int, low: float = 0.5, high: float = 1.5) -> Column:
+    """A uniform weight from a key's hash: the same on every run and engine."""
+    h = F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")).cast("binary")), 1, 8), 16, 10).cast("double")
+    return low + (high - low) * h / float(1 << 32)
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))

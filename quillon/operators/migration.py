@@ -7,6 +7,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions.hashing import shard_md5
+
 # The names by which clients see phases and shard states, in order; "failed" ends either from anywhere but its end.
 PHASES = ["computing_assignments", "dual_write_migrating", "cutover_begin", "cutover_draining", "cutover_delta_pass", "cutover_activate", "cutover_cleanup", "complete"]
 SHARD_STATES = ["pending", "migrating", "migration_complete", "draining", "delta_pass", "active"]
@@ -86,6 +88,26 @@ def dual_write(docs: DataFrame, old, new) -> DataFrame:
     return docs.withColumn("shard", old).withColumn("_origin", F.lit("old")).unionByName(docs.withColumn("shard", new).withColumn("_origin", F.lit("new")))
 
 
+def shadow_name(index_uid: str, shards: int) -> str:
+    return f"{index_uid}__reshard_{shards}"
+
+
+def cost(docs: DataFrame, key: str, old: tuple[DataFrame, int], new: tuple[DataFrame, int], groups: int, rf: int, doc_bytes: int, writes_s: float, throttle: float) -> DataFrame:
+    """One row of what a reshard of these documents costs, counted, not modelled: variation of documents over the old and the new shards,
+    the fullest node's bytes before and at the peak, and all bytes written. old and new: a placement (assignment) and its shards."""
+    def laid(placed: tuple[DataFrame, int]) -> tuple[DataFrame, DataFrame]:
+        assigned, shards = placed
+        per = docs.groupBy(shard_md5(key, shards).alias("shard")).agg(F.count("*").alias("n"))
+        every = docs.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard")).join(per, "shard", "left").select("shard", F.coalesce("n", F.lit(0)).alias("n"))
+        return every.agg((F.stddev_pop("n") / F.avg("n")).alias("cv"), F.sum("n").alias("docs")), assigned.join(every, "shard").groupBy("node_id").agg(F.sum("n").alias("n"))
+
+    (a, a_nodes), (b, b_nodes) = laid(old), laid(new)
+    fullest = lambda x, name: x.agg((F.max("n") * doc_bytes).alias(name))
+    row = a.select(F.col("cv").alias("cv_old"), "docs").join(b.select(F.col("cv").alias("cv_new"))).join(fullest(a_nodes, "node_bytes")).join(fullest(b_nodes, "_more"))
+    written = F.col("docs") / throttle * 2 * writes_s * groups * rf * doc_bytes + F.col("docs") * groups * rf * doc_bytes
+    return row.select("docs", "cv_old", "cv_new", "node_bytes", (F.col("node_bytes") + F.col("_more")).alias("node_peak_bytes"), written.cast("long").alias("bytes_written"))
+
+
 def load_model(doc_kb: float, corpus_gb: float, writes_s: float, groups: int, rf: int, old_shards: int, new_shards: int, nodes: int, throttle: float) -> dict[str, float]:
     """Storage, write rates and duration of a reshard, in closed form."""
     docs = int(corpus_gb * 1024 * 1024 / doc_kb)

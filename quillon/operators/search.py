@@ -36,8 +36,17 @@ class SearchRequest:
     show_score: bool = False
 
 
+#: A leading underscore is reserved, but for this usual name of a key: hits have no such field, and a document may not bring one.
+NOT_RESERVED = ("_id",)
+
+
+def is_reserved(name: str) -> bool:
+    return name.startswith("_") and name not in NOT_RESERVED
+
+
 def strip_reserved(df: DataFrame) -> DataFrame:
-    return df.drop(*[x for x in df.columns if x in RESERVED])
+    """df without reserved fields, however they came in."""
+    return df.drop(*[x for x in df.columns if is_reserved(x)])
 
 
 def matches(index: DataFrame, r: SearchRequest, pk: str, text: str, by: str | None = None, shards: int = SHARDS, mode: str = "md5") -> DataFrame:
@@ -98,6 +107,17 @@ def merge_summary(pages: DataFrame) -> DataFrame:
     )
 
 
+def apply_policy(pages: DataFrame, policy: str = "partial") -> DataFrame:
+    """The pages that an answer is made of when shards have failed: those that succeeded (partial), or an error that names the failed ones."""
+    if policy == "error":
+        lost = [r[0] for r in pages.where("NOT success").select("shard").orderBy("shard").collect()]  # at most all shards
+        if lost:
+            raise RuntimeError(f"shards unavailable: {', '.join(map(str, lost))}")
+    elif policy != "partial":
+        raise ValueError(f"no such policy: {policy}")
+    return pages.where("success")
+
+
 def with_fallback(assigned: DataFrame, failed: DataFrame, groups: int = 3) -> DataFrame:
     """(shard, node_id): the first replica, by group and rank, that has not failed; null where none is left."""
     up = assigned.where(F.col("replica_group") < groups).join(F.broadcast(failed.select("node_id", F.lit(1).alias("bad"))), "node_id", "left")
@@ -130,7 +150,19 @@ def nearest(vectors: DataFrame, key: str, column: str, query: list[float], k: in
 
 
 #: Strategies by which ranked lists of several shards or indexes are merged.
-MERGES = {"score": lambda lists, pk: reduce(DataFrame.union, [d.select(pk, "score") for d in lists]), "rrf": rrf}
+MERGES = {
+    "score": lambda lists, pk: reduce(DataFrame.union, [d.select(pk, "score") for d in lists]),
+    "minmax": lambda lists, pk: normalise(reduce(DataFrame.union, [d.select(pk, "score", F.lit(i).alias("_list")) for i, d in enumerate(lists)]), "_list").select(pk, "score"),
+    "rrf": rrf,
+    "convex": lambda lists, pk: convex(lists[0], lists[1], pk, 0.5),
+}
+
+
+def merge(lists: list[DataFrame], pk: str, strategy: str = "score") -> DataFrame:
+    """(pk, score): a key once, with its best merged score."""
+    if strategy not in MERGES:
+        raise ValueError(f"no such merge: {strategy}")
+    return MERGES[strategy](lists, pk).groupBy(pk).agg(F.max("score").alias("score"))
 
 
 def multi_search(found: dict[str, DataFrame], pk: dict[str, str], limit: int) -> DataFrame:
@@ -145,8 +177,36 @@ def field_distribution(index: DataFrame, fields: list[str]) -> DataFrame:
     return counts.unpivot([], fields, "field", "n")
 
 
-def index_stats(index: DataFrame, pk: str) -> DataFrame:
-    return index.agg(F.count_distinct(pk).alias("documents"))
+def index_stats(index: DataFrame, pk: str, tasks: DataFrame | None = None) -> DataFrame:
+    """One row: documents, and with the index's tasks (status) whether one of them is still to be done."""
+    counted = index.agg(F.count_distinct(pk).alias("documents"))
+    if tasks is None:
+        return counted
+    busy = tasks.agg(F.coalesce(F.bool_or(F.col("status").isin("enqueued", "processing")), F.lit(False)).alias("is_indexing"))
+    return counted.join(F.broadcast(busy))
+
+
+def cluster_stats(indexes: DataFrame) -> DataFrame:
+    """One row over (index_uid, shard, node_id, documents, bytes): indexes, documents (a shard's replicas count once), and bytes of all replicas."""
+    shard = indexes.groupBy("index_uid", "shard").agg(F.max("documents").alias("documents"), F.sum("bytes").alias("bytes"))
+    return shard.agg(F.count_distinct("index_uid").alias("indexes"), F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+
+
+def answer_headers(answers: DataFrame) -> DataFrame:
+    """(request_id, degraded, settings_version, inconsistent, group) of shard answers (request_id, shard, ok, settings_version, pending,
+    replica_group): shards without an answer, comma-joined, null for none; the least committed version; is a settings change under way?"""
+    lost = F.array_join(F.array_sort(F.collect_set(F.when(~F.col("ok"), F.col("shard")))), ",")  # at most all shards
+    return answers.groupBy("request_id").agg(F.nullif(lost, F.lit("")).alias("degraded"), F.min(F.when(F.col("ok"), F.col("settings_version"))).alias("settings_version"), F.bool_or("pending").alias("inconsistent"), F.min("replica_group").alias("group"))
+
+
+def facet_cube(found: DataFrame, columns: list[str]) -> DataFrame:
+    """Counts for every combination of values and of 'any value' (null, level tells which)."""
+    return found.cube(*columns).agg(F.grouping_id().alias("level"), F.count("*").alias("n"))
+
+
+def facet_cardinality(found: DataFrame, columns: list[str], error: float = 0.01) -> DataFrame:
+    """(facet, n): about how many values each column has; sketches, so no value is shuffled."""
+    return found.agg(*[F.approx_count_distinct(x, error).alias(x) for x in columns]).unpivot([], columns, "facet", "n")
 
 
 def explain(index: DataFrame, r: SearchRequest, pk: str, assigned: DataFrame | None = None) -> DataFrame:

@@ -28,6 +28,29 @@ def query_terms(query: str) -> list[str]:
     return sorted({t for t in "".join(x if x.isalpha() or unicodedata.category(x)[0] == "N" else " " for x in query.lower()).split()})
 
 
+def expanded(terms: list[str], synonyms: dict[str, list[str]] | None = None, stop_words: set[str] | None = None) -> list[list[str]]:
+    """For each term that is no stop word: the term and its synonyms. A query of stop words alone keeps them."""
+    kept = [t for t in terms if t not in (stop_words or ())] or terms
+    return [list(dict.fromkeys([t, *(synonyms or {}).get(t, [])])) for t in kept]
+
+
+def typos(length: Column) -> Column:
+    """How many edits a term of this length may differ by: one from five characters on, two from nine."""
+    return F.when(length >= 9, 2).when(length >= 5, 1).otherwise(0)
+
+
+def matching_terms(vocabulary: DataFrame, terms: list[str], prefix_last: bool = True) -> DataFrame:
+    """(asked, term, edits) of the vocabulary's terms (term) that a query's terms match: equal, within the typos allowed and
+    with the same first character, or, for the last one, as its beginning (edits 0)."""
+    asked = vocabulary.sparkSession.createDataFrame([(t, i == len(terms) - 1) for i, t in enumerate(terms)], "asked string, last boolean")
+    first = F.substring("asked", 1, 1).alias("first")
+    pairs = vocabulary.select("term", F.substring("term", 1, 1).alias("first")).join(F.broadcast(asked.select("asked", "last", first)), "first")  # a query's terms are few
+    edits = F.levenshtein("asked", "term", 2)
+    begins = F.col("last") & F.lit(prefix_last) & F.startswith("term", F.col("asked"))
+    near = pairs.withColumn("edits", F.when(begins, 0).otherwise(edits))
+    return near.where((F.col("edits") >= 0) & (begins | (F.col("edits") <= typos(F.length("asked"))))).select("asked", "term", "edits")
+
+
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf, dl, *other columns) of every term of every document."""
     others = [x for x in docs.columns if x not in (text, key)]

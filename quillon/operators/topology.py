@@ -63,6 +63,32 @@ def covering_set(assigned: DataFrame, query_seq: int) -> DataFrame:
     return inside.where(F.col("rank") == F.lit(query_seq) % F.col("rf")).select("shard", "node_id")
 
 
+def add_group(nodes: DataFrame, assigned: DataFrame, group: int, shards: int = SHARDS, rf: int = 2, mode: str = "md5") -> DataFrame:
+    """(shard, source, target): what a new group copies before it serves queries, each of its replicas from a serving node of
+    another group that holds the shard, the one of the smallest group and rank. nodes has the new group's nodes too."""
+    target = assignment(nodes.where(F.col("replica_group") == group), shards, rf, mode).select("shard", F.col("node_id").alias("target"))
+    up = serving(nodes.where(F.col("replica_group") != group)).select("node_id")
+    source = assigned.where(F.col("replica_group") != group).join(F.broadcast(up), "node_id").groupBy("shard")
+    return target.join(source.agg(F.min_by("node_id", F.struct("replica_group", "rank")).alias("source")), "shard", "left").select("shard", "source", "target")
+
+
+def group_states(copies: DataFrame) -> DataFrame:
+    """(replica_group, state) of copies (replica_group, shard, done): active when all its shards are there, initializing before."""
+    return copies.groupBy("replica_group").agg(F.when(F.bool_and("done"), "active").otherwise("initializing").alias("state"))
+
+
+def without_group(assigned: DataFrame, group: int) -> DataFrame:
+    """The placement that queries see once a group is draining: nothing moves, since other groups hold its documents."""
+    return assigned.where(F.col("replica_group") != group)
+
+
+def topology_report(nodes: DataFrame, assigned: DataFrame) -> DataFrame:
+    """(node_id, replica_group, status, shards, primaries, serving) of every node."""
+    held = assigned.groupBy("node_id").agg(F.count("*").alias("shards"), F.count_if(F.col("rank") == 0).alias("primaries"))
+    j = nodes.join(held, "node_id", "left")
+    return j.select("node_id", "replica_group", "status", F.coalesce("shards", F.lit(0)).alias("shards"), F.coalesce("primaries", F.lit(0)).alias("primaries"), F.col("status").isin("healthy", "active").alias("serving"))
+
+
 def moves(old: DataFrame, new: DataFrame) -> DataFrame:
     """(replica_group, shard, node_id, change): replicas that a new placement adds or removes."""
     keys = ["replica_group", "shard", "node_id"]

@@ -768,3 +768,6 @@ def canary_assertions(s, d):
 def flagship(s: SparkSession, d: str) -> DataFrame:
     """Shards, a filter, two-term BM25, a global order and a page."""
     return ranked(search.search(sharded(s, d), SearchRequest("thing that", 'lang = "en"', attributes=["doc_id", "lang", "source"], limit=20, show_score=True)))
+
+
+from quillon import queries_cluster  # noqa: E402, F401  registers its queries

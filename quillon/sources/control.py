@@ -56,9 +56,54 @@ def reconcile(tasks: DataFrame, node_states: DataFrame) -> DataFrame:
     return task_status(each.join(node_states, ["node_id", "uid"], "left").select("task_id", F.coalesce("status", F.lit("enqueued")).alias("status")))
 
 
-def task_page(tasks: DataFrame, statuses: list[str] | None = None, start: int | None = None, limit: int = 20) -> DataFrame:
-    out = tasks if statuses is None else tasks.where(F.col("status").isin(statuses))
-    return (out if start is None else out.where(F.col("uid") <= start)).orderBy(F.desc("uid")).limit(limit)
+def task_page(tasks: DataFrame, statuses: list[str] | None = None, start: int | None = None, limit: int = 20, index_uids: list[str] | None = None, types: list[str] | None = None) -> DataFrame:
+    """A page of tasks, newest first, from the one numbered ``start`` on; an empty list filters nothing."""
+    for name, wanted in (("status", statuses), ("index_uid", index_uids), ("type", types)):
+        if wanted:
+            tasks = tasks.where(F.col(name).isin(wanted))
+    return (tasks if start is None else tasks.where(F.col("uid") <= start)).orderBy(F.desc("uid")).limit(limit)
+
+
+def stored_tasks(tasks: DataFrame, status: str | None = None, offset: int = 0, limit: int | None = None) -> DataFrame:
+    """Rows of the tasks table, latest first; of equal times the greatest task_id first."""
+    out = (tasks if status is None else tasks.where(F.col("status") == status)).orderBy(F.desc("created_at"), F.desc("task_id"))
+    out = out.offset(offset) if offset else out
+    return out if limit is None else out.limit(limit)
+
+
+def canary_history(runs: DataFrame, n: int) -> DataFrame:
+    """(canary_id, runs, passed, rate, last_failure) over the last n runs of each canary."""
+    last = last_per_key(runs, ["canary_id"], "ran_at", n)
+    good = F.col("status") == "pass"
+    return last.groupBy("canary_id").agg(F.count("*").alias("runs"), F.count_if(good).alias("passed"), F.avg(good.cast("double")).alias("rate"), F.max(F.when(~good, F.col("ran_at"))).alias("last_failure"))
+
+
+def retry_key(body: Column, node: Column, idempotency_key: Column) -> Column:
+    """SHA-256 of body, node and key, if there is one, in a row."""
+    return F.sha2(F.concat(body.cast("binary"), node.cast("binary"), F.coalesce(idempotency_key.cast("binary"), F.lit(b""))), 256)
+
+
+def retry_cache(requests: DataFrame, ttl_s: int = 60) -> DataFrame:
+    """requests (key, ts, status) with cached: an earlier request with the key succeeded (2xx) at most ttl_s ago, so its
+    response is given again. Only a request that was really sent fills the cache, so a response lives ttl_s, not longer."""
+    at = F.col("ts").cast("timestamp").cast("double")
+    sent = requests.withColumn("_at", at).where(F.col("status").between(200, 299))
+    # good responses in fixed steps from a key's first one: within ttl_s of a kept one none is kept
+    kept = sent.groupBy("key").agg(F.array_sort(F.collect_set("_at")).alias("all"))  # a key's good responses: retries of one request
+    fold = F.aggregate("all", F.array().cast("array<double>"), lambda s, x: F.when((F.size(s) == 0) | (x >= F.element_at(F.when(F.size(s) > 0, s), -1) + ttl_s), F.concat(s, F.array(x))).otherwise(s))
+    kept = kept.select("key", fold.alias("filled"))
+    return requests.join(kept, "key", "left").select(*requests.columns, F.coalesce(F.exists("filled", lambda x: (x < at) & (at < x + ttl_s)), F.lit(False)).alias("cached"))
+
+
+def tenant_key(api_key: Column) -> Column:
+    return F.unhex(F.sha2(api_key.cast("binary"), 256))
+
+
+def ttl_policies(indexes: DataFrame, overrides: DataFrame, interval_s: int = 300, most: int = 10_000, enabled: bool = True) -> DataFrame:
+    """(index_uid, sweep_interval_s, max_deletes, enabled): an index's override where it has one, field by field, else the global policy."""
+    o = overrides.select("index_uid", *[F.col(x).alias(f"_{x}") for x in ("sweep_interval_s", "max_deletes", "enabled")])
+    j = indexes.join(o, "index_uid", "left")
+    return j.select("index_uid", F.coalesce("_sweep_interval_s", F.lit(interval_s)).alias("sweep_interval_s"), F.coalesce("_max_deletes", F.lit(most)).alias("max_deletes"), F.coalesce("_enabled", F.lit(enabled)).alias("enabled"))
 
 
 def prune(table: DataFrame, column: str, cutoff: int) -> DataFrame:

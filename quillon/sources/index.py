@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions.hashing import SHARDS, shard_md5
-from quillon.operators.search import RESERVED
+from quillon.operators.search import is_reserved, strip_reserved
 
 PK_GUESSES = ("id", "Id", "ID", "_id", "key", "Key", "pk", "doc_id")
 
@@ -32,7 +32,7 @@ def guess_pk(columns: list[str]) -> str:
 
 
 def check_document_columns(df: DataFrame, pk: str) -> None:
-    bad = [x for x in df.columns if x in RESERVED]
+    bad = [x for x in df.columns if is_reserved(x)]
     if bad:
         raise IndexError_(f"reserved fields: {', '.join(bad)}")
     if pk not in df.columns:
@@ -102,9 +102,10 @@ class Index:
         known = self.generations()
         if not known:
             return {}
-        g = known[-1] if generation is None else generation
-        text = self.spark.read.text(self._path("manifest", f"gen={g}.json"), wholetext=True).first()[0]
-        return {int(k): v for k, v in json.loads(text)["shards"].items()}
+        return {int(k): v for k, v in self._told(known[-1] if generation is None else generation)["shards"].items()}
+
+    def _told(self, generation: int) -> dict:
+        return json.loads(self.spark.read.text(self._path("manifest", f"gen={generation}.json"), wholetext=True).first()[0])
 
     def read(self, generation: int | None = None) -> DataFrame | None:
         """The index with _shard, a partition column; None before the first write."""
@@ -128,7 +129,7 @@ class Index:
         rows.hint("rebalance", "_shard").write.partitionBy("_shard").parquet(self._path(f"gen={g}"))
         left = {int(n[7:]) for n in self._names(f"gen={g}") if n.startswith("_shard=")}
         held = {s: old for s, old in self._manifest().items() if s not in touched} | {s: g for s in touched if s in left}
-        self._publish(g, {"shards": held, "pk": self.pk})
+        self._publish(g, {"shards": held, "pk": self.pk, "settings": self.settings()})
         return g
 
     def _publish(self, g: int, manifest: dict) -> None:
@@ -171,6 +172,29 @@ class Index:
         touched = [r[0] for r in now.where(F.coalesce(predicate, F.lit(False))).select("_shard").distinct().collect()]
         return self._commit(delete_where(now.where(F.col("_shard").isin(touched)), predicate), touched)
 
+    def delete_index(self) -> bool:
+        """Remove the index with all its generations; false if there was none."""
+        return self._fs().delete(self.spark._jvm.org.apache.hadoop.fs.Path(self._path()), True)
+
+    def create(self, pk: str | None = None, settings: dict | None = None) -> Index:
+        """Record the primary key and settings before any document; an index that exists is refused."""
+        if self.generations():
+            raise IndexError_(f"index {self.uid} exists")
+        self.pk = pk or self.pk
+        self._publish(1, {"shards": {}, "pk": self.pk, "settings": settings or {}})
+        return self
+
+    def settings(self, generation: int | None = None) -> dict:
+        known = self.generations()
+        return self._told(known[-1] if generation is None else generation).get("settings", {}) if known else {}
+
+    def update_settings(self, **changes) -> int:
+        """A generation with the same documents and other settings; None removes one. An older generation is the way back."""
+        now = {k: v for k, v in (self.settings() | changes).items() if v is not None}
+        g = max([0, *self.generations(), *self._folders()]) + 1
+        self._publish(g, {"shards": self._manifest(), "pk": self.pk, "settings": now})
+        return g
+
     def get(self, key) -> DataFrame:
         """The document of one key, from its shard alone."""
         from quillon.plans.planner import key_texts, shard_of
@@ -178,24 +202,24 @@ class Index:
         rows = self.read()
         texts = key_texts((key,), dict(rows.dtypes)[self.pk])
         there = F.lit(True) if texts is None else F.col("_shard").isin([shard_of(t, self.shards) for t in texts])
-        return rows.where(there & (F.col(self.pk) == F.lit(key))).drop(*RESERVED)
+        return rows.where(there & (F.col(self.pk) == F.lit(key))).transform(strip_reserved)
 
     def browse(self, offset: int = 0, limit: int = 20) -> DataFrame:
-        return self.read().orderBy(self.pk).offset(offset).limit(limit).drop(*RESERVED)
+        return self.read().orderBy(self.pk).offset(offset).limit(limit).transform(strip_reserved)
 
     def dump(self, path: str) -> None:
         """All documents as newline-delimited JSON."""
-        self.read().drop(*RESERVED).write.json(path)
+        self.read().transform(strip_reserved).write.json(path)
 
     def load_dump(self, path: str) -> int:
         df = self.spark.read.json(path)
-        return self.upsert(df.drop(*[x for x in df.columns if x in RESERVED]))
+        return self.upsert(strip_reserved(df))
 
 
 def analyse_dump(spark: SparkSession, path: str, pk: str) -> DataFrame:
     """One row: documents, documents without a key, and those with a reserved field."""
     df = spark.read.json(path)
-    reserved = [F.col(x).isNotNull() for x in df.columns if x in RESERVED]
+    reserved = [F.col(x).isNotNull() for x in df.columns if is_reserved(x)]
     clash = F.greatest(*[r.cast("int") for r in reserved], F.lit(0)) if reserved else F.lit(0)
     key = F.col(pk) if pk in df.columns else F.lit(None)
     return df.agg(F.count("*").alias("documents"), F.count_if(key.isNull()).alias("without_key"), F.coalesce(F.sum(clash), F.lit(0)).cast("long").alias("reserved"))

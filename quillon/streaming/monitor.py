@@ -70,6 +70,43 @@ def health(log: DataFrame, node: str, order: list[str], ok: Column, fails: int =
     return said.withColumn("last", F.coalesce(F.lag("state").over(w), F.lit("healthy"))).where("state != last").select(node, *order, "state")
 
 
+def counters(requests: DataFrame, status: Column, degraded: Column) -> DataFrame:
+    """One row: requests, degraded ones, and those without a quorum (503)."""
+    return requests.agg(F.count("*").alias("requests"), F.count_if(degraded).alias("degraded"), F.count_if(status == 503).alias("no_quorum"))
+
+
+def rolls(indexes: DataFrame, policy: dict, now: Column, most: int = 10) -> DataFrame:
+    """(index_uid, reason) of write indexes (index_uid, docs, bytes, created) to be rolled over in one check: by documents, size or
+    age in seconds; at most ``most`` of them, the oldest first. A limit of the feature; the next check takes the rest."""
+    age = now.cast("timestamp").cast("double") - F.col("created").cast("timestamp").cast("double")
+    reason = F.when(F.col("docs") >= policy["max_docs"], "docs").when(F.col("bytes") >= policy["max_bytes"], "size").when(age >= policy["max_age_s"], "age")
+    return indexes.select("index_uid", "created", reason.alias("reason")).where("reason IS NOT NULL").orderBy("created", "index_uid").limit(most).select("index_uid", "reason")
+
+
+def due(jobs: DataFrame, now: Column) -> DataFrame:
+    """Scheduled jobs (name, every_s, last_run) with due and next_run; one that never ran is due."""
+    at = lambda x: x.cast("timestamp").cast("double")
+    following = at(F.col("last_run")) + F.col("every_s")
+    return jobs.select("name", F.coalesce(following <= at(now), F.lit(True)).alias("due"), F.timestamp_seconds(F.coalesce(following, at(now))).alias("next_run"))
+
+
+def shadowed(requests: DataFrame, key: str, rate: float = 0.05) -> DataFrame:
+    """The requests that also go to a shadow: those whose key's hash falls below the rate, so a retry decides alike."""
+    return requests.where(F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("double") < rate * float(1 << 32))
+
+
+def ring(diffs: DataFrame, order: str, size: int = 10_000) -> DataFrame:
+    """The last ``size`` differences; a limit of the feature."""
+    return diffs.orderBy(F.desc(order)).limit(size)
+
+
+def capture(log: DataFrame, ts: str, start: Column, n: int, prefix: str) -> DataFrame:
+    """(name, query, expected_ids): golden pairs from the first n queries (query, ids) at or after a time."""
+    first = log.where(F.col(ts) >= start).orderBy(ts, "query").limit(n)
+    nth = F.row_number().over(W.orderBy(ts, "query"))  # n rows, the feature's limit
+    return first.select(F.concat(F.lit(f"{prefix}-"), nth).alias("name"), "query", F.col("ids").alias("expected_ids"))
+
+
 def rollover(rows: DataFrame, ts: str, size: Column, policy: dict) -> DataFrame:
     """(day, docs, bytes, rolls): days of a series, and those whose size calls for a rollover."""
     days = rows.groupBy(F.to_date(ts).alias("day")).agg(F.count("*").alias("docs"), F.sum(size).alias("bytes"))
@@ -86,11 +123,17 @@ def retention(days: DataFrame, keep: int, lock_days: int = 7) -> DataFrame:
 
 def clickthrough(events: DataFrame, event_id: str, kind: str, by: str) -> DataFrame:
     """(by, views, clicks, ctr); a beacon that repeats counts once."""
-    once = events.dropDuplicates([event_id]).where(F.col(kind).isin("view", "click"))
+    once = events.select(event_id, kind, by).dropDuplicates([event_id]).where(F.col(kind).isin("view", "click"))
     counted = once.groupBy(by).agg(F.count_if(F.col(kind) == "view").alias("views"), F.count_if(F.col(kind) == "click").alias("clicks"))
     return counted.withColumn("ctr", F.when(F.col("views") > 0, F.col("clicks") / F.col("views")))
 
 
+def zero_hits(beacons: DataFrame, event_id: str, index_uid: str, hits: Column, duration: Column) -> DataFrame:
+    """(index_uid, queries, zero_hits, p95) of query beacons; one that repeats counts once."""
+    once = beacons.select(event_id, index_uid, hits.alias("_hits"), duration.alias("_ms")).dropDuplicates([event_id])
+    return once.groupBy(index_uid).agg(F.count("*").alias("queries"), F.count_if(F.col("_hits") == 0).alias("zero_hits"), F.percentile("_ms", F.lit(0.95)).alias("p95"))
+
+
 def shadow_diff(primary: DataFrame, shadow: DataFrame, keys: list[str]) -> DataFrame:
     """One row: hits in both, in one only, and those at other positions."""
     j = primary.select(*keys, F.col("pos").alias("x")).join(shadow.select(*keys, F.col("pos").alias("y")), keys, "full_outer")
@@ -100,11 +143,14 @@ def shadow_diff(primary: DataFrame, shadow: DataFrame, keys: list[str]) -> DataF
 
 def canary(results: DataFrame, assertions: DataFrame) -> DataFrame:
     """(name, kind, passed). results: (name, hits, first_id, millis, top array<string>); assertions: (name, kind, value,
-    ids). Kinds: min_hits, max_hits, top_hit_id, top_k_contains, max_latency_ms, not_empty."""
+    ids). Kinds: min_hits, max_hits, top_hit_id, top_k_contains, max_latency_ms, not_empty, and, where results
+    have p95_ms and settings_version, max_p95_ms and settings_version_at_least; must_not_contain_id."""
     j = assertions.join(results, "name", "left")
     v = F.col("value").try_cast("double")
+    optional = lambda x: F.col(x) if x in results.columns else F.lit(None)
     passed = (
-        F.when(F.col("kind") == "min_hits", F.col("hits") >= v).when(F.col("kind") == "max_hits", F.col("hits") <= v).when(F.col("kind") == "top_hit_id", F.col("first_id") == F.col("value"))
+        F.when(F.col("kind") == "max_p95_ms", optional("p95_ms") <= v).when(F.col("kind") == "settings_version_at_least", optional("settings_version") >= v)
+        .when(F.col("kind") == "must_not_contain_id", ~F.arrays_overlap("ids", "top")).when(F.col("kind") == "min_hits", F.col("hits") >= v).when(F.col("kind") == "max_hits", F.col("hits") <= v).when(F.col("kind") == "top_hit_id", F.col("first_id") == F.col("value"))
         .when(F.col("kind") == "top_k_contains", F.size(F.array_except("ids", "top")) == 0).when(F.col("kind") == "max_latency_ms", F.col("millis") <= v).when(F.col("kind") == "not_empty", F.col("hits") > 0)
     )
     return j.select("name", "kind", F.coalesce(passed, F.lit(False)).alias("passed"))
