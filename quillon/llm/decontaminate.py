@@ -1,17 +1,18 @@
 """Benchmark decontamination with a distributed positional inverted index, in DataFrame operations only.
 
-The index is a written table of postings (term, doc_id, pos) of training tokens that the test
-items use, kept where the documents' scan made them, so building it shuffles no posting; one
-posting of an end marker a document records its length. A test phrase is looked up from its rarest terms:
-their postings, less their places in the test text, are intersected on (document, alignment), and only alignments on which
-they agree are compared with the other terms' postings.
+The index is a written table of the postings (term, doc_id, pos) of all training tokens, whatever a benchmark asks for, so
+another benchmark needs no other scan of the texts. It is kept in folders by the terms' length: lists of short,
+frequent terms are not read when rare ones are looked up, and a folder of end markers holds the
+documents' lengths. Postings stay where the documents' scan made them, so building it shuffles none. A test phrase is
+looked up from its rarest terms: their postings, less their places in the test text, are intersected on (document,
+alignment), and only alignments on which they agree are compared with the other terms' postings.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ WINDOW = 10
 RAREST = 2
 #: Rows up to which test terms, phrases and candidate documents are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Terms of this length and longer share a folder.
+LONGEST = 12
 #: Not a token: the pattern below keeps line feeds out of tokens.
 _END = "\n"
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -39,37 +42,42 @@ def _near(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _folder(term: str) -> Column:
+    return F.when(F.col(term) == _END, 0).otherwise(F.least(F.length(term), F.lit(LONGEST)))
+
+
 @dataclass
 class PositionalIndex:
-    """postings: (term_id, doc_id, pos); terms: (term, term_id, postings count), the end marker's id being 0."""
+    """postings: (term, doc_id, pos, folder); of an end marker the position is its document's length."""
 
     postings: DataFrame
-    terms: DataFrame
-    n_terms: int
     spool: Spool
 
     @staticmethod
-    def build(docs: DataFrame, vocabulary: DataFrame, spool: Spool) -> PositionalIndex:
-        """Index the tokens of docs (doc_id, text) that vocabulary (term) has."""
-        named = vocabulary.select("term").distinct()
-        listed = spool.table("vocabulary", named.select("term", F.xxhash64("term").alias("hash")))
-        n = listed.count()
-        # ids by rank among the test terms, ranked within hash buckets so that no task orders all of them
-        wide = listed.withColumn("bucket", F.pmod("hash", F.lit(1024)))
-        sizes = wide.groupBy("bucket").agg(F.count("*").alias("n")).selectExpr("bucket", "sum(n) OVER (ORDER BY bucket) - n + 1 AS base")
-        ids = wide.join(F.broadcast(sizes), "bucket").selectExpr("term", "CAST(base + row_number() OVER (PARTITION BY bucket ORDER BY term) - 1 AS int) AS term_id")
-        end = docs.sparkSession.sql("SELECT '\\n' AS term, 0 AS term_id")
-        ids = spool.table("ids", ids.union(end))
+    def build(docs: DataFrame, spool: Spool) -> PositionalIndex:
+        """Index all tokens of docs (doc_id, text)."""
         found = docs.select("doc_id", F.posexplode(F.concat(tokens(F.col("text")), F.array(F.lit(_END)))).alias("pos", "term"))
-        postings = found.join(_near(ids, n), "term").select("term_id", "doc_id", "pos")
-        postings = spool.table("postings", postings)
-        counts = postings.groupBy("term_id").agg(F.count("*").alias("n"))
-        terms = spool.table("terms", ids.join(_near(counts, n), "term_id", "left").select("term", "term_id", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
-        return PositionalIndex(postings, terms, n, spool)
+        return PositionalIndex(spool.table("postings", found.select("term", "doc_id", "pos", _folder("term").alias("folder")), by="folder"), spool)
+
+    @staticmethod
+    def open(spark: SparkSession, path: str, spool: Spool) -> PositionalIndex:
+        """An index that was built before, at the path of its postings."""
+        return PositionalIndex(spark.read.schema("term string, doc_id long, pos int, folder int").parquet(path), spool)
 
     def lengths(self) -> DataFrame:
-        """(doc_id, n_words)."""
-        return self.postings.where("term_id = 0").select("doc_id", F.col("pos").cast("long").alias("n_words"))
+        """(doc_id, n_words), from the folder of end markers alone."""
+        return self.postings.where("folder = 0").select("doc_id", F.col("pos").cast("long").alias("n_words"))
+
+    def lists(self, terms: DataFrame, n: int) -> DataFrame:
+        """Postings joined with terms (term and any others; n rows), read from the folders of these terms alone."""
+        folders = [r[0] for r in terms.select(_folder("term").alias("folder")).distinct().collect()]  # at most LONGEST
+        return self.postings.where(F.col("folder").isin(folders)).drop("folder").join(_near(terms, n), "term")
+
+    def counted(self, terms: DataFrame, name: str) -> DataFrame:
+        """terms (term and any others) with n, how many postings each has; written, and with how many rows."""
+        asked = self.spool.table(f"{name}-terms", terms.select("term").distinct())
+        counts = self.lists(asked, asked.count()).groupBy("term").agg(F.count("*").alias("n"))
+        return self.spool.table(name, terms.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long")))
 
     def windows(self, texts: DataFrame, window: int, rarest: int = RAREST) -> DataFrame:
         """Exact occurrences (item_id, doc_id, start, size) of each run of ``window`` words of
@@ -79,8 +87,7 @@ class PositionalIndex:
         text, so a posting counts once for all windows of the text that it is in.
         """
         spool = self.spool
-        each = texts.select("item_id", F.size("words").alias("length"), F.posexplode("words").alias("at", "term"))
-        each = spool.table("places", each.join(_near(self.terms, self.n_terms), "term").select("item_id", "length", "at", "term_id", "n"))
+        each = self.counted(texts.select("item_id", F.size("words").alias("length"), F.posexplode("words").alias("at", "term")), "places")
         n = each.count()
         ahead = W.partitionBy("item_id").orderBy("at").rowsBetween(0, window - 1)
         cut = each.select("item_id", "length", F.col("at").alias("first"), F.collect_list(F.struct("n", "at")).over(ahead).alias("run"))
@@ -88,16 +95,21 @@ class PositionalIndex:
         # a term that is nowhere: the window is nowhere
         cut = cut.where("forall(run, x -> x.n > 0)").selectExpr("item_id", "first", "size(run) AS size", f"transform(slice(array_sort(transform(run, x -> struct(x.n AS n, x.at AS at))), 1, {rarest}), x -> x.at) AS keys")
         cut = spool.table("windows-of-texts", cut)
-        keys = cut.select("item_id", F.explode("keys").alias("at")).distinct().join(each.select("item_id", "at", "term_id"), ["item_id", "at"])
-        lists = self.postings.join(_near(keys, n), "term_id").selectExpr("item_id", "doc_id", "pos - at AS shift", "at")
+        keys = spool.table("keys", cut.select("item_id", F.explode("keys").alias("at")).distinct().join(each.select("item_id", "at", "term"), ["item_id", "at"]))
+        lists = self.lists(keys, n).selectExpr("item_id", "doc_id", "pos - at AS shift", "at")
         agree = lists.groupBy("item_id", "doc_id", "shift").agg(F.collect_set("at").alias("seen"))
-        likely = agree.join(_near(cut, n), "item_id").where("shift + first >= 0 AND forall(keys, k -> array_contains(seen, k))")
+        # an alignment meets the windows of which it has the rarest term, not all windows of its text
+        agree = agree.select("item_id", "doc_id", "shift", "seen", F.explode("seen").alias("rarest"))
+        likely = agree.join(_near(cut.withColumn("rarest", F.col("keys")[0]), n), ["item_id", "rarest"])
+        likely = likely.where("shift + first >= 0 AND forall(keys, k -> array_contains(seen, k))")
         likely = spool.table("likely", likely.select("item_id", "doc_id", "shift", "first", "size"))
-        within = spool.table("within", likely.select("doc_id").distinct())
-        held = self.postings.join(_near(within, within.count()), "doc_id", "left_semi")
         wanted = likely.select("item_id", "doc_id", "shift", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("size") - 1)).alias("at")).distinct()
-        wanted = wanted.join(_near(each.select("item_id", "at", "term_id"), n), ["item_id", "at"]).withColumn("pos", F.col("shift") + F.col("at"))
-        there = wanted.join(held, ["doc_id", "pos", "term_id"]).groupBy("item_id", "doc_id", "shift").agg(F.collect_set("at").alias("seen"))
+        wanted = wanted.join(_near(each.select("item_id", "at", "term"), n), ["item_id", "at"]).withColumn("pos", F.col("shift") + F.col("at"))
+        wanted = spool.table("wanted", wanted)
+        within = spool.table("within", likely.select("doc_id").distinct())
+        asked = spool.table("wanted-terms", wanted.select("term").distinct())
+        held = self.lists(asked, asked.count()).join(_near(within, within.count()), "doc_id", "left_semi")
+        there = wanted.join(held, ["doc_id", "pos", "term"]).groupBy("item_id", "doc_id", "shift").agg(F.collect_set("at").alias("seen"))
         full = likely.join(there, ["item_id", "doc_id", "shift"]).where("forall(sequence(first, first + size - 1), k -> array_contains(seen, k))")
         return full.selectExpr("item_id", "doc_id", "shift + first AS start", "size")
 
@@ -105,19 +117,19 @@ class PositionalIndex:
         """Proximity matches (phrase_id, doc_id, start): every word of a group (phrase_id, words), in
         any order, within size + slop tokens from start on, where an occurrence of its rarest word lies."""
         spool = self.spool
-        each = groups.select("phrase_id", F.explode(F.array_distinct("words")).alias("term"))
-        each = each.join(_near(self.terms, self.n_terms), "term")
-        each = each.selectExpr("phrase_id", "term_id", "count(*) OVER (PARTITION BY phrase_id) AS size", "row_number() OVER (PARTITION BY phrase_id ORDER BY n, term_id) AS rank")
-        each = spool.table("groups", each.join(_near(groups.select("phrase_id", F.size(F.array_distinct("words")).alias("all")), self.n_terms), "phrase_id").where("size = all"))
+        each = self.counted(groups.select("phrase_id", F.size(F.array_distinct("words")).alias("size"), F.explode(F.array_distinct("words")).alias("term")), "groups")
         n = each.count()
-        lists = self.postings.join(_near(each.where("rank = 1").select("phrase_id", "size", "term_id"), n), "term_id")
-        starts = lists.selectExpr("phrase_id", "size", "doc_id", f"explode(sequence(greatest(0, pos - CAST(size AS int) - {slop} + 1), pos)) AS start").distinct()
+        # a group with a word that is nowhere matches nothing
+        each = each.selectExpr("phrase_id", "term", "size", "min(n) OVER (PARTITION BY phrase_id) AS least", "row_number() OVER (PARTITION BY phrase_id ORDER BY n, term) AS rank")
+        each = spool.table("ranked", each.where("least > 0"))
+        lists = self.lists(each.where("rank = 1").select("phrase_id", "size", "term"), n)
+        starts = lists.selectExpr("phrase_id", "size", "doc_id", f"explode(sequence(greatest(0, pos - size - {slop} + 1), pos)) AS start").distinct()
         starts = spool.table("starts", starts)
         within = spool.table("near-docs", starts.select("doc_id").distinct())
-        held = self.postings.join(_near(within, within.count()), "doc_id", "left_semi").join(_near(each.select("phrase_id", "term_id"), n), "term_id")
+        held = self.lists(each.select("phrase_id", "term"), n).join(_near(within, within.count()), "doc_id", "left_semi")
         hits = held.withColumnRenamed("doc_id", "d").withColumnRenamed("phrase_id", "p")
         hits = starts.join(hits, (F.col("phrase_id") == F.col("p")) & (F.col("doc_id") == F.col("d")) & (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("start") + F.col("size") + slop))
-        return hits.groupBy("phrase_id", "doc_id", "start", "size").agg(F.count_distinct("term_id").alias("n")).where("n = size").select("phrase_id", "doc_id", "start")
+        return hits.groupBy("phrase_id", "doc_id", "start", "size").agg(F.count_distinct("term").alias("n")).where("n = size").select("phrase_id", "doc_id", "start")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -139,7 +151,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, text:
     words = items.select("item_id", tokens(F.col("text")).alias("words")).where("size(words) > 0").distinct()
     # items may repeat an id with other words
     words = spool.table("items", words.withColumnRenamed("item_id", "name").withColumn("item_id", F.sha2(F.concat_ws(_END, "name", F.array_join("words", _END)), 256)))
-    index = PositionalIndex.build(docs, words.select(F.explode("words").alias("term")), spool)
+    index = PositionalIndex.build(docs, spool)
     found = spool.table("found", index.windows(words.select("item_id", "words"), window))
     hit = found.select("doc_id", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("pos")).distinct()
     hit = hit.groupBy("doc_id").agg(F.count("*").alias("n_hit"))

@@ -43,9 +43,10 @@ class Spool:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def table(self, name: str, df: DataFrame) -> DataFrame:
-        """Write ``df`` as Parquet and return the frame that reads it back."""
-        df.write.option("compression", "zstd").parquet(self.path(name))
+    def table(self, name: str, df: DataFrame, by: str | None = None) -> DataFrame:
+        """Write ``df`` as Parquet, in folders by a column of few values if one is given, and return the frame that reads it back."""
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(self.path(name))
         self.keep_until_end()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 

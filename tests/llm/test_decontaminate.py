@@ -106,10 +106,22 @@ def test_no_python_in_the_plan(spark, capsys):
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x beta y gamma"), (2, "gamma alpha z z z z z beta"), (3, "alpha beta")], "doc_id long, text string")
     groups = spark.createDataFrame([("g", ["beta", "alpha", "gamma"])], "phrase_id string, words array<string>")
-    index = PositionalIndex.build(docs, groups.select(F.explode("words").alias("term")), Spool(spark, "test"))
+    index = PositionalIndex.build(docs, Spool(spark, "test"))
     assert {(r.doc_id, r.start) for r in index.near(groups, 2).collect()} == {(1, 0)}
-    index.spool = Spool(spark, "test")
-    assert index.near(groups, 1).count() == 0
+    again = PositionalIndex.open(spark, index.spool.path("postings"), Spool(spark, "test"))
+    assert again.near(groups, 1).count() == 0
+    nowhere = spark.createDataFrame([("g", ["beta", "delta"]), ("h", [])], "phrase_id string, words array<string>")
+    assert PositionalIndex.open(spark, index.spool.path("postings"), Spool(spark, "test")).near(nowhere, 5).count() == 0
+
+
+def test_lookups_read_their_terms_folders_alone(spark, capsys):
+    docs = spark.createDataFrame([(1, "a bb ccc dddd extraordinarily long"), (2, "")], "doc_id long, text string")
+    index = PositionalIndex.build(docs, Spool(spark, "test"))
+    found = index.lists(spark.createDataFrame([("ccc", 5)], "term string, x int"), 1)
+    assert [tuple(r) for r in found.collect()] == [("ccc", 1, 2, 5)]
+    found.explain()
+    assert re.search(r"PartitionFilters: \[[^\]]*folder[^\]]*3", capsys.readouterr().out)
+    assert sorted(map(tuple, index.lengths().collect())) == [(1, 6), (2, 0)]
 
 
 def test_synthetic_table(spark, sf):
