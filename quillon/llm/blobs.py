@@ -15,7 +15,7 @@ import zstandard
 SCHEMA = "bin int, kind int, blob binary"
 
 
-def bounded(source: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def bounded(source: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes or of one row, whatever the size of Spark's: arrays made for a
     batch are several times as large as its texts."""
     for b in source:
