@@ -88,6 +88,16 @@ def control_store_tasks(s, d):
     return store.read("tasks").select("task_id", "status", "created_at")
 
 
+@query("search_indexed", f"SELECT doc_id, lang, round(score, 6) AS score FROM {scored_sql(['that', 'thing'], 'n_chars > 300')} ORDER BY score DESC, CAST(doc_id AS VARCHAR) LIMIT 20 OFFSET 5")
+def search_indexed(s, d):
+    """A filtered page from an index's postings, after an update that changes nothing but which files hold them."""
+    ix, x = Index(s, scratch(s), "documents", "doc_id", 8, "text"), docs(s, d)
+    ix.upsert(x)
+    ix.upsert(x.where("doc_id % 40 = 0"))
+    found = ix.search(search.SearchRequest("thing that", "n_chars > 300", attributes=["doc_id", "lang"], offset=5, limit=20, show_score=True))
+    return found.withColumn("score", F.round("score", 6))
+
+
 # Settings -------------------------------------------------------------------------------------------------------------
 
 

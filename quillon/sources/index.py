@@ -9,6 +9,7 @@ writes pass over its number, and ``vacuum`` removes it.
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
 from dataclasses import dataclass
@@ -18,7 +19,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions.hashing import SHARDS, shard_md5
-from quillon.operators.search import is_reserved, strip_reserved
+from quillon.operators.search import SearchRequest, is_reserved, page, search, strip_reserved
+from quillon.operators.text import B, K1, idf, postings, query_terms, tokens
+from quillon.plans.planner import key_texts, plan, shard_of
 
 PK_GUESSES = ("id", "Id", "ID", "_id", "key", "Key", "pk", "doc_id")
 
@@ -69,6 +72,8 @@ class Index:
     uid: str
     pk: str = "id"
     shards: int = SHARDS
+    #: The field that is searched: writes add its postings, sorted by term, and sizes of the shards they touch.
+    text: str | None = None
 
     def _path(self, *parts: str) -> str:
         return "/".join([self.root.rstrip("/"), self.uid, *parts])
@@ -128,10 +133,56 @@ class Index:
         # rows by shard, large shards over several tasks and small ones together, as adaptive execution finds their sizes
         rows.hint("rebalance", "_shard").write.partitionBy("_shard").parquet(self._path(f"gen={g}"))
         left = {int(n[7:]) for n in self._names(f"gen={g}") if n.startswith("_shard=")}
+        if self.text and left:
+            self._write_postings(g)
         held = {s: old for s, old in self._manifest().items() if s not in touched} | {s: g for s in touched if s in left}
         self._publish(g, {"shards": held, "pk": self.pk, "settings": self.settings()})
         return g
 
+    def _write_postings(self, g: int) -> None:
+        rows = self.spark.read.parquet(self._path(f"gen={g}")).select(F.col("_shard").cast("int").alias("_shard"), F.col(self.pk).alias("_key"), F.col(self.text).alias("_text"))
+        listed = postings(rows, "_key", "_text").select("_shard", "_key", "term", F.col("tf").cast("int").alias("tf"), "dl")
+        listed.hint("rebalance", "_shard").sortWithinPartitions("_shard", "term").write.partitionBy("_shard").parquet(self._path(f"gen={g}", "_postings"))
+        sizes = rows.select("_shard", F.size(tokens("_text")).alias("dl")).groupBy("_shard").agg(F.count("*").alias("n"), F.sum("dl").alias("words"))
+        sizes.coalesce(1).write.parquet(self._path(f"gen={g}", "_sizes"))  # a row a shard
+
+    def search(self, r: SearchRequest) -> DataFrame:
+        """A page of hits, as ``operators.search.search`` gives it over ``read()``, from postings: only those of the query's
+        terms are read, and documents only for the filter, the order asked for and the attributes shown."""
+        terms, held = query_terms(r.q), self._manifest()
+        if not terms or not held or not self.text:
+            return search(self.read(), r, self.pk, self.text or "text")
+        by: dict[int, list[int]] = {}
+        for shard, g in held.items():
+            by.setdefault(g, []).append(shard)
+        found = [self._postings_of(g, shards) for g, shards in by.items()]
+        sizes = [self.spark.read.parquet(self._path(f"gen={g}", "_sizes")).where(F.col("_shard").isin(shards)) for g, shards in by.items()]
+        listed = functools.reduce(DataFrame.unionByName, found).where(F.col("term").isin(terms)).select("_key", "_shard", "term", "tf", "dl")
+        all_sizes = functools.reduce(DataFrame.unionByName, sizes).agg(F.sum("n").alias("_n"), (F.sum("words") / F.sum("n")).alias("_avg"))
+        df = listed.groupBy("term").agg(F.count("*").alias("_df"))
+        tf = F.col("tf").cast("double")
+        part = idf(F.col("_n"), F.col("_df")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("_avg")))
+        scored = listed.join(F.broadcast(df), "term").join(F.broadcast(all_sizes)).groupBy("_key", "_shard").agg(F.sum(part).alias("score"))
+        if r.threshold is not None:
+            scored = scored.where(F.col("score") >= r.threshold)
+        shown = r.attributes if r.attributes is not None else None
+        if not r.filter and not r.sort and shown is not None and set(shown) <= {self.pk}:
+            return page(scored.select(F.col("_key").alias(self.pk), "score"), r, self.pk)
+        docs = self.read()
+        p = plan(r.filter, self.pk, self.shards, key_type=dict(docs.dtypes)[self.pk])
+        if p.narrowed:
+            scored = scored.where(F.col("_shard").isin(*p.shards))
+        hits = docs.where(p.condition()).join(scored.select(F.col("_key").alias(self.pk), "_shard", "score"), [self.pk, "_shard"])
+        return page(hits, r, self.pk)
+
+    def _postings_of(self, g: int, shards: list[int]) -> DataFrame:
+        """A generation's postings of these shards; a shard whose texts have no words has none."""
+        base = self._path(f"gen={g}", "_postings")
+        have = set(self._names(f"gen={g}", "_postings"))
+        paths = [f"{base}/_shard={x}" for x in shards if f"_shard={x}" in have]
+        rows = self.spark.read.option("basePath", base).parquet(*paths or [base])
+        return rows if paths else rows.where(F.lit(False)).withColumn("_shard", F.lit(0))
+
     def _publish(self, g: int, manifest: dict) -> None:
         """All of the manifest or nothing of it: written beside its place, then renamed."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path
@@ -197,8 +248,6 @@ class Index:
 
     def get(self, key) -> DataFrame:
         """The document of one key, from its shard alone."""
-        from quillon.plans.planner import key_texts, shard_of
-
         rows = self.read()
         texts = key_texts((key,), dict(rows.dtypes)[self.pk])
         there = F.lit(True) if texts is None else F.col("_shard").isin([shard_of(t, self.shards) for t in texts])

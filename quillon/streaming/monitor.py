@@ -60,14 +60,41 @@ def latency_histogram(log: DataFrame, seconds: Column, buckets: list[float] = BU
 
 def health(log: DataFrame, node: str, order: list[str], ok: Column, fails: int = 3, passes: int = 2) -> DataFrame:
     """(node, *order, state) where a node's state changes: ``fails`` failures in a row make it unhealthy, ``passes``
-    successes in a row recover it; nodes begin healthy."""
-    w = W.partitionBy(node).orderBy(*order)
-    marked = log.select(node, *order, ok.alias("ok")).withColumn("new", F.when(F.col("ok") == F.lag("ok").over(w), 0).otherwise(1))
-    run = marked.withColumn("run", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    nth = run.withColumn("nth", F.row_number().over(W.partitionBy(node, "run").orderBy(*order)))
-    says = F.when(~F.col("ok") & (F.col("nth") == fails), "unhealthy").when(F.col("ok") & (F.col("nth") == passes), "healthy")
-    said = nth.withColumn("state", says).where("state IS NOT NULL")
-    return said.withColumn("last", F.coalesce(F.lag("state").over(w), F.lit("healthy"))).where("state != last").select(node, *order, "state")
+    successes in a row recover it; nodes begin healthy. order begins with a timestamp.
+
+    Whether a row ends a run of the wanted length shows in a few rows before it. A minute's rows find them among themselves and in
+    the last rows of earlier minutes, so no task needs a node's whole log in order: across minutes a window has a row a node and minute.
+    """
+    k = max(fails, passes)
+    span = F.floor(F.col(order[0]).cast("timestamp").cast("double") / SPAN_S)
+    rows = log.select(node, *order, ok.alias("_ok"), span.alias("_span"))
+    inside = W.partitionBy(node, "_span").orderBy(*order)
+    spans_before = W.partitionBy(node).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
+    numbered = rows.withColumn("_nth", F.row_number().over(inside)).withColumn("_left", F.row_number().over(W.partitionBy(node, "_span").orderBy(*map(F.desc, order))))
+    tails = numbered.where(F.col("_left") <= k).groupBy(node, "_span").agg(F.transform(F.array_sort(F.collect_list(F.struct("_nth", "_ok"))), lambda x: x["_ok"]).alias("_tail"))
+    # k minutes that have rows have k rows at least
+    held = F.flatten(F.collect_list("_tail").over(W.partitionBy(node).orderBy("_span").rowsBetween(-k, -1)))
+    before = tails.select(node, "_span", F.slice(held, F.greatest(F.size(held) - k + 1, F.lit(1)), k).alias("_before"))
+    seen = numbered.join(before, [node, "_span"])
+
+    def earlier(j: int) -> Column:
+        at = F.size("_before") - j + F.col("_nth")  # where the j-th row before this one is, if not in its minute
+        return F.when(F.col("_nth") > j, F.lag("_ok", j).over(inside)).otherwise(F.when(at >= 1, F.get("_before", (at - 1).cast("int"))))
+
+    def ends(n: int, value: bool) -> Column:
+        """Is this the n-th row in a row with the value, and not one after it?"""
+        like = lambda x: F.coalesce(x == F.lit(value), F.lit(False))
+        out = like(F.col("_ok")) & ~like(earlier(n))
+        for j in range(1, n):
+            out = out & like(earlier(j))
+        return out
+
+    says = F.when(ends(fails, False), "unhealthy").when(ends(passes, True), "healthy")
+    said = seen.select(node, *order, "_span", says.alias("state")).where("state IS NOT NULL")
+    last = said.groupBy(node, "_span").agg(F.max_by("state", F.struct(*order)).alias("_last"))
+    last = last.select(node, "_span", F.last("_last").over(spans_before).alias("_earlier"))
+    then = F.coalesce(F.lag("state").over(inside), F.col("_earlier"), F.lit("healthy"))
+    return said.join(last, [node, "_span"]).withColumn("_then", then).where("state != _then").select(node, *order, "state")
 
 
 def counters(requests: DataFrame, status: Column, degraded: Column) -> DataFrame:

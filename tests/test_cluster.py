@@ -89,6 +89,21 @@ def test_index_life_cycle(spark, tmp_path):
     assert ix.delete_index() and not ix.delete_index() and ix.generations() == []
 
 
+def test_search_from_postings_equals_a_scan(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.unionByName(spark.createDataFrame([(-1, None, "en", "s", 0), (-2, "", "en", "s", 0), (-3, "thing thing", None, None, 11)], docs.schema))
+    ix = Index(spark, str(tmp_path), "docs", "doc_id", 4, "text")
+    ix.upsert(docs)
+    ix.upsert(docs.where("doc_id % 3 = 0").withColumn("text", F.concat("text", F.lit(" thing"))))
+    ix.delete([5, -2])
+    R = search.SearchRequest
+    for r in (R("thing", attributes=["doc_id"], limit=500, show_score=True), R("the que", "n_chars > 400 AND lang = 'fr'", limit=30, show_score=True), R("that thing", sort=["n_chars:asc"], attributes=["doc_id", "n_chars"]), R("thing", 'doc_id IN [-3, 3, "9"]', attributes=["doc_id"]), R("thing", threshold=0.5, attributes=["doc_id"], limit=500), R("", limit=3, attributes=["doc_id"]), R("nowhereatall", attributes=["doc_id"])):
+        got, want = (sorted([(*[round(v, 9) if isinstance(v, float) else v for v in x],) for x in df.collect()], key=str) for df in (ix.search(r).select(*sorted(ix.search(r).columns)), search.search(ix.read(), r).select(*sorted(ix.search(r).columns))))
+        assert got == want, r
+    plan = ix.search(R("thing", attributes=["doc_id"]))._jdf.queryExecution().toString()
+    assert "EqualTo(term,thing)" in plan and "text" not in plan.split("Physical")[1]
+
+
 def test_a_failing_node_rolls_settings_back(spark):
     rows = [("a", 1, "old", True), ("b", 2, None, True), ("c", 3, "old", None), ("d", 4, "old", True)]
     df = lambda r: spark.createDataFrame(r, "node_id string, pos int, held string, ok boolean")
@@ -144,6 +159,29 @@ def test_retry_cache_equals_a_loop(spark):
     assert got == want and 0 < len(want) < 200
 
 
+def test_health_equals_a_loop(spark):
+    import random
+
+    r = random.Random(5)
+    rows, second = [], 0
+    for i in range(600):
+        second += r.choice([0, 1, 20, 59, 61, 400])
+        rows.append((r.choice("ab"), at(second), i, r.choice([True, True, False, False, None])))
+    for fails, passes in ((3, 2), (1, 1), (2, 4)):
+        got = monitor.health(spark.createDataFrame(rows, "node string, ts timestamp, i int, ok boolean"), "node", ["ts", "i"], F.col("ok"), fails, passes)
+        want = []
+        for n in "ab":
+            state, run, last = "healthy", 0, None
+            for _, _, i, ok in (x for x in rows if x[0] == n):
+                run = run + 1 if ok is not None and ok == last else 1
+                last = ok
+                says = "unhealthy" if ok is False and run == fails else "healthy" if ok and run == passes else None
+                if says and says != state:
+                    state = says
+                    want.append((n, i, says))
+        assert sorted((x.node, x.i, x.state) for x in got.collect()) == sorted(want)
+
+
 def test_sessions_are_pinned_to_the_first_quorum(spark):
     writes = spark.createDataFrame([("s", "t0", at(0)), ("s", "t1", at(10)), ("tie", "t2", at(10)), ("down", "t3", at(10)), ("none", "t4", at(10)), ("old", "t5", at(-2000))], "session_id string, task_id string, ts timestamp")
     acks = [("t0", 0, "a", 1), ("t0", 0, "b", 2), ("t1", 0, "a", 11), ("t1", 1, "c", 12), ("t1", 1, "d", 13), ("t1", 0, "b", 14), ("t1", 0, "a", 12), *[("t2", g, n, 11) for g in (1, 0) for n in "ab"], ("t3", 2, "x", 11), ("t3", 2, "y", 11), ("t4", 0, "a", 11)]
