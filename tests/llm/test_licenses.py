@@ -51,6 +51,17 @@ def test_finds_what_a_full_scan_finds(spark):
     assert sum(n in got[d].split(",") for d, n in pairs) >= 0.995 * len(pairs) and len(pairs) > 200
 
 
+def test_ties_repeats_and_empty_tables(spark):
+    mit = "Released under the MIT License."
+    text = f"{mit} {'q ' * 400} {mit}"
+    df = spark.createDataFrame([(1, text), (1, text), (None, mit), (2, "other")], "doc_id long, text string").repartition(2)
+    rows = scan_licenses(df).collect()
+    assert len(rows) == 4 and len(scan_licenses(df.limit(0)).collect()) == 0
+    twice = [r for r in rows if r.doc_id == 1]
+    assert twice[0] == twice[1] and twice[0].n_licenses == 1
+    assert all(m.start < 20 for m in twice[0].matches)  # of equal windows the first is told
+
+
 def test_whole_template_lies_in_a_window():
     for _, xs in TEMPLATES.items():
         for x in xs:

@@ -42,6 +42,17 @@ def test_tables_instead_of_the_driver(spark, monkeypatch):
     assert answer(mix(made(spark), TARGETS, steps=4)) == want
 
 
+def test_topics_repeats_and_long_texts(spark):
+    rows = [(i % 400, "s", "en", [None, "a", "b"][i % 400 % 3], "w " * (1 + i % 400 % 5)) for i in range(800)] + [(1000, "s", "en", "a", "long " * 300_000)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, source string, lang string, topic string, text string").repartition(3)).collect()
+    assert len(got) == 801 and {r.topic for r in got} == {"", "a", "b"} and max(r.n_tokens for r in got) == 300_000
+    draws = {}
+    for r in got:
+        draws.setdefault(r.doc_id, set()).add((r.topic, r.n_tokens, r.p_keep, r.kept))
+    assert all(len(x) == 1 for x in draws.values())  # rows that repeat a document share its draw
+    assert {r.kept for r in got if r.doc_id < 400} == {True, False}
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, None, None), (1, "", "x", "y"), (None, "a b", "x", "y")]])
 def test_nulls_and_empty_tables(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
