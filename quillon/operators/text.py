@@ -60,11 +60,12 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def term_stats(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, df, cf): documents and occurrences of each term. A document sends each of its terms once; no key is shuffled."""
-    each = docs.select(tokens(text).alias("_tokens"))
-    df = each.select(F.explode(F.array_distinct("_tokens")).alias("term"), F.lit(1).alias("d"), F.lit(0).alias("n"))
-    cf = each.select(F.explode("_tokens").alias("term"), F.lit(0).alias("d"), F.lit(1).alias("n"))
-    return df.union(cf).groupBy("term").agg(F.sum("d").alias("df"), F.sum("n").alias("cf"))
+    """(term, df, cf): documents and occurrences of each term. Of a document's terms in order, each one's first differs
+    from the term before it, so partial counts by term alone are shuffled, no document's key."""
+    each = docs.select(F.sort_array(tokens(text)).alias("term"))
+    before = F.concat(F.array(F.lit("")), F.slice("term", 1, F.greatest(F.size("term") - 1, F.lit(0)))).alias("before")
+    each = each.where(F.size("term") > 0).select(F.explode(F.arrays_zip("term", before)).alias("t")).select("t.term", "t.before")
+    return each.groupBy("term").agg(F.count_if(F.col("term") != F.col("before")).alias("df"), F.count("*").alias("cf"))
 
 
 def idf(n: Column, df: Column) -> Column:
