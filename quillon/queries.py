@@ -593,10 +593,15 @@ def backfill_progress(s, d):
 # Control tables -------------------------------------------------------------------------------------------------------
 
 
-@query("alias_resolve", "SELECT name, unnest(CASE name WHEN 'all' THEN ['docs-en', 'docs-de'] WHEN 'live' THEN ['docs-v2'] ELSE [name] END) AS index_uid FROM (VALUES ('all'), ('live'), ('plain')) t(name)")
+@query("alias_resolve", """WITH a AS (SELECT source AS name, count(DISTINCT lang) > 2 AS several, list(DISTINCT source || '-' || lang) AS targets, min(source || '-' || lang) AS one FROM documents WHERE source <> 'src7' GROUP BY 1), n AS (SELECT DISTINCT source AS name FROM documents)
+  SELECT name, unnest(CASE WHEN a.name IS NULL THEN [n.name] WHEN several THEN targets ELSE [one] END) AS index_uid FROM n LEFT JOIN a USING (name)""")
 def alias_resolve(s, d):
-    a = s.createDataFrame([("all", "multi", None, ["docs-en", "docs-de"]), ("live", "single", "docs-v2", None)], "name string, kind string, current_uid string, target_uids array<string>")
-    return control.resolve(s.createDataFrame([("all",), ("live",), ("plain",)], "name string"), a)
+    """Aliases of one or of several indexes, and a name that is no alias."""
+    x, uid = docs(s, d), F.concat_ws("-", "source", "lang")
+    a = x.where("source <> 'src7'").groupBy(F.col("source").alias("name")).agg(F.count_distinct("lang").alias("n"), F.collect_set(uid).alias("targets"), F.min(uid).alias("one"))
+    several = F.col("n") > 2
+    a = a.select("name", F.when(several, "multi").otherwise("single").alias("kind"), F.when(~several, F.col("one")).alias("current_uid"), F.when(several, F.col("targets")).alias("target_uids"))
+    return control.resolve(x.select(F.col("source").alias("name")).distinct(), a)
 
 
 @query("alias_history", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 10")
@@ -628,10 +633,13 @@ def cdc_cursor(s, d):
     return control.put_cursor(e.where("last_event_seq % 2 = 0"), e.where("last_event_seq % 2 = 1"))
 
 
-@query("settings_floor", "SELECT node_id FROM (VALUES ('node-g0-0'), ('node-g0-2'), ('node-g1-1')) t(node_id)")
+@query("settings_floor", "SELECT n.node_id FROM (SELECT DISTINCT user_id AS node_id FROM events) n WHERE EXISTS (SELECT 1 FROM (SELECT event_type, user_id, max(event_id) AS version FROM events GROUP BY 1, 2) v WHERE v.user_id = n.node_id AND v.event_type = 'click' AND v.version >= (SELECT CAST(0.7 * max(event_id) AS BIGINT) FROM events))")
 def settings_floor(s, d):
-    v = s.createDataFrame([("docs", "node-g0-0", 5), ("docs", "node-g0-1", 3), ("docs", "node-g0-2", 4), ("docs", "node-g1-1", 9), ("other", "node-g1-2", 9)], "index_uid string, node_id string, version long")
-    return control.settings_floor(nodes(s), v, "docs", 4).select("node_id")
+    """Nodes whose settings of one index are at a version or later; versions of other indexes don't count."""
+    e = table(s, d, "events")
+    floor = round(0.7 * e.agg(F.max("event_id")).first()[0])
+    v = e.groupBy(F.col("event_type").alias("index_uid"), F.col("user_id").alias("node_id")).agg(F.max("event_id").alias("version"))
+    return control.settings_floor(e.select(F.col("user_id").alias("node_id")).distinct(), v, "click", floor).select("node_id")
 
 
 @query("settings_drift", "SELECT user_id AS index_uid, count(DISTINCT (event_id % 2, user_id % 5 = 0)) FILTER (user_id % 5 = 0) + count(DISTINCT user_id) FILTER (user_id % 5 <> 0) AS n_hashes, count(DISTINCT (event_id % 2, user_id % 5 = 0)) FILTER (user_id % 5 = 0) > 1 AS drifted FROM events GROUP BY 1")

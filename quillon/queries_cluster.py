@@ -14,7 +14,7 @@ from quillon.functions.hashing import shard_md5
 from quillon.operators import migration, ranking, search, settings, text, topology
 from quillon.plans.planner import plan
 from quillon.queries import DOC_SHARD, NODES, NODES_SQL, RF, SHARD, TOKENS, assigned, assigned_sql, docs, nodes, query, scored_sql, sharded, table
-from quillon.sources import control
+from quillon.sources import control, reshard
 from quillon.sources.index import Index
 from quillon.sources.store import ControlStore
 from quillon.streaming import cdc, monitor
@@ -98,6 +98,30 @@ def search_indexed(s, d):
     return found.withColumn("score", F.round("score", 6))
 
 
+@query("reshard_run", f"SELECT doc_id, lang, {SHARD.format('doc_id', 16)} AS shard, 'documents__reshard_16' AS uid, 2 AS version FROM documents")
+def reshard_run(s, d):
+    """A copy with other shards, compared and pointed to by the alias."""
+    root = scratch(s)
+    ix, store = Index(s, root, "documents", "doc_id", 4), ControlStore(s, root, 1)
+    ix.upsert(docs(s, d).select("doc_id", "lang", "n_chars"))
+    store.put("aliases", s.createDataFrame([("live", "single", "documents", 1)], "name string, kind string, current_uid string, version long"))
+    shadow = reshard.backfill(ix, 16)
+    reshard.swap(store, "live", ix, shadow, 5)
+    live = store.read("aliases").select(F.col("current_uid").alias("uid"), "version")  # one row
+    return shadow.read().select("doc_id", "lang", F.col("_shard").alias("shard")).join(F.broadcast(live))
+
+
+@query("facet_maps", "SELECT 'lang' AS facet, '{' || string_agg('\"' || lang || '\":' || n, ',' ORDER BY lang) || '}' AS distribution FROM (SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1)")
+def facet_maps(s, d):
+    """Counts of a facet's values as a map with its keys in order."""
+    return search.facet_map(search.facet_counts(docs(s, d), ["lang"])).select("facet", F.to_json("distribution").alias("distribution"))
+
+
+@query("change_messages", "SELECT CAST(event_id AS VARCHAR) AS key, '{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\"}' AS value FROM events")
+def change_messages(s, d):
+    return cdc.messages(table(s, d, "events").select("event_id", "event_type"))
+
+
 # Settings -------------------------------------------------------------------------------------------------------------
 
 

@@ -134,6 +134,16 @@ def resolve(names: DataFrame, aliases: DataFrame) -> DataFrame:
     return joined.select("name", F.explode(F.coalesce("targets", F.array("name"))).alias("index_uid"))
 
 
+def flip(aliases: DataFrame, name: str, uid: str, now: int, keep: int = 10) -> DataFrame:
+    """The row of an alias of one index after it was pointed to another: the version rises, and the last ``keep`` indexes it pointed
+    to are remembered, latest first. An alias of several indexes can't be flipped."""
+    if aliases.where((F.col("name") == name) & (F.col("kind") == "multi")).head(1):
+        raise ValueError(f"{name} stands for several indexes")
+    row = aliases.where(F.col("name") == name)
+    was = F.array(F.struct(F.col("current_uid").alias("uid"), F.lit(now).cast("long").alias("flipped_at")))
+    return row.withColumn("history", F.slice(F.concat(was, F.coalesce("history", F.array().cast("array<struct<uid:string,flipped_at:bigint>>"))), 1, keep)).withColumn("current_uid", F.lit(uid)).withColumn("version", F.col("version") + 1)
+
+
 def last_per_key(rows: DataFrame, key: list[str], at: str, n: int) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(F.desc(at)))).where(F.col("_n") <= n).drop("_n")
 

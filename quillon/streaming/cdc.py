@@ -103,6 +103,17 @@ def to_log(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return to_sink(stream, write, checkpoint)
 
 
+def messages(events: DataFrame, key: str = "event_id") -> DataFrame:
+    """(key, value): each change as a message, its columns as JSON; what message queues and webhooks are sent."""
+    return events.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*events.columns)).alias("value"))
+
+
+def to_kafka(stream: DataFrame, servers: str, topic: str, checkpoint: str, key: str = "event_id") -> StreamingQuery:
+    """Changes to a Kafka topic, at least once; needs Spark's Kafka package."""
+    out = messages(stream, key).writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic)
+    return out.option("checkpointLocation", checkpoint).start()
+
+
 def late(rows: DataFrame, ts: str, watermark) -> tuple[DataFrame, DataFrame]:
     """Rows in time, and stragglers for a side table; a row without a time is a straggler."""
     in_time = F.coalesce(F.col(ts) >= watermark, F.lit(False))

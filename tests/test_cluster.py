@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from quillon.functions import columns
 from quillon.operators import search, settings, text, topology
-from quillon.sources import config, control
+from quillon.sources import config, control, reshard
 from quillon.sources.index import Index, IndexError_
 from quillon.sources.store import ControlStore, open_store
 from quillon.streaming import cdc, monitor
@@ -104,6 +104,24 @@ def test_search_from_postings_equals_a_scan(spark, sf, tmp_path):
     assert "EqualTo(term,thing)" in plan and "text" not in plan.split("Physical")[1]
 
 
+def test_reshard_compares_before_it_swaps(spark, tmp_path):
+    ix, store = Index(spark, str(tmp_path), "docs", "id", 2), ControlStore(spark, str(tmp_path / "control"), 1)
+    ix.upsert(spark.createDataFrame([(i, f"t{i}", {"k": i}) for i in range(30)], "id long, t string, m map<string,int>"))
+    store.put("aliases", spark.createDataFrame([("live", "single", "docs", 1, None), ("all", "multi", None, 1, ["docs"])], "name string, kind string, current_uid string, version long, target_uids array<string>"))
+    shadow = reshard.backfill(ix, 8)
+    ix.upsert(spark.createDataFrame([(3, "new", {"k": 9})], "id long, t string, m map<string,int>"))
+    ix.delete([4])
+    assert sorted((r.pk, r.kind) for r in reshard.differences(ix, shadow).collect()) == [("3", "changed"), ("4", "extra")]
+    with pytest.raises(IndexError_):
+        reshard.swap(store, "live", ix, shadow, 7)
+    shadow = reshard.backfill(ix, 8)
+    reshard.swap(store, "live", ix, shadow, 7)
+    row = store.read("aliases").where("name = 'live'").first()
+    assert (row.current_uid, row.version, [tuple(h) for h in row.history]) == ("docs__reshard_8", 2, [("docs", 7)]) and shadow.read().count() == 29
+    with pytest.raises(ValueError, match="several"):
+        control.flip(store.read("aliases"), "all", "x", 1)
+
+
 def test_a_failing_node_rolls_settings_back(spark):
     rows = [("a", 1, "old", True), ("b", 2, None, True), ("c", 3, "old", None), ("d", 4, "old", True)]
     df = lambda r: spark.createDataFrame(r, "node_id string, pos int, held string, ok boolean")
