@@ -51,7 +51,7 @@ def strip_reserved(df: DataFrame) -> DataFrame:
 
 def matches(index: DataFrame, r: SearchRequest, pk: str, text: str, by: str | None = None, shards: int = SHARDS, mode: str = "md5") -> DataFrame:
     """All matching documents with score. Statistics of terms are the whole index's, or each ``by`` value's."""
-    p: QueryPlan = plan(r.filter, pk, shards, mode, key_type=dict(index.dtypes)[pk])
+    p: QueryPlan = plan(r.filter, pk, shards, mode, key_type=dict(index.dtypes).get(pk, ""))
     condition = p.condition() if "_shard" in index.columns else p.predicate
     if not r.q.strip():
         out = index.where(condition).withColumn("score", F.lit(1.0))
@@ -211,7 +211,7 @@ def facet_cardinality(found: DataFrame, columns: list[str], error: float = 0.01)
 
 def explain(index: DataFrame, r: SearchRequest, pk: str, assigned: DataFrame | None = None) -> DataFrame:
     """One row: narrowed, reason, shards, and the nodes that hold them."""
-    p = plan(r.filter, pk, key_type=dict(index.dtypes)[pk])
+    p = plan(r.filter, pk, key_type=dict(index.dtypes).get(pk, ""))
     shards: Column = F.array(*[F.lit(s) for s in p.shards]) if p.shards is not None else F.lit(None).cast("array<int>")
     row = index.sparkSession.range(1).select(F.lit(p.narrowed).alias("narrowed"), F.lit(p.reason).alias("reason"), shards.alias("shards"))
     if assigned is None:
