@@ -1,11 +1,10 @@
 """Benchmark decontamination with a distributed positional inverted index, in DataFrame operations only.
 
-The index is a written table of the postings (term, doc_id, pos) of all training tokens, whatever a benchmark asks for, so
-another benchmark needs no other scan of the texts. It is kept in folders by the terms' length: lists of short,
-frequent terms are not read when rare ones are looked up, and a folder of end markers holds the
-documents' lengths. Postings stay where the documents' scan made them, so building it shuffles none. A test phrase is
-looked up from its rarest terms: their postings, less their places in the test text, are intersected on (document,
-alignment), and only alignments on which they agree are compared with the other terms' postings.
+The index is a written table of postings (term, doc_id, pos) of training tokens, left where the documents' scan made
+them, so building it shuffles no posting; one posting of an end marker a document records its length. It holds
+the tokens of a given vocabulary, such as that of one benchmark, or all tokens, and then serves any benchmark. A
+test phrase is looked up from its rarest terms: their postings, less their places in the test text, are intersected on
+(document, alignment), and only alignments on which they agree are compared with the other terms' postings.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.llm.identity import identified
+from quillon.llm.identity import Identified, identified
 from quillon.llm.spool import Spool
 
 WINDOW = 10
@@ -24,8 +23,6 @@ WINDOW = 10
 RAREST = 2
 #: Rows up to which test terms, phrases and candidate documents are broadcast; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Terms of this length and longer share a folder.
-LONGEST = 12
 #: Not a token: the pattern below keeps line feeds out of tokens.
 _END = "\n"
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -42,36 +39,34 @@ def _near(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def _folder(term: str) -> Column:
-    return F.when(F.col(term) == _END, 0).otherwise(F.least(F.length(term), F.lit(LONGEST)))
-
-
 @dataclass
 class PositionalIndex:
-    """postings: (term, doc_id, pos, folder); of an end marker the position is its document's length."""
+    """postings: (term, doc_id, pos); of an end marker the position is its document's length."""
 
     postings: DataFrame
     spool: Spool
 
     @staticmethod
-    def build(docs: DataFrame, spool: Spool) -> PositionalIndex:
-        """Index all tokens of docs (doc_id, text)."""
+    def build(docs: DataFrame, spool: Spool, vocabulary: DataFrame | None = None) -> PositionalIndex:
+        """Index the tokens of docs (doc_id, text): all, or those that vocabulary (term) has."""
         found = docs.select("doc_id", F.posexplode(F.concat(tokens(F.col("text")), F.array(F.lit(_END)))).alias("pos", "term"))
-        return PositionalIndex(spool.table("postings", found.select("term", "doc_id", "pos", _folder("term").alias("folder")), by="folder"), spool)
+        if vocabulary is not None:
+            listed = spool.table("vocabulary", vocabulary.select("term").union(docs.sparkSession.sql("SELECT '\\n'")).distinct())
+            found = found.join(_near(listed, listed.count()), "term", "left_semi")
+        return PositionalIndex(spool.table("postings", found.select("term", "doc_id", "pos")), spool)
 
     @staticmethod
     def open(spark: SparkSession, path: str, spool: Spool) -> PositionalIndex:
         """An index that was built before, at the path of its postings."""
-        return PositionalIndex(spark.read.schema("term string, doc_id long, pos int, folder int").parquet(path), spool)
+        return PositionalIndex(spark.read.schema("term string, doc_id long, pos int").parquet(path), spool)
 
     def lengths(self) -> DataFrame:
-        """(doc_id, n_words), from the folder of end markers alone."""
-        return self.postings.where("folder = 0").select("doc_id", F.col("pos").cast("long").alias("n_words"))
+        """(doc_id, n_words)."""
+        return self.postings.where(F.col("term") == _END).select("doc_id", F.col("pos").cast("long").alias("n_words"))
 
     def lists(self, terms: DataFrame, n: int) -> DataFrame:
-        """Postings joined with terms (term and any others; n rows), read from the folders of these terms alone."""
-        folders = [r[0] for r in terms.select(_folder("term").alias("folder")).distinct().collect()]  # at most LONGEST
-        return self.postings.where(F.col("folder").isin(folders)).drop("folder").join(_near(terms, n), "term")
+        """Postings joined with terms (term and any others; n rows)."""
+        return self.postings.join(_near(terms, n), "term")
 
     def counted(self, terms: DataFrame, name: str) -> DataFrame:
         """terms (term and any others) with n, how many postings each has; written, and with how many rows."""
@@ -132,7 +127,7 @@ class PositionalIndex:
         return hits.groupBy("phrase_id", "doc_id", "start", "size").agg(F.count_distinct("term").alias("n")).where("n = size").select("phrase_id", "doc_id", "start")
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id", index: PositionalIndex | None = None) -> DataFrame:
     """One row a document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items.
 
     Tokens are lower-cased runs of digits, letters and characters beyond ASCII. A hit is a
@@ -141,17 +136,18 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, text:
     items_sha256: their digest, comma-joined. Null texts have no words, and items without words
     match nothing. Null item_ids are left out, and null doc_ids too; rows that repeat a doc_id with the same text are one
     document and give one row, with other texts they are documents of their own and give a row each. Further columns are ignored; empty tables give no hits or no rows.
+    index: one of all tokens of docs that was built before; without it one of the items' tokens is built.
     """
     spark = docs.sparkSession
     spool = Spool(spark, "decontaminate")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
-    given = identified(docs, spool)
+    given = identified(docs, spool) if index is None else Identified(docs, None, False)
     docs = given.docs.distinct() if given.names is not None else given.docs
     items = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
     words = items.select("item_id", tokens(F.col("text")).alias("words")).where("size(words) > 0").distinct()
     # items may repeat an id with other words
     words = spool.table("items", words.withColumnRenamed("item_id", "name").withColumn("item_id", F.sha2(F.concat_ws(_END, "name", F.array_join("words", _END)), 256)))
-    index = PositionalIndex.build(docs, spool)
+    index = PositionalIndex.build(docs, spool, words.select(F.explode("words").alias("term"))) if index is None else PositionalIndex(index.postings, spool)
     found = spool.table("found", index.windows(words.select("item_id", "words"), window))
     hit = found.select("doc_id", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("pos")).distinct()
     hit = hit.groupBy("doc_id").agg(F.count("*").alias("n_hit"))

@@ -114,14 +114,15 @@ def test_proximity(spark):
     assert PositionalIndex.open(spark, index.spool.path("postings"), Spool(spark, "test")).near(nowhere, 5).count() == 0
 
 
-def test_lookups_read_their_terms_folders_alone(spark, capsys):
-    docs = spark.createDataFrame([(1, "a bb ccc dddd extraordinarily long"), (2, "")], "doc_id long, text string")
-    index = PositionalIndex.build(docs, Spool(spark, "test"))
-    found = index.lists(spark.createDataFrame([("ccc", 5)], "term string, x int"), 1)
-    assert [tuple(r) for r in found.collect()] == [("ccc", 1, 2, 5)]
-    found.explain()
-    assert re.search(r"PartitionFilters: \[[^\]]*folder[^\]]*3", capsys.readouterr().out)
-    assert sorted(map(tuple, index.lengths().collect())) == [(1, 6), (2, 0)]
+def test_an_index_of_all_tokens_serves_any_benchmark(spark):
+    docs, items = case(6)
+    built = PositionalIndex.build(frames(spark, docs, items)[0], Spool(spark, "test"))
+    assert built.postings.count() == sum(len(words(t)) + 1 for _, t in docs)
+    path = built.spool.path("postings")
+    for chosen in (items, items[:3], [(1, "w1 w2")]):
+        index = PositionalIndex.open(spark, path, Spool(spark, "test"))
+        d, i = frames(spark, docs, chosen)
+        assert answer(contamination(d, i, index=index)) == brute(docs, chosen)
 
 
 def test_synthetic_table(spark, sf):
