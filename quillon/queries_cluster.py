@@ -126,7 +126,7 @@ def change_messages(s, d):
 
 
 @query("settings_rollback", """WITH n AS (SELECT user_id AS node_id, min(event_id) AS pos, bool_and(user_id <> 40) AS ok FROM events GROUP BY 1), f AS (SELECT arg_min(node_id, pos) AS bad, min(pos) AS stop FROM n WHERE NOT ok)
-  SELECT node_id, CASE WHEN pos < stop THEN 'rolled back' WHEN node_id = bad THEN 'failed' ELSE 'not asked' END AS outcome, CASE WHEN node_id % 2 = 0 THEN 'old' END AS value FROM n, f""")
+  SELECT node_id, CASE WHEN stop IS NULL THEN 'applied' WHEN pos < stop THEN 'rolled back' WHEN node_id = bad THEN 'failed' ELSE 'not asked' END AS outcome, CASE WHEN stop IS NULL THEN 'new' WHEN node_id % 2 = 0 THEN 'old' END AS value FROM n, f""")
 def settings_rollback(s, d):
     n = table(s, d, "events").groupBy(F.col("user_id").alias("node_id")).agg(F.min("event_id").alias("pos"))
     n = n.select("node_id", "pos", F.when(F.col("node_id") % 2 == 0, "old").alias("held"), (F.col("node_id") != 40).alias("ok"))
