@@ -44,8 +44,8 @@ def edge_documents():
 
 @pytest.fixture
 def edge(spark):
-    rows = [(*x, 1, "r", 0, 9) for x in edge_documents()]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, component_id int, kept string, _mark int, pos int").repartition(3)
+    rows = [(*x, 1, "r", 0, 9, "g", 5) for x in edge_documents()]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, component_id int, kept string, _mark int, pos int, _given string, _nth int").repartition(3)
 
 
 def names(df):
