@@ -31,11 +31,11 @@ def _keep(docs: DataFrame, decide: Callable[[DataFrame], DataFrame], once: bool
     """Rows of docs that decide keeps: from documents with ids of their own it gives the ids (doc_id) to keep. once: of rows
     that repeat a document one stays, the least by its other columns."""
     given = identified(docs, Spool(docs.sparkSession, "pipeline-ids"))
-    kept = decide(given.docs).select(F.col("doc_id").alias("_kept")).distinct().hint("shuffle_hash")
-    rows = given.docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
+    kept = decide(given.docs).select(F.col("doc_id").alias("_quillon_kept")).distinct().hint("shuffle_hash")
+    rows = given.docs.join(kept, F.col("doc_id").cast("long") == F.col("_quillon_kept"), "left_semi")
     if once and given.repeated:
         others = [x for x in docs.columns if x not in ("doc_id", "text")]
-        rows = rows.withColumn("_nth", F.row_number().over(W.partitionBy("doc_id").orderBy(*others or ["doc_id"]))).where("_nth = 1").drop("_nth")
+        rows = rows.withColumn("_quillon_nth", F.row_number().over(W.partitionBy("doc_id").orderBy(*others or ["doc_id"]))).where("_quillon_nth = 1").drop("_quillon_nth")
     return given.restored(rows).select(*docs.columns)
 
 
