@@ -64,8 +64,11 @@ class Rows:
         return np.r_[run_sums(e[row], start), self.dense.T @ e]
 
     def take(self, rows: np.ndarray) -> Rows:
-        parts = [self.index[self.start[i] : self.start[i + 1]] for i in rows]
-        return Rows(np.concatenate([np.zeros(0, int), *parts]).astype(int), np.r_[0, np.cumsum([len(p) for p in parts], dtype=int)].astype(int), self.width, self.dense[rows])
+        sizes = np.diff(self.start)[rows]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.repeat(self.start[:-1][rows] - (ends - sizes), sizes) + np.arange(total)
+        return Rows(self.index[at], np.r_[0, ends].astype(int), self.width, self.dense[rows])
 
     def beside(self, column: np.ndarray) -> Rows:
         return Rows(self.index, self.start, self.width, np.column_stack([self.dense, column]))
@@ -195,6 +198,24 @@ def _present(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("marks"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], ["doc_id", "marks", "words"])
 
 
+def _packed(words: np.ndarray):
+    """Map training texts to the numbers of the feature words that each has, two bytes a number."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in bounded(source):
+            lists, marks = b.column("words"), b.column("marks")
+            flat = lists.flatten().to_numpy(zero_copy_only=False).view(U)
+            at = np.minimum(np.searchsorted(words, flat), max(len(words) - 1, 0))
+            hit = words[at] == flat if len(words) else np.zeros(len(flat), bool)
+            ends = np.r_[0, np.cumsum(hit)][np.asarray(lists.offsets) - lists.offsets[0].as_py()].tolist() if len(b) else [0]
+            found = at[hit].astype("<u2")
+            packed = [found[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:], strict=True)]
+            flags = [np.array(m, np.int8).tobytes() for m in marks.to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(flags, pa.binary()), pa.array(packed, pa.binary())], ["doc_id", "marks", "words"])
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, spool: Spool, categories: dict[str, str], most_rows: int = TRAINING_ROWS) -> Chain:
     """The chain over labels (doc_id and what ``categories`` read: SQL expressions that are 0 or 1, in the chain's order).
 
@@ -221,11 +242,10 @@ def train(docs: DataFrame, labels: DataFrame, spool: Spool, categories: dict[str
     tells = functools.reduce(F.greatest, [chi2(f"n_{i}", t) for i, t in enumerate(totals)]) if len(names) > 1 else chi2("n_0", totals[0])
     best = each.where(f"n >= {LEAST_TEXTS}").select("word", tells.alias("x")).where(F.col("x") >= LEAST_CHI2).orderBy(F.desc("x"), "word").limit(FEATURES).toPandas()
     words = np.sort(best["word"].to_numpy(np.int64).view(U))
-    kept = rows.select("doc_id", "marks", F.array_intersect("words", F.lit(words.view(np.int64).tolist()).cast("array<long>")).alias("words"))
-    held = kept.orderBy("doc_id").toPandas()  # bounded by TRAINING_ROWS and FEATURES
-    lists = [np.searchsorted(words, np.sort(np.asarray(w, np.int64).view(U))) for w in held["words"]]
-    x = Rows(np.concatenate([np.zeros(0, int), *lists]).astype(int), np.r_[0, np.cumsum([len(v) for v in lists], dtype=int)].astype(int), len(words), np.ones((len(held), 1)))
-    y = np.array(held["marks"].tolist(), float).reshape(len(held), len(names))
+    held = rows.mapInArrow(_packed(words), "doc_id long, marks binary, words binary").orderBy("doc_id").collect()  # bounded by TRAINING_ROWS and FEATURES
+    sizes = [len(r.words) // 2 for r in held]
+    x = Rows(np.frombuffer(b"".join(r.words for r in held), "<u2").astype(np.int32), np.r_[0, np.cumsum(sizes, dtype=int)].astype(int), len(words), np.ones((len(held), 1)))
+    y = np.frombuffer(b"".join(r.marks for r in held), np.int8).astype(float).reshape(len(held), len(names))
     return fit_chain(x, {c: y[:, i] for i, c in enumerate(names)}, folds(len(held)), words)
 
 
