@@ -120,8 +120,7 @@ class WordEncoder:
         self.most = most
         if self.by_pieces:
             # plain pieces, already lower-case: the same model after a split at spaces alone
-            self.plain = Tokenizer.from_file(path)
-            self.plain.normalizer = None
+            self.plain = Tokenizer(self.tokenizer.model)
             self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             suffix, vocabulary = given["model"]["end_of_word_suffix"], self.tokenizer.get_vocab()
             self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
