@@ -24,8 +24,8 @@ from quillon.llm.wordhash import text_bytes
 
 END_ID = 1
 STRIPE_BYTES, ROWS_PER_INDEX, BLOOM_FALSE_POSITIVES = 64 << 20, 10_000, 0.01
-#: Distinct pieces whose ids a worker remembers at most, and bytes of text that it encodes at a time.
-PIECES_KEPT, BLOCK_BYTES = 1 << 20, 4 << 20
+#: Distinct pieces whose ids a worker remembers at most, and bytes of text that it encodes at a time: workers are kept between stages, and so is this memory.
+PIECES_KEPT, BLOCK_BYTES = 1 << 18, 1 << 20
 #: Pieces up to this length are known by their bytes, packed into two integers; longer ones are encoded where they occur.
 PACKED = 15
 _loaded: dict = {}
