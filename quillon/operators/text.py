@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from quillon.functions.columns import c
 
 K1, B = 1.2, 0.75
+#: What is between tokens.
+BETWEEN = r"[^\p{L}\p{N}]+"
 
 
 def _count(tokens_: Column | str, term: str) -> Column:
@@ -20,7 +22,12 @@ def _count(tokens_: Column | str, term: str) -> Column:
 
 def tokens(text: Column | str) -> Column:
     """Runs of letters and digits in lower case; null has none."""
-    return F.coalesce(F.array_remove(F.split(F.lower(c(text)), r"[^\p{L}\p{N}]+"), ""), F.array().cast("array<string>"))
+    return F.coalesce(F.array_remove(F.split(F.lower(c(text)), BETWEEN), ""), F.array().cast("array<string>"))
+
+
+def spaced(text: Column | str) -> Column:
+    """A text's tokens as one string, with a space between them; null stays."""
+    return F.trim(F.regexp_replace(F.lower(c(text)), BETWEEN, " "))
 
 
 def query_terms(query: str) -> list[str]:
@@ -51,12 +58,47 @@ def matching_terms(vocabulary: DataFrame, terms: list[str], prefix_last: bool =
     return near.where((F.col("edits") >= 0) & (begins | (F.col("edits") <= typos(F.length("asked"))))).select("asked", "term", "edits")
 
 
+#: So many tokens at a time are counted by a Python worker, or one document's.
+COUNTED_TOKENS = 2_000_000
+
+
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf, dl, *other columns) of every term of every document."""
-    others = [x for x in docs.columns if x not in (text, key)]
-    each = docs.select(key, *others, tokens(text).alias("_tokens"))
-    each = each.select(key, *others, F.size("_tokens").alias("dl"), F.explode("_tokens").alias("term"))
-    return each.groupBy(key, *others, "term", "dl").agg(F.count("*").alias("tf"))
+    """(key, *other columns, term, tf, dl) of every term of every document. A document's terms are counted where it is
+    read, as Arrow batches in runs sorted by term, so nothing is shuffled."""
+    others = [key, *[x for x in docs.columns if x not in (text, key)]]
+    most = COUNTED_TOKENS
+
+    def count(batches):  # pickled whole: workers need not find this package
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            batch = batch.filter(pc.not_equal(batch.column("_spaced"), ""))  # here, since a filter in the plan would cut each text twice
+            dl = pc.add(pc.count_substring(batch.column("_spaced"), " "), 1).to_numpy(zero_copy_only=False).astype("int64")
+            before, start = np.concatenate(([0], np.cumsum(dl))), 0
+            while start < len(dl):
+                end = max(start + 1, int(np.searchsorted(before, before[start] + most, "right")) - 1)
+                part, n, size = batch.slice(start, end - start), end - start, dl[start:end]
+                start = end
+                terms = pc.split_pattern(part.column("_spaced"), " ").flatten().dictionary_encode()
+                order = pc.array_sort_indices(terms.dictionary).to_numpy()
+                place = np.empty(len(order), "int64")
+                place[order] = np.arange(len(order))
+                code = place[terms.indices.to_numpy()] * n + np.repeat(np.arange(n), size)  # by term, then document
+                code.sort()
+                first = np.flatnonzero(np.diff(code, prepend=-1))
+                term, doc = np.divmod(code[first], n)
+                tf = np.diff(first, append=len(code))
+                words = terms.dictionary.take(pa.array(order))
+                for i in range(0, len(first), 65536):
+                    at, d = pa.array(doc[i : i + 65536]), doc[i : i + 65536]
+                    found = [*[part.column(x).take(at) for x in others], words.take(pa.array(term[i : i + 65536])), pa.array(tf[i : i + 65536].astype("int32")), pa.array(size[d].astype("int32"))]
+                    yield pa.RecordBatch.from_arrays(found, [*others, "term", "tf", "dl"])
+
+    each = docs.select(*others, spaced(text).alias("_spaced"))
+    schema = each.select(*others, F.lit("").alias("term"), F.lit(0).alias("tf"), F.lit(0).alias("dl")).schema
+    return each.mapInArrow(count, schema)
 
 
 def term_stats(docs: DataFrame, key: str, text: str) -> DataFrame:

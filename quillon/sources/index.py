@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 
 from quillon.functions.hashing import SHARDS, shard_md5
 from quillon.operators.search import SearchRequest, is_reserved, page, search, strip_reserved
-from quillon.operators.text import B, K1, idf, postings, query_terms, tokens
+from quillon.operators.text import B, K1, idf, postings, query_terms
 from quillon.plans.planner import key_texts, plan, shard_of
 
+#: Up to so many keys of a write are broadcast to the documents they replace; more go by shuffle.
+BROADCAST_KEYS = 1_000_000
 PK_GUESSES = ("id", "Id", "ID", "_id", "key", "Key", "pk", "doc_id")
 
 
@@ -65,6 +67,13 @@ def delete_where(index: DataFrame, predicate: Column) -> DataFrame:
     return index.where(~F.coalesce(predicate, F.lit(False)))
 
 
+def _by_generation(held: dict[int, int]) -> dict[int, list[int]]:
+    by: dict[int, list[int]] = {}
+    for shard, g in held.items():
+        by.setdefault(g, []).append(shard)
+    return by
+
+
 @dataclass
 class Index:
     spark: SparkSession
@@ -72,7 +81,7 @@ class Index:
     uid: str
     pk: str = "id"
     shards: int = SHARDS
-    #: The field that is searched: writes add its postings, sorted by term, and sizes of the shards they touch.
+    #: The field that is searched: writes add its postings, in runs sorted by term, and sizes of the shards they touch.
     text: str | None = None
 
     def _path(self, *parts: str) -> str:
@@ -128,23 +137,41 @@ class Index:
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
         return out.withColumn("_shard", F.col("_shard").cast("int"))
 
-    def _commit(self, rows: DataFrame, touched: list[int]) -> int:
+    def _commit(self, rows: DataFrame, touched: list[int], written: DataFrame | None = None) -> int:
+        """A generation with rows in the touched shards. written: keys, few enough to broadcast, outside of which no document of
+        theirs differs from what the index holds, so that its postings are still right."""
+        known = self.generations()
+        told = self._told(known[-1]) if known else {"shards": {}}
         g = max([0, *self.generations(), *self._folders()]) + 1
         # rows by shard, large shards over several tasks and small ones together, as adaptive execution finds their sizes
         rows.hint("rebalance", "_shard").write.partitionBy("_shard").parquet(self._path(f"gen={g}"))
         left = {int(n[7:]) for n in self._names(f"gen={g}") if n.startswith("_shard=")}
+        before = {int(s): old for s, old in told["shards"].items()}
+        others, same = {s: old for s, old in before.items() if s not in touched}, told.get("text") == self.text
         if self.text and left:
-            self._write_postings(g)
-        held = {s: old for s, old in self._manifest().items() if s not in touched} | {s: g for s in touched if s in left}
-        self._publish(g, {"shards": held, "pk": self.pk, "settings": self.settings()})
+            self._write_postings(g, {s: old for s, old in before.items() if s in touched} if same else {}, written)
+        # the field whose postings all shards have
+        text = self.text if same or not others else None
+        self._publish(g, {"shards": others | {s: g for s in touched if s in left}, "pk": self.pk, "settings": told.get("settings", {}), "text": text})
         return g
 
-    def _write_postings(self, g: int) -> None:
+    def _write_postings(self, g: int, held: dict[int, int], written: DataFrame | None) -> None:
+        """Postings and sizes of a generation. Only the keys written get new postings, the rest keep those of the generations
+        held; without keys, or where a key's type changes, all are new."""
         rows = self.spark.read.parquet(self._path(f"gen={g}")).select(F.col("_shard").cast("int").alias("_shard"), F.col(self.pk).alias("_key"), F.col(self.text).alias("_text"))
-        listed = postings(rows, "_key", "_text").select("_shard", "_key", "term", F.col("tf").cast("int").alias("tf"), "dl")
-        listed.hint("rebalance", "_shard").sortWithinPartitions("_shard", "term").write.partitionBy("_shard").parquet(self._path(f"gen={g}", "_postings"))
-        sizes = rows.select("_shard", F.size(tokens("_text")).alias("dl")).groupBy("_shard").agg(F.count("*").alias("n"), F.sum("dl").alias("words"))
-        sizes.coalesce(1).write.parquet(self._path(f"gen={g}", "_sizes"))  # a row a shard
+        kept = [self._postings_of(old, shards) for old, shards in _by_generation(held).items()] if written is not None else []
+        if kept and len({t for x in (written.toDF("_key"), rows, *kept) for c, t in x.dtypes if c == "_key"}) == 1:
+            keys = F.broadcast(written.toDF("_key"))
+            old = functools.reduce(DataFrame.unionByName, kept).join(keys, "_key", "left_anti")
+            listed = postings(rows.join(keys, "_key", "left_semi"), "_key", "_text").unionByName(old)
+        else:
+            listed = postings(rows, "_key", "_text")
+        # neither shuffled nor sorted as a whole: in runs sorted by term, of whose pages a search reads those with its terms
+        path = self._path(f"gen={g}", "_postings")
+        listed.select("term", "_shard", "_key", "tf", "dl").write.parquet(path)
+        words = self.spark.read.parquet(path).groupBy("_shard").agg(F.sum("tf").alias("words"))
+        sizes = rows.groupBy("_shard").agg(F.count("*").alias("n")).join(F.broadcast(words), "_shard", "left")  # a row a shard
+        sizes.select("_shard", "n", F.coalesce("words", F.lit(0)).cast("long").alias("words")).coalesce(1).write.parquet(self._path(f"gen={g}", "_sizes"))
 
     def search(self, r: SearchRequest) -> DataFrame:
         """A page of hits, as ``operators.search.search`` gives it over ``read()``, from postings: only those of the query's
@@ -152,9 +179,7 @@ class Index:
         terms, held = query_terms(r.q), self._manifest()
         if not terms or not held or not self.text:
             return search(self.read(), r, self.pk, self.text or "text")
-        by: dict[int, list[int]] = {}
-        for shard, g in held.items():
-            by.setdefault(g, []).append(shard)
+        by = _by_generation(held)
         found = [self._postings_of(g, shards) for g, shards in by.items()]
         sizes = [self.spark.read.parquet(self._path(f"gen={g}", "_sizes")).where(F.col("_shard").isin(shards)) for g, shards in by.items()]
         listed = functools.reduce(DataFrame.unionByName, found).where(F.col("term").isin(terms)).select("_key", "_shard", "term", "tf", "dl")
@@ -176,12 +201,8 @@ class Index:
         return page(hits, r, self.pk)
 
     def _postings_of(self, g: int, shards: list[int]) -> DataFrame:
-        """A generation's postings of these shards; a shard whose texts have no words has none."""
-        base = self._path(f"gen={g}", "_postings")
-        have = set(self._names(f"gen={g}", "_postings"))
-        paths = [f"{base}/_shard={x}" for x in shards if f"_shard={x}" in have]
-        rows = self.spark.read.option("basePath", base).parquet(*paths or [base])
-        return rows if paths else rows.where(F.lit(False)).withColumn("_shard", F.lit(0))
+        """A generation's postings of these shards."""
+        return self.spark.read.parquet(self._path(f"gen={g}", "_postings")).where(F.col("_shard").isin(shards))
 
     def _publish(self, g: int, manifest: dict) -> None:
         """All of the manifest or nothing of it: written beside its place, then renamed."""
@@ -198,17 +219,20 @@ class Index:
         from left to right, null least. Returns the generation."""
         check_document_columns(df, self.pk)
         new = df.withColumn("_shard", shard_md5(self.pk, self.shards))
-        first = new.agg(F.count_if(F.col(self.pk).isNull()), F.collect_set("_shard")).first()  # at most as many as shards
+        each = new.groupBy(F.col(self.pk).alias("_key"), "_shard").agg(F.count("*").alias("_n"))
+        first = each.agg(F.count_if(F.col("_key").isNull()), F.collect_set("_shard"), F.count("*"), F.sum("_n")).first()  # at most as many as shards
         if first[0]:
             raise IndexError_("a document has no primary key")
-        touched, new = sorted(first[1]), latest(new, self.pk, version_order(df, self.pk) or [F.lit(0)])
+        touched, keys = sorted(first[1]), df.select(self.pk)
+        if first[2] < (first[3] or 0):  # whole rows are dealt by key only where keys repeat
+            new, keys = latest(new, self.pk, version_order(df, self.pk) or [F.lit(0)]), keys.distinct()
         now = self.read()
         if now is not None:
-            old = now.where(F.col("_shard").isin(touched))
-            rest = old.join(new.select(self.pk), self.pk, "left_anti")
-            changed = merge_fields(old.join(new.select(self.pk), self.pk, "left_semi"), new, self.pk) if partial else new
+            old, keys = now.where(F.col("_shard").isin(touched)), F.broadcast(keys) if first[2] <= BROADCAST_KEYS else keys
+            rest = old.join(keys, self.pk, "left_anti")
+            changed = merge_fields(old.join(keys, self.pk, "left_semi"), new, self.pk) if partial else new
             new = rest.unionByName(changed, allowMissingColumns=True)
-        return self._commit(new, touched)
+        return self._commit(new, touched, keys if first[2] <= BROADCAST_KEYS else None)
 
     def delete(self, keys: list) -> int:
         return self._remove(F.col(self.pk).isin(keys))
@@ -243,7 +267,8 @@ class Index:
         """A generation with the same documents and other settings; None removes one. An older generation is the way back."""
         now = {k: v for k, v in (self.settings() | changes).items() if v is not None}
         g = max([0, *self.generations(), *self._folders()]) + 1
-        self._publish(g, {"shards": self._manifest(), "pk": self.pk, "settings": now})
+        told = self._told(self.generations()[-1]) if self.generations() else {}
+        self._publish(g, {"shards": self._manifest(), "pk": self.pk, "settings": now, "text": told.get("text")})
         return g
 
     def get(self, key) -> DataFrame:

@@ -1,10 +1,11 @@
+import collections
 import datetime
 
 import pytest
 from pyspark.sql import functions as F
 from quillon.functions import columns
 from quillon.operators import search, settings, text, topology
-from quillon.sources import config, control, reshard
+from quillon.sources import config, control, index, reshard
 from quillon.sources.index import Index, IndexError_
 from quillon.sources.store import ControlStore, open_store
 from quillon.streaming import cdc, monitor
@@ -104,6 +105,60 @@ def test_search_from_postings_equals_a_scan(spark, sf, tmp_path):
     assert "EqualTo(term,thing)" in plan and "text" not in plan.split("Physical")[1]
 
 
+def test_terms_are_counted_where_a_document_is_read(spark, monkeypatch):
+    monkeypatch.setattr(text, "COUNTED_TOKENS", 4)  # batches are cut
+    texts = [None, "", " .,-", "a", "--b a b--", "Été ÉTÉ x1 1x １２ ß", "z " * 50, "tab\tnew\nline\u00a0a", "漢字 и и 😀 a😀a", "İ i̇ a"]
+    docs = spark.createDataFrame([(str(i), t, i % 3) for i, t in enumerate(texts)], "k string, t string, s int").coalesce(1)
+    found = text.postings(docs, "k", "t")
+    assert "Exchange" not in found._jdf.queryExecution().toString() and found.columns == ["k", "s", "term", "tf", "dl"]
+    cut = docs.select("k", "s", text.tokens("t").alias("w")).collect()
+    want = sorted((r.k, r.s, t, n, len(r.w)) for r in cut for t, n in collections.Counter(r.w).items())
+    assert sorted(map(tuple, found.collect())) == want and len(want) == 18
+
+
+def test_an_update_counts_the_terms_of_its_own_documents_only(spark, tmp_path, monkeypatch):
+    counted, schema = [], "id long, t string, u string"
+    monkeypatch.setattr(index, "postings", lambda d, *a: (counted.append(d.count()), text.postings(d, *a))[1])
+    ix, R = Index(spark, str(tmp_path), "a", "id", 2, "t"), search.SearchRequest
+    rows = lambda *r: spark.createDataFrame([*r], schema)
+
+    def same(q, ix=ix):
+        r = R(q, attributes=["id"], limit=99, show_score=True)
+        got, want = ([(x.id, round(x.score, 9)) for x in df.collect()] for df in (ix.search(r), search.search(ix.read(), r, "id", ix.text)))
+        assert got == want
+        return len(got)
+
+    ix.upsert(rows(*[(i, " ", "y") for i in range(40)]))  # no words at all
+    assert same("x") == 0
+    ix.upsert(rows(*[(i, "x y", "y") for i in range(40)]))
+    ix.upsert(rows((1, "z", "y"), (2, "x x", "y"), (50, "x", "y"), (50, "x", None), (3, None, "y")))
+    assert counted == [40, 40, 4] and same("x") == 39 and same("z y") == 38
+    ix.upsert(rows((4, None, "y z")), partial=True)
+    assert counted[-1] == 1 and same("x") == 39
+    ix.update_settings(a=1)
+    ix.delete([5])
+    ix.upsert(rows((6, "w", "y")))
+    assert counted[-2] > 9 and counted[-1] == 1 and same("x") == 37 and same("w") == 1 and ix.settings() == {"a": 1}
+    monkeypatch.setattr(index, "BROADCAST_KEYS", 1)
+    ix.upsert(rows((7, "w", "y"), (8, "w", "y")))
+    assert counted[-1] > 9 and same("w x") == 38
+    other = Index(spark, str(tmp_path), "a", "id", 2, "u")  # another field: what is kept is not of it
+    other.upsert(rows(*[(i, "x", "v") for i in range(9)]))
+    monkeypatch.setattr(index, "BROADCAST_KEYS", 99)
+    other.upsert(rows((1, "x", "v v")))
+    assert counted[-2:] == [41, 1] and same("v", other) == 9 and same("y", other) == 32
+
+
+def test_whole_rows_are_dealt_by_key_only_where_keys_repeat(spark, tmp_path, monkeypatch):
+    dealt, latest = [], index.latest
+    monkeypatch.setattr(index, "latest", lambda *a: (dealt.append(1), latest(*a))[1])
+    ix = Index(spark, str(tmp_path), "a", "id", 2)
+    ix.upsert(spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string"))
+    assert not dealt
+    ix.upsert(spark.createDataFrame([(1, "c"), (1, "d"), (3, "e")], "id long, v string"))
+    assert dealt and sorted((r.id, r.v) for r in ix.read().collect()) == [(1, "d"), (2, "b"), (3, "e")]
+
+
 def test_reshard_compares_before_it_swaps(spark, tmp_path):
     ix, store = Index(spark, str(tmp_path), "docs", "id", 2), ControlStore(spark, str(tmp_path / "control"), 1)
     ix.upsert(spark.createDataFrame([(i, f"t{i}", {"k": i}) for i in range(30)], "id long, t string, m map<string,int>"))
