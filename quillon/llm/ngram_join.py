@@ -5,7 +5,9 @@ similarity is at least 0.75. Sets are put in one global order: rare n-grams by h
 ones by frequency. If two sets link, they share an n-gram among the first s - ceil(0.75 s) + 1 of
 each, and what remains after their first common one must still reach the overlap needed. With m more
 n-grams in either prefix they share m + 1 of them, so a set of whose prefix fewer occur elsewhere
-has no link. Sets that pass these bounds fall into blocks (components of the candidate graph); each block
+has no link. Nor have two sets that share fewer, whatever each shares with others: of n-grams in few sets
+all pairs of sets are counted; those in many sets join each set to a hub, and the hubs that a set
+meets least often are passed over. Sets that pass these bounds fall into blocks (components of the candidate graph); each block
 is stored as a trie of its sets, and each set is run down the trie: the overlap with a node is
 computed once for all sets below it, and a subtree whose remaining lengths cannot reach the
 needed overlap is cut off. Only links between distinct sets are looked for; copies with one set
@@ -14,17 +16,19 @@ are one class.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.llm import blobs
 from quillon.llm.components import components, join_groups
-from quillon.llm.spool import Spool, parts_for, settle
+from quillon.llm.spool import Spool, input_bytes, parts_for, settle
 from quillon.llm.wordhash import mix, shingle_sets
 
 U = np.uint64
@@ -37,10 +41,14 @@ LOCAL_DF, FREQUENT = 4, 1 << 18
 MORE = 10
 #: Postings that a map task gathers before it sends them.
 BLOCK = 1_000_000
+#: All pairs of sets are counted of n-grams in up to so many prefixes, or in fewer, so that pairs are at most so many times the postings.
+PAIRED_DF, PAIRS = 16, 2
 #: Sets, and n-grams in them, of one trie; a larger block is cut into pieces, each pair of which is one trie join.
 TRIE_SETS, TRIE_GRAMS = 4096, 4_000_000
 #: Up to so many candidate classes (40 bytes each) are broadcast to the scan that makes their sets.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of sets that are sent to tries at a time, or the input's if that is more; what exceeds them goes in further rounds.
+SENT_BYTES = 512 << 20
 
 
 def _least_overlap(size: np.ndarray | int, percent: int):
@@ -133,7 +141,7 @@ def _postings(bins: int, percent: int, frequent):
 
 
 def _shared(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Map bins of postings to those whose n-gram is in the prefixes of several sets."""
+    """Map bins of postings to those whose n-gram is in the prefixes of several sets, with the number of these (df)."""
     for _, kinds in blobs.by_bin(source):
         t, w, s, r = blobs.joined(kinds[0], U, U, np.int32, np.int32)
         order = np.lexsort((w, t))
@@ -142,39 +150,88 @@ def _shared(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep[1:] = (t[1:] != t[:-1]) | (w[1:] != w[:-1])
         t, w, s, r = t[keep], w[keep], s[keep], r[keep]
         new = np.r_[True, t[1:] != t[:-1]]
-        more = ~(new & np.r_[new[1:], True])
-        columns = [pa.array(t[more].view(np.int64)), pa.array(w[more].view(np.int64)), pa.array(s[more]), pa.array(r[more])]
-        yield pa.RecordBatch.from_arrays(columns, ["gram", "fp", "size", "rest"])
-
-
-def _candidates(percent: int):
-    """Map postings, all of an n-gram in one partition, to edges that join the sets which may link, a star for each run of them."""
-
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given = [b for b in source if len(b)]
-        if not given:
+        at = np.flatnonzero(new)
+        df = np.repeat(lengths := np.diff(np.r_[at, len(t)]), lengths)
+        more = df > 1
+        columns = [pa.array(t[more].view(np.int64)), pa.array(w[more].view(np.int64)), pa.array(s[more]), pa.array(r[more]), pa.array(df[more])]
+        yield pa.RecordBatch.from_arrays(columns, ["gram", "fp", "size", "rest", "df"])
+
+
+def _candidates(percent: int, paired: int):
+    """Map postings, all of an n-gram in one partition, to edges (hot, a, b, n, bound) between sets that may link: n says in how many of the
+    partition's n-grams.
+
+    Two sets that link share as many n-grams of their prefixes as the smaller is made for. Either half of these are
+    in up to ``paired`` prefixes: then bound is how many of those the two must share. Or more than half are hot, that is
+    in more prefixes: then a is joined to b, a hub for each run of sets that may link; as long as a, and any other set,
+    loses at most bound such n-grams, linked sets still have one in common."""
+
+    def counted(hot: bool, a: np.ndarray, b: np.ndarray, bound: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((b, a))
+        a, b, bound = a[order], b[order], bound[order]
+        at = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        n = np.diff(np.r_[at, len(a)])
+        columns = [pa.array(np.full(len(at), hot)), pa.array(a[at]), pa.array(b[at]), pa.array(n), pa.array(bound[at])]
+        return pa.RecordBatch.from_arrays(columns, ["hot", "a", "b", "n", "bound"])
+
+    def pairs(t, w, s, r, h) -> Iterator[pa.RecordBatch]:
+        found = []
+        for step in range(1, paired):
+            i = np.flatnonzero(t[step:] == t[:-step])
+            if not len(i):
+                break
+            j = i + step
+            need = np.minimum(_more(s[i]), _least_overlap(s[j], percent))  # s[i] <= s[j]
+            # of the n-grams shared, the first ``need`` are followed by at least all but need - 1 of the overlap
+            may = (100 * s[i] >= percent * s[j]) & ((100 + percent) * (np.minimum(r[i], r[j]) + need - 1) >= percent * (s[i] + s[j]))
+            i, j, need = i[may], j[may], need[may]
+            found.append((w[i], w[j], np.maximum((need + 1) // 2, need - np.minimum(h[i], h[j]))))
+        if found and sum(len(x[0]) for x in found):
+            yield counted(False, *(np.concatenate(x) for x in zip(*found, strict=True)))
+
+    def stars(t, w, s, r, least) -> Iterator[pa.RecordBatch]:
+        if not len(t):
             return
-        whole = pa.Table.from_batches(given)
-        t, w, s, r = (whole.column(i).to_numpy() for i in range(4))
-        order = np.lexsort((w, s, t))
-        t, w, s, r = t[order], w[order], s[order].astype(np.int64), r[order].astype(np.int64)
         new = np.r_[True, t[1:] != t[:-1]]
-        # a partner of size y needs (100 + p) * rest >= p * (s + y)
-        reach = (100 + percent) * r // percent - s
+        reach = np.minimum((100 + percent) * (r + _more(s) - 1) // percent - s, 100 * s // percent)
         group = np.cumsum(new)
-        wide = int(s.max()) * 4 + 4
+        wide = int(max(reach.max(), s.max())) + 2
         best = np.maximum.accumulate(group * wide + np.maximum(reach, 0)) - group * wide
         starts = new.copy()
         starts[1:] |= best[:-1] < s[1:]
         hub = w[np.flatnonzero(starts)][np.cumsum(starts) - 1]
         far = hub != w
         if far.any():
-            e = np.unique(np.stack([w[far], hub[far]]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(e[0]), pa.array(e[1])], ["a", "b"])
+            yield counted(True, w[far], hub[far], least[far] // 2 // 2)
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = [b for b in source if len(b)]
+        if not given:
+            return
+        whole = pa.Table.from_batches(given)
+        t, w, s, r, df, h = (whole.column(i).to_numpy() for i in range(6))
+        order = np.lexsort((w, s, t))
+        t, w, s, r, df, h = (x[order] if i < 2 else x[order].astype(np.int64) for i, x in enumerate((t, w, s, r, df, h)))
+        cold = df <= paired
+        yield from pairs(t[cold], w[cold], s[cold], r[cold], h[cold])
+        least = _more(_least_overlap(s, percent))
+        many = ~cold & (h > least // 2)
+        yield from stars(t[many], w[many], s[many], r[many], least[many])
 
     return run
 
 
+def _paired_df(shared: DataFrame) -> int:
+    """Up to how many prefixes an n-gram is in of which all pairs are counted."""
+    rows = {r.df: r.n for r in shared.groupBy("df").agg(F.count("*").alias("n")).where(F.col("df") <= PAIRED_DF).collect()}
+    most, n = PAIRS * shared.count(), 0
+    for df in range(2, PAIRED_DF + 1):
+        n += rows.get(df, 0) * (df - 1) // 2
+        if n > most:
+            return df - 1
+    return PAIRED_DF
+
+
 def _sets(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidates' texts to their sets. Rows that repeat a doc_id with another set are left out, with the same set, sent once."""
     seen: set[int] = set()
@@ -184,7 +241,7 @@ def _sets(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if node not in seen and xxhash.xxh3_128_intdigest(s) & (1 << 64) - 1 == node:
                 seen.add(node)
                 keep.append(i)
-        names = ["block", "node", "doc_id", "copies", "pieces"]
+        names = ["block", "node", "doc_id", "copies", "pieces", "mine"]
         b = pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(packed, pa.binary())], [*names, "grams"])
         yield b.take(pa.array(keep, pa.int64()))
 
@@ -359,32 +416,50 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = PERCENT, text: str = "tex
     frequent = spark.sparkContext.broadcast((names[order], often["n"].to_numpy(np.int64)[order]))
 
     dealt = docs.mapInArrow(_postings(bins, percent, frequent), blobs.SCHEMA).repartition(bins, "bin").sortWithinPartitions("bin", "kind")
-    shared = spool.table("shared", dealt.mapInArrow(_shared, "gram long, fp long, size int, rest int"))
+    shared = spool.table("shared", dealt.mapInArrow(_shared, "gram long, fp long, size int, rest int, df long"))
     settle(spark)
+    paired = _paired_df(shared)
     smallest = F.ceil(F.col("size") * percent / 100)
-    enough = shared.groupBy("fp", "size").agg(F.count("*").alias("n")).where(F.col("n") >= 1 + F.floor(smallest * MORE / 100)).select("fp")
-    likely = shared.join(enough, "fp", "left_semi").select("gram", "fp", "size", "rest").repartition(bins, "gram")
-    edges = spool.table("edges", likely.mapInArrow(_candidates(percent), "a long, b long"))
+    enough = shared.groupBy("fp", "size").agg(F.count("*").alias("n"), F.count_if(F.col("df") > paired).alias("hot")).where(F.col("n") >= 1 + F.floor(smallest * MORE / 100))
+    likely = shared.join(enough.drop("n"), ["fp", "size"]).select("gram", "fp", "size", "rest", "df", "hot").repartition(bins, "gram")
+    weighed = likely.mapInArrow(_candidates(percent, paired), "hot boolean, a long, b long, n long, bound long")
+    weighed = spool.table("weighed", weighed.groupBy("hot", "a", "b").agg(F.sum("n").alias("n"), F.max("bound").alias("bound")).where("hot or n >= bound"))
+    met = F.sum("n").over(W.partitionBy("a").orderBy("n", "b").rowsBetween(W.unboundedPreceding, W.currentRow))
+    edges = spool.table("edges", weighed.where("not hot").select("a", "b").union(weighed.where("hot").withColumn("met", met).where("met > bound").select("a", "b")))
     blocks = components(edges, spool, "blocks")
 
     classes = spool.table("classes", rows.where("n_shingles > 0").groupBy("fp_high", "fp_low").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n_shingles").alias("size")))
     members = spool.table("members", classes.join(blocks, classes.fp_low == blocks.node).select("root", "node", "rep", "copies", "size"))
     n = members.count()
     sizes = members.groupBy("root").agg(F.count("*").alias("sets"), F.sum("size").alias("grams"))
-    pieces = sizes.select("root", "sets", F.ceil(F.greatest(F.col("sets") / TRIE_SETS, F.col("grams") / TRIE_GRAMS)).cast("int").alias("pieces"))
-    chosen = join_groups(members, pieces, "root", "sets", n).select(F.col("root").alias("block"), "node", F.col("rep").alias("doc_id"), "copies", "pieces")
-    found = docs.join(F.broadcast(chosen) if n <= BROADCAST_ROWS else chosen, "doc_id").select("block", "node", "doc_id", "copies", "pieces", "text")
-    # each text becomes a set once; a set of a block in pieces then goes to every pair of pieces with its own
-    sets = found.mapInArrow(_sets, "block long, node long, doc_id long, copies long, pieces int, grams binary")
-    sets = sets.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    sets = sets.select(
-        "block",
-        F.when(F.col("pieces") == 1, "").otherwise(F.concat_ws("-", F.least("mine", "other"), F.greatest("mine", "other"))).alias("part"),
-        F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
-        "node", "doc_id", "copies", "grams",
-    )
-    sets = sets.repartition(bins, "block", "part").sortWithinPartitions("block", "part", "node")
-    linked = spool.table("linked", sets.mapInArrow(_trie_join(percent, frequent), "node long, root long, least long, links long, whole boolean"))
+    pieces = sizes.withColumn("pieces", F.ceil(F.greatest(F.col("sets") / TRIE_SETS, F.col("grams") / TRIE_GRAMS)).cast("int"))
+    sent = pieces.agg(F.sum(F.col("grams") * F.col("pieces"))).first()[0] or 0
+    rounds = max(1, -(-8 * sent // max(SENT_BYTES, input_bytes(docs))))
+    chosen = join_groups(members, pieces.drop("grams"), "root", "sets", n).select(F.col("root").alias("block"), "node", F.col("rep").alias("doc_id"), "copies", "pieces")
+    chosen = chosen.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+
+    def part(other: Column) -> Column:
+        return F.when(F.col("pieces") == 1, "").otherwise(F.concat_ws("-", F.least("mine", other), F.greatest("mine", other)))
+
+    def due(k: int, other: Column) -> Column:
+        return F.pmod(F.xxhash64("block", part(other)), F.lit(rounds)) == k
+
+    linked = []
+    for k in range(rounds):
+        others = F.filter(F.sequence(F.lit(0), F.col("pieces") - 1), functools.partial(due, k))
+        now = chosen.where(F.size(others) > 0)
+        found = docs.join(F.broadcast(now) if n <= BROADCAST_ROWS else now, "doc_id").select("block", "node", "doc_id", "copies", "pieces", "mine", "text")
+        # each text becomes a set once a round; a set of a block in pieces then goes to every pair of pieces with its own
+        sets = found.mapInArrow(_sets, "block long, node long, doc_id long, copies long, pieces int, mine int, grams binary").withColumn("other", F.explode(others))
+        sets = sets.select(
+            "block", part(F.col("other")).alias("part"),
+            F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).alias("side"),
+            "node", "doc_id", "copies", "grams",
+        )
+        sets = sets.repartition(bins, "block", "part").sortWithinPartitions("block", "part", "node")
+        linked.append(spool.table(f"linked-{k}", sets.mapInArrow(_trie_join(percent, frequent), "node long, root long, least long, links long, whole boolean")))
+        settle(spark)
+    linked = functools.reduce(DataFrame.union, linked)
 
     roots = linked.where("whole").select("node", F.col("least").alias("component"))
     cut = linked.where("not whole")

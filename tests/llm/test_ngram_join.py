@@ -123,6 +123,58 @@ def test_order_never_changes_the_result(spark, monkeypatch):
     assert answer(ngram_jaccard_join(df)) == brute(rows)
 
 
+def written(monkeypatch):
+    """The tables that a run writes, by name."""
+    tables, table = {}, ngram_join.Spool.table
+    monkeypatch.setattr(ngram_join.Spool, "table", lambda spool, name, df: tables.setdefault(name, table(spool, name, df)))
+    return tables
+
+
+@pytest.mark.parametrize("each", [2, 20])
+def test_passages_join_no_blocks(spark, monkeypatch, each):
+    r = random.Random(each)
+    rows, n = [], 0
+    passages = [[f"p{k}-{i}" for i in range(12)] for k in range(7)]
+    for k in range(6):  # each family shares a passage with the next one
+        base = [f"{k}-{i}" for i in range(400)]
+        for _ in range(each):
+            t = list(base)
+            t[r.randrange(400)] = "changed"
+            rows.append((n, " ".join(passages[k] + t + passages[k + 1])))
+            n += 1
+    tables = written(monkeypatch)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert answer(ngram_jaccard_join(df)) == brute(rows)
+    assert max(x["count"] for x in tables["members"].groupBy("root").count().collect()) <= each
+
+
+@pytest.mark.parametrize("paired", [1, 3])
+def test_pairs_or_hubs(spark, monkeypatch, paired):
+    monkeypatch.setattr(ngram_join, "PAIRED_DF", paired)
+    rows = families(6 + paired) + EDGE
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert answer(ngram_jaccard_join(df)) == brute(rows)
+
+
+def test_fewer_pairs_than_postings(spark, monkeypatch):
+    shared = spark.createDataFrame([(df,) for df in (2, 3, 3, 9) for _ in range(df)], "df long")
+    assert ngram_join._paired_df(shared) == 8  # 1 + 3 + 3 pairs, and 36 more with 9, of 17 postings
+    monkeypatch.setattr(ngram_join, "PAIRS", 3)
+    assert ngram_join._paired_df(shared) == ngram_join.PAIRED_DF
+
+
+def test_sets_go_to_tries_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TRIE_SETS", 4)
+    monkeypatch.setattr(ngram_join, "SENT_BYTES", 10_000)
+    monkeypatch.setattr(ngram_join, "input_bytes", lambda df: 0)
+    tables = written(monkeypatch)
+    rows = families(3, families=4, each=14) + EDGE
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert answer(ngram_jaccard_join(df)) == brute(rows)
+    rounds = [t.count() for name, t in tables.items() if name.startswith("linked-")]
+    assert len(rounds) > 3 and max(rounds) < sum(rounds) / 2
+
+
 def test_trie_equals_pairs():
     r = np.random.default_rng(6)
     base = [np.unique(r.integers(0, 1 << 40, 300).astype(np.uint64)) for _ in range(3)]
