@@ -100,15 +100,17 @@ def _describe():
 
 
 def _postings(bins: int, percent: int, frequent):
-    """Map texts to packed postings of their prefixes: n-gram, set, size, remaining length from that n-gram on."""
+    """Map texts to packed postings of their prefixes: n-gram, set, size, place of the n-gram in the set. Of an n-gram
+    32 bits are sent, and its bin tells more of it: two that can't be told apart count as one that is shared, which adds candidates only."""
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, rank = frequent.value
-        token, who, size, rest, seen, n = [], [], [], [], set(), 0
+        token, who, size, place, seen, n = [], [], [], [], set(), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            t, w = np.concatenate(token), np.concatenate(who)
-            yield from blobs.batches(blobs.dealt(0, (mix(t) % U(bins)).astype(np.int32), t, w, np.concatenate(size), np.concatenate(rest)))
+            t = mix(np.concatenate(token))
+            b = (t % U(bins)).astype(np.int32)
+            yield from blobs.batches(blobs.dealt(0, b, (t // U(bins)).astype(np.uint32), np.concatenate(who), np.concatenate(size), np.concatenate(place)))
 
         for b in blobs.bounded(source):
             for s in shingle_sets(b.column(1), WORDS):
@@ -129,11 +131,11 @@ def _postings(bins: int, percent: int, frequent):
                 token.append(s[:k])
                 who.append(np.full(k, p & (1 << 64) - 1, U))
                 size.append(np.full(k, m, np.int32))
-                rest.append(m - np.arange(k, dtype=np.int32))
+                place.append(np.arange(k, dtype=np.int32))
                 n += k
             if n >= BLOCK:
                 yield from flush()
-                token, who, size, rest, seen, n = [], [], [], [], set(), 0
+                token, who, size, place, seen, n = [], [], [], [], set(), 0
         if n:
             yield from flush()
 
@@ -142,18 +144,18 @@ def _postings(bins: int, percent: int, frequent):
 
 def _shared(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Map bins of postings to those whose n-gram is in the prefixes of several sets, with the number of these (df)."""
-    for _, kinds in blobs.by_bin(source):
-        t, w, s, r = blobs.joined(kinds[0], U, U, np.int32, np.int32)
-        order = np.lexsort((w, t))
-        t, w, s, r = t[order], w[order], s[order], r[order]
-        keep = np.ones(len(t), bool)  # the same set from two map tasks is one
-        keep[1:] = (t[1:] != t[:-1]) | (w[1:] != w[:-1])
-        t, w, s, r = t[keep], w[keep], s[keep], r[keep]
+    for at_bin, kinds in blobs.by_bin(source):
+        t, w, s, p = blobs.joined(kinds[0], np.uint32, U, np.int32, np.int32)
+        order = np.lexsort((p, w, t))
+        t, w, s, p = t[order], w[order], s[order], p[order]
+        keep = np.ones(len(t), bool)  # the same set from two map tasks is one; two n-grams of a set that look alike stay two
+        keep[1:] = (t[1:] != t[:-1]) | (w[1:] != w[:-1]) | (p[1:] != p[:-1])
+        t, w, s, r = (np.int64(at_bin) << 32) | t[keep].astype(np.int64), w[keep], s[keep], s[keep] - p[keep]
         new = np.r_[True, t[1:] != t[:-1]]
         at = np.flatnonzero(new)
         df = np.repeat(lengths := np.diff(np.r_[at, len(t)]), lengths)
         more = df > 1
-        columns = [pa.array(t[more].view(np.int64)), pa.array(w[more].view(np.int64)), pa.array(s[more]), pa.array(r[more]), pa.array(df[more])]
+        columns = [pa.array(t[more]), pa.array(w[more].view(np.int64)), pa.array(s[more]), pa.array(r[more]), pa.array(df[more])]
         yield pa.RecordBatch.from_arrays(columns, ["gram", "fp", "size", "rest", "df"])
 
 
@@ -180,6 +182,7 @@ def _candidates(percent: int, paired: int):
             i = np.flatnonzero(t[step:] == t[:-step])
             if not len(i):
                 break
+            i = i[w[i] != w[i + step]]
             j = i + step
             need = np.minimum(_more(s[i]), _least_overlap(s[j], percent))  # s[i] <= s[j]
             # of the n-grams shared, the first ``need`` are followed by at least all but need - 1 of the overlap
@@ -417,8 +420,8 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = PERCENT, text: str = "tex
 
     dealt = docs.mapInArrow(_postings(bins, percent, frequent), blobs.SCHEMA).repartition(bins, "bin").sortWithinPartitions("bin", "kind")
     shared = spool.table("shared", dealt.mapInArrow(_shared, "gram long, fp long, size int, rest int, df long"))
-    settle(spark)
     paired = _paired_df(shared)
+    settle(spark)  # only now: until a further job has run, Spark holds on to the last one's shuffle
     smallest = F.ceil(F.col("size") * percent / 100)
     enough = shared.groupBy("fp", "size").agg(F.count("*").alias("n"), F.count_if(F.col("df") > paired).alias("hot")).where(F.col("n") >= 1 + F.floor(smallest * MORE / 100))
     likely = shared.join(enough.drop("n"), ["fp", "size"]).select("gram", "fp", "size", "rest", "df", "hot").repartition(bins, "gram")
@@ -434,6 +437,7 @@ def ngram_jaccard_join(docs: DataFrame, percent: int = PERCENT, text: str = "tex
     sizes = members.groupBy("root").agg(F.count("*").alias("sets"), F.sum("size").alias("grams"))
     pieces = sizes.withColumn("pieces", F.ceil(F.greatest(F.col("sets") / TRIE_SETS, F.col("grams") / TRIE_GRAMS)).cast("int"))
     sent = pieces.agg(F.sum(F.col("grams") * F.col("pieces"))).first()[0] or 0
+    settle(spark)
     rounds = max(1, -(-8 * sent // max(SENT_BYTES, input_bytes(docs))))
     chosen = join_groups(members, pieces.drop("grams"), "root", "sets", n).select(F.col("root").alias("block"), "node", F.col("rep").alias("doc_id"), "copies", "pieces")
     chosen = chosen.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))

@@ -156,6 +156,14 @@ def test_pairs_or_hubs(spark, monkeypatch, paired):
     assert answer(ngram_jaccard_join(df)) == brute(rows)
 
 
+@pytest.mark.parametrize("kinds", [64, 4096])
+def test_ngrams_that_look_alike(spark, monkeypatch, kinds):
+    monkeypatch.setattr(ngram_join, "mix", lambda x: x % np.uint64(kinds))
+    rows = families(9) + EDGE
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert answer(ngram_jaccard_join(df)) == brute(rows)
+
+
 def test_fewer_pairs_than_postings(spark, monkeypatch):
     shared = spark.createDataFrame([(df,) for df in (2, 3, 3, 9) for _ in range(df)], "df long")
     assert ngram_join._paired_df(shared) == 8  # 1 + 3 + 3 pairs, and 36 more with 9, of 17 postings
